@@ -21,9 +21,9 @@ class, segment content); the trees are built inside tiles.
 Steps, all on Spark:
 1. each document: set hash, size, tile keys. Documents with equal sets are one
    node from here on, so copies cost nothing and are not expanded to pairs;
-2. each tile names a leader (its smallest node); a node is verified against the
-   leader it meets most often. This joins a large group of near copies by one
-   pair a member, not by all pairs;
+2. each tile names a leader, its node that shares the most tiles with others; a
+   node is verified against the leader it meets most often. This joins a large
+   group of near copies by one pair a member, not by all pairs;
 3. tiles whose members are still in different components are searched: pages of
    at most `PAGE` points with an R-tree each, queried by the members outside
    the tile's largest component; survivors are verified. Together with 2 every
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import components, settle
 
-GROUPS = 64
+GROUPS = 256
 PAGE = 256
 LEAF = 16
 BROADCAST_IDS = 500_000
@@ -150,14 +150,21 @@ def _sets(k: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iter
             ends = np.cumsum(n)
             content = np.r_[np.uint64(0), np.cumsum(K.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
             sig = K.mix(content[ends] - content[ends - n] + n.astype(np.uint64))
-            # Counts above 255 are kept as 255: see _bound.
-            point = np.bincount(row * GROUPS + (h % np.uint64(GROUPS)).astype(np.int64), minlength=b.rows * GROUPS).astype(np.int32)
+            # 255 stands for any larger count: see _points.
+            point = np.bincount(row * GROUPS + (h % np.uint64(GROUPS)).astype(np.int64), minlength=b.rows * GROUPS).clip(max=255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(K.signed(sig)), pa.array(n), pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(K.signed(h))), pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS * 4), b.rows, [None, pa.py_buffer(point.tobytes())]).cast(pa.binary())],
+                [pa.array(K.signed(sig)), pa.array(n), pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(K.signed(h))), pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), b.rows, [None, pa.py_buffer(point.tobytes())]).cast(pa.binary())],
                 names=["sig", "n", "shingles", "point"],
             )
 
 
+def _points(stored: list[bytes]) -> np.ndarray:
+    """The points' counts; an unknown large one is no limit, so that bounds stay upper bounds."""
+    counts = np.frombuffer(b"".join(stored), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    counts[counts == 255] = 1 << 20
+    return counts
+
+
 class RTree:
     """Points packed into leaves, leaves into boxes; a box keeps its largest counts and smallest set."""
 
@@ -187,7 +194,7 @@ def _search(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
     def page(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         sig, comp, n = (rows.column(c).to_numpy() for c in ("sig", "comp", "n"))
         query, big = rows.column("query").to_numpy(zero_copy_only=False), rows.column("big").to_numpy()
-        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
+        points = _points(rows.column("point").to_pylist())
         held, asks = np.flatnonzero(~query), np.flatnonzero(query)
         a, b = [], []
         if len(held) and len(asks):
@@ -211,7 +218,8 @@ def _search(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         found = [page(rows.slice(i, j - i)) for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
         rest = rows.slice(int(cuts[-1])) if len(cuts) else rows
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], names=["a", "b"])
+            pairs = np.unique(np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
     if rest is not None and rest.num_rows:
         a, b = page(rest.combine_chunks())
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -236,8 +244,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     by_tile = Window.partitionBy("tile").orderBy("sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = settle(keys.withColumn("leader", F.first("sig").over(by_tile)).where("sig <> leader").distinct(), "met")
 
-    votes = met.groupBy("sig", "leader").count()
-    first = votes.groupBy("sig").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
+    # Of a group of near copies, what they were made from shares the most tiles: it leads from here on.
+    shared = settle(met.select("tile", "sig").union(met.select("tile", F.col("leader").alias("sig"))).distinct(), "shared")
+    score = shared.groupBy("sig").count().select("sig", F.col("count").alias("score"))
+    hubs = shared.join(score, "sig").groupBy("tile").agg(F.max(F.struct("score", F.col("sig").alias("leader"))).alias("hub"))
+    met = settle(shared.join(hubs, "tile").select("tile", "sig", "hub.leader", "hub.score").where("sig <> leader"), "met")
+    votes = met.groupBy("sig", "leader", "score").count()
+    first = votes.groupBy("sig").agg(F.max_by("leader", F.struct("count", "score", "leader")).alias("leader"))
     nodes = met.select("sig").union(met.select(F.col("leader").alias("sig"))).distinct()
     ids = settle(described.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(nodes, "sig", "left_semi"), "ids")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
