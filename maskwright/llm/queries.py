@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import contamination_sql, op3_decontaminate
 from .jaccard_join import op10_jaccard_join
 from .language_id import op7_language_id
+from .language_model import op4_language_model
 from .lines import line_sql, op5_line_dedup
 from .mixing import mix_sql, op1_mix_sources
+from .pii import op9_pii
 from .quality import op8_quality
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_decontaminate": op3_decontaminate,
+    "op4_language_model": op4_language_model,
     "op5_line_dedup": op5_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
+    "op9_pii": op9_pii,
     "op10_jaccard_join": op10_jaccard_join,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
