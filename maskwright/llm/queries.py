@@ -8,16 +8,20 @@ from .decontaminate import contamination_sql, op3_decontaminate
 from .jaccard_join import op10_jaccard_join
 from .language_id import op7_language_id
 from .language_model import op4_language_model
+from .licenses import op2_license_scan
 from .lines import line_sql, op5_line_dedup
 from .mixing import mix_sql, op1_mix_sources
 from .pii import op9_pii
 from .quality import op8_quality
+from .substrings import op6_substring_dedup
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_license_scan": op2_license_scan,
     "op3_decontaminate": op3_decontaminate,
     "op4_language_model": op4_language_model,
     "op5_line_dedup": op5_line_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
