@@ -1,4 +1,5 @@
 """Registered queries of the de-identification engine and their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
