@@ -53,6 +53,9 @@ GROUPS = 256
 PAGE = 256
 LEAF = 16
 BROADCAST_IDS = 500_000
+#: Lowest tiles of a node that travel with it, and what stands for fewer.
+FIRST_TILES = 8
+NO_TILE = (1 << 63) - 1
 
 
 def _shingles(b: K.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,19 +192,27 @@ class RTree:
 
 
 def _search(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (tile, page): pages' points, then queries; candidate pairs come out."""
+    """Rows of (tile, page) side by side: points and queries; candidate pairs come out.
+
+    A pair that meets in several tiles survives the bound in each of them. It
+    comes out of the lowest tile that both know of among their first ones only.
+    """
 
     def page(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         sig, comp, n = (rows.column(c).to_numpy() for c in ("sig", "comp", "n"))
         query, big = rows.column("query").to_numpy(zero_copy_only=False), rows.column("big").to_numpy()
         points = _points(rows.column("point").to_pylist())
         held, asks = np.flatnonzero(~query), np.flatnonzero(query)
+        tile, firsts = rows.column("tile")[0].as_py(), rows.column("firsts").combine_chunks().flatten().to_numpy().reshape(-1, FIRST_TILES)
         a, b = [], []
         if len(held) and len(asks):
             tree = RTree(points[held], n[held])
             for q in asks.tolist():
                 to = held[tree.search(points[q], int(n[q]), num, den)]
                 to = to[(comp[to] != comp[q]) & ((comp[to] == big[q]) | (sig[to] > sig[q]))]
+                shared = (firsts[to][:, :, None] == firsts[q]).any(2) & (firsts[to] != NO_TILE)
+                lowest = np.where(shared, firsts[to], NO_TILE).min(1, initial=NO_TILE)
+                to = to[(lowest == NO_TILE) | (lowest == tile)]
                 a.append(np.full(len(to), sig[q]))
                 b.append(sig[to])
         e = np.zeros(0, np.int64)
@@ -221,7 +232,7 @@ def _search(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
             pairs = np.unique(np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
     if rest is not None and rest.num_rows:
-        a, b = page(rest.combine_chunks())
+        a, b = page(rest)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
@@ -271,10 +282,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     members = settle(members.join(comp_of("sig", "c"), "sig", "left").select("tile", "sig", F.coalesce("c", "sig").alias("comp")), "open")
     shares = members.groupBy("tile", "comp").count()
     tiles = shares.groupBy("tile").agg(F.max_by("comp", F.struct("count", "comp")).alias("big"), F.ceil(F.sum("count") / F.lit(PAGE)).alias("pages"))
-    placed = members.join(tiles, "tile").join(sets.select("sig", "n", "point"), "sig")
+    # A node has no more tiles than keys, a fraction of its own shingles.
+    lowest = F.slice(F.concat(F.array_sort(F.collect_list("tile")), F.array_repeat(F.lit(NO_TILE), FIRST_TILES)), 1, FIRST_TILES)
+    firsts = members.groupBy("sig").agg(lowest.alias("firsts"))
+    placed = members.join(tiles, "tile").join(sets.select("sig", "n", "point").join(firsts, "sig"), "sig")
     held = placed.withColumn("page", F.pmod(F.xxhash64("sig"), F.col("pages"))).withColumn("query", F.lit(False))
     asks = placed.where("comp <> big").withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1))).withColumn("query", F.lit(True))
-    columns = ["tile", "page", "sig", "comp", "big", "n", "point", "query"]
+    columns = ["tile", "page", "sig", "comp", "big", "n", "point", "firsts", "query"]
     pages = held.select(columns).union(asks.select(columns)).repartition("tile", "page").sortWithinPartitions("tile", "page")
     pairs = pages.mapInArrow(lambda it: _search(num, den, it), "a long, b long")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
