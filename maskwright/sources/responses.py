@@ -57,7 +57,8 @@ def parse_responses(responses: DataFrame, mode: str = "failfast") -> tuple[DataF
 def parse_envelopes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities and errors of serving responses (doc_id, response): predictions, records or a bare body; entities, else those of the pages."""
     body = F.from_json("response", ENVELOPE)
-    r = raw.select("doc_id", body.alias("b"))
+    # Text that is no object reads as an object without values.
+    r = raw.select("doc_id", F.when(F.startswith(F.ltrim("response"), F.lit("{")), body).alias("b"))
     names = ("session_id", "status", "error_message", "entities", "pages")
     bare = F.struct(*[F.col(f"b.{c}").alias(c) for c in names])
     r = r.select("doc_id", F.coalesce(F.get("b.predictions", 0), F.get("b.dataframe_records", 0), F.when(F.col("b").isNotNull(), bare)).alias("b"))
