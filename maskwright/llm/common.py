@@ -51,6 +51,21 @@ def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType(schema.fields + T._parse_datatype_string(ddl).fields)
 
 
+#: A key is hot if it holds one in HOT_KEYS rows; no more keys than that can.
+HOT_KEYS = 2000
+
+
+def join_by_key(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
+    """The `total` rows joined to `keys`, which has a row for each key with n, the rows that hold it.
+
+    The hot keys, HOT_KEYS at most, meet their rows by broadcast; the others by a shuffle without hot tasks.
+    """
+    hot = keys.where(F.col("n") * HOT_KEYS >= total).drop("n")
+    rest = keys.where(F.col("n") * HOT_KEYS < total).drop("n")
+    cool = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cool.join(rest, key))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every node of the undirected edges (a, b): the smallest id of its component.
 
