@@ -32,7 +32,7 @@ from . import kernels as K
 from .common import UPPER, free_name, with_fields
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 _BITS = 22
 
 
