@@ -186,3 +186,19 @@ def test_passages(docs, texts, spark):
         for j in range(len(x) - 50):
             if len(at[tuple(x[j : j + 51])]) > 1:
                 assert set(range(j, j + 51)) <= got[i]
+
+
+def test_contexts_discover_other_shapes(spark):
+    rows = [(i, f"please phone: +1 (555) 123-4{i:03d} soon") for i in range(20)] + [(100 + i, f"the api_key= {i:032x}a next") for i in range(20)]
+    planted = {200: ("phone: 555-1234 then", "phone:7:15"), 201: ("phone: 0207 946 0958 then", "phone:7:20"), 202: ("api_key= sk_live_Ab9 here", "secret:9:20"), 203: ("api_key=sk_live_Zz8 here", "secret:8:19")}
+    clear = {300: "phone: 2019 and page 555-9876", 301: "soonest 20 items, next_item next"}
+    table = spark.createDataFrame([*rows, *((i, t) for i, (t, _) in planted.items()), *clear.items()], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.pii_digest(table).collect()}
+    assert {i: spans[i] for i in planted} == {i: want for i, (_, want) in planted.items()}
+    assert spans[300] == ""
+
+
+def test_frequent_words_are_no_context(spark):
+    rows = [(i, f"call the +1 (555) 123-4{i:03d}") for i in range(20)] + [(100 + i, f"the word{'abcdefghij'[i]} ends") for i in range(10)] + [(200, "see the 555-1234")]
+    spans = {r.doc_id: r.spans for r in pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[200] == "" and spans[0].startswith("phone")
