@@ -2,8 +2,10 @@
 
 A template's distinct word pairs form a broadcast set (templates are a bounded
 parameter, `MAX_TEMPLATE_WORDS` in total). Where a text holds enough of a
-template's pairs close together, that region and the template are aligned:
-words unique to both sides are anchors, the longest increasing subsequence of
+template's pairs close together, each start that a pair speaks for is tried, the
+one with most pairs first: a template-long window there, then a longer one, is
+aligned inside what no earlier finding of the template has taken, and what is
+left between findings is aligned as a whole. In an alignment, words unique to both sides are anchors, the longest increasing subsequence of
 anchors is kept, and the gaps between anchors are aligned the same way. Coverage
 is the share of template words aligned; a region at or above `COVERAGE` is a
 finding, with its words.
@@ -20,7 +22,7 @@ read.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,6 +115,8 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 class Templates:
     def __init__(self, templates):
         self.names, self.words, self.hashes = [], [], []
+        #: For each template, the words at which each of its pairs begins.
+        self.places: list[dict[int, list[int]]] = []
         pairs: dict[int, list[int]] = {}
         for name, text in templates:
             for b in K.blocks(pa.array([text], pa.string())):
@@ -122,7 +126,11 @@ class Templates:
                 at = len(self.names)
                 self.names.append(name)
                 self.hashes.append(t.hash.tolist())
-                for x in set(self._pairs(t.hash, t.row)[0].tolist()):
+                begins: dict[int, list[int]] = {}
+                for q, x in enumerate(self._pairs(t.hash, t.row)[0].tolist()):
+                    begins.setdefault(x, []).append(q)
+                self.places.append(begins)
+                for x in begins:
                     pairs.setdefault(x, []).append(at)
         if sum(map(len, self.hashes)) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} words")
@@ -136,25 +144,54 @@ class Templates:
     def _pairs(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return K.windows(h, row, 2) if len(h) > 1 else K.windows(h, row, 1)
 
+    def _cluster(self, t: int, words: list[int], low: int, high: int, hits: list[tuple[int, int]], coverage: float) -> list[tuple[int, int, int]]:
+        """(aligned words, first word, end word) of a template's disjoint findings in words[low:high]."""
+        template, size = self.hashes[t], len(self.hashes[t])
+        places = [pos for pos, _ in hits]
+        taken: list[tuple[int, int, int]] = []
+        votes: dict[int, int] = {}
+        for pos, pair in hits:
+            for q in self.places[t][pair]:
+                votes[pos - q] = votes.get(pos - q, 0) + 1
+
+        def best(windows) -> tuple[int, int, int] | None:
+            got = []
+            for i, k in windows:
+                if bisect_left(places, k) - bisect_left(places, i) >= self.need[t] and (pairs := patience(words[i:k], template)) and len(pairs) >= coverage * size:
+                    got.append((len(pairs), i + pairs[0][0], i + pairs[-1][0] + 1))
+            # A word more has to be worth the words that it stretches the finding by.
+            return max(got, key=lambda x: (4 * x[0] - (x[2] - x[1]), -x[1]), default=None)
+
+        slack = size // 4 + 2
+        for s in sorted(votes, key=lambda s: (-votes[s], s)):
+            n = bisect_left(taken, s + 1, key=lambda x: x[1])
+            left, right = taken[n - 1][2] if n else low, taken[n][1] if n < len(taken) else high
+            if s + size > left and (one := best((max(left, a), min(right, e)) for a, e in ((s, s + size), (s, s + size + slack), (s - slack, s + size + slack)))):
+                insort(taken, one, key=lambda x: x[1])
+        todo = list(zip([low, *(x[2] for x in taken)], [*(x[1] for x in taken), high]))
+        while todo:
+            i, k = todo.pop()
+            if one := best([(i, k)]):
+                taken.append(one)
+                todo += [(i, one[1]), (one[2], k)]
+        return taken
+
     def find(self, words: list[int], hits: list[tuple[int, int]], coverage: float) -> list[tuple[str, float, int, int]]:
         """(name, coverage, first word, end word) in one text, from its (position, pair) hits."""
-        by: dict[int, list[int]] = {}
+        by: dict[int, list[tuple[int, int]]] = {}
         for pos, pair in hits:
             for t in self.pairs.get(pair, ()):
-                by.setdefault(t, []).append(pos)
+                by.setdefault(t, []).append((pos, pair))
         found = []
         for t, at in by.items():
             size, start = len(self.hashes[t]), 0
             for i in range(1, len(at) + 1):
                 # Hits further apart than the template is long are of different places.
-                if i < len(at) and at[i] - at[i - 1] <= size:
+                if i < len(at) and at[i][0] - at[i - 1][0] <= size:
                     continue
                 if i - start >= self.need[t]:
-                    low, high = max(0, at[start] - size), min(len(words), at[i - 1] + size + 1)
-                    pairs = patience(words[low:high], self.hashes[t])
-                    share = len(pairs) / size
-                    if share >= coverage:
-                        found.append((-len(pairs), low + pairs[0][0], self.names[t], share, low + pairs[-1][0] + 1))
+                    low, high = max(0, at[start][0] - size), min(len(words), at[i - 1][0] + size + 1)
+                    found += [(-n, s, self.names[t], n / size, e) for n, s, e in self._cluster(t, words, low, high, at[start:i], coverage)]
                 start = i
         kept: list[tuple[str, float, int, int]] = []
         for _, s, name, share, e in sorted(found):

@@ -202,3 +202,15 @@ def test_frequent_words_are_no_context(spark):
     rows = [(i, f"call the +1 (555) 123-4{i:03d}") for i in range(20)] + [(100 + i, f"the word{'abcdefghij'[i]} ends") for i in range(10)] + [(200, "see the 555-1234")]
     spans = {r.doc_id: r.spans for r in pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert spans[200] == "" and spans[0].startswith("phone")
+
+
+def test_repeated_licenses(spark):
+    line, mit = "Released under the MIT License.", licenses.TEMPLATES[1][1]
+    edited = mit.replace("granted, free", "granted, wholly free")
+    rows = [(1, f"of the thing. {line} {line} x"), (2, f"the {line * 5}"), (3, f"the {edited} {mit} {edited} the"), (4, f"x {line} the {line.replace('under', 'now under')}")]
+    got = {r.doc_id: [(f.license, f.start, f.end) for f in r.findings] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [("MIT", 3, 8), ("MIT", 8, 13)]
+    assert got[2] == [("MIT", 1 + 5 * i, 6 + 5 * i) for i in range(5)]
+    n = len(words(mit.replace("/", " ")))
+    assert got[3] == [("MIT", 1, n + 2), ("MIT", n + 2, 2 * n + 2), ("MIT", 2 * n + 2, 3 * n + 3)]
+    assert got[4] == [("MIT", 1, 6), ("MIT", 7, 13)]
