@@ -214,3 +214,27 @@ def test_repeated_licenses(spark):
     n = len(words(mit.replace("/", " ")))
     assert got[3] == [("MIT", 1, n + 2), ("MIT", n + 2, 2 * n + 2), ("MIT", 2 * n + 2, 3 * n + 3)]
     assert got[4] == [("MIT", 1, 6), ("MIT", 7, 13)]
+
+
+def test_passages_with_partial_quotes(spark):
+    import random
+
+    import pyarrow as pa
+
+    from maskwright.llm import kernels
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    text = lambda part: " ".join([*(word() for _ in range(20)), *part, *(word() for _ in range(20))])
+    node = lambda t: kernels.signed(substrings._text_hash(next(kernels.blocks(pa.array([t])))))[0]
+    low = lambda part: next(t for t in iter(lambda: text(part), None) if node(t) < -(1 << 62))
+    high = lambda part: next(t for t in iter(lambda: text(part), None) if node(t) > 0)
+    rows = [(1, high(passage)), (2, high(passage)), (3, low(passage[:36])), (4, low(passage[24:]))]
+    twice = [word() for _ in range(60)]
+    rows += [(5, low([*twice, *(word() for _ in range(30)), *twice])), (6, high(twice))]
+    got = {r.doc_id: {p for s in r.spans for p in range(s.start, s.end)} for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first, both = set(range(20, 80)), {*range(20, 80), *range(110, 170)}
+    for i, want in {1: first, 2: first, 3: set(), 4: set(), 5: both, 6: first}.items():
+        # The alignment may take in a few words beyond the ends.
+        assert got[i] >= want and len(got[i]) <= len(want) + 8
