@@ -1,12 +1,17 @@
 """Merging variants of one name or text inside a document and entity type.
 
 The longest text comes first; each next one joins the first root that it matches
-or becomes a root. A group is one document's entities of one type; a group above
-`max_entities` goes to the errors side instead of one huge array.
+or becomes a root. A group is one document's entities of one type. A group above
+`MAX_ENTITIES` is merged by joins instead of in one huge array, with the same
+result; only with a `max_entities` of the caller's does it go to the errors side.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +34,55 @@ def is_variant(parent: Column, child: Column) -> Column:
     return (n > 0) & (n <= F.size(parent)) & (contains_run(parent, child) | titled)
 
 
-def variant_roots(entities: DataFrame, max_entities: int = MAX_ENTITIES) -> DataFrame:
-    """(doc_id, entity_type, ent_idx, root_idx) for entities of groups within the limit."""
+def _settled(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back, so that rounds don't pile up in the plan."""
+    spark = df.sparkSession
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='maskwright-')).rstrip('/')}/maskwright/merge-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _joined_roots(entities: DataFrame) -> DataFrame:
+    """variant_roots by joins of word slices, for groups of any size."""
+    keys = ["doc_id", "entity_type"]
+    items = _settled(entities.select(*keys, F.struct((-F.length("original_text")).alias("size"), F.col("ent_idx").cast("int").alias("ent_idx")).alias("at"), tokens(F.col("original_text")).alias("words")))
+    wordy, n = items.where(F.size("words") > 0), F.size("words")
+    text = lambda i, k: F.array_join(F.slice("words", i, k), " ")
+    end = lambda k: F.concat(F.lit("t"), n.cast("string"), F.lit(" "), text(n - k + 1, k))
+    slices = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.concat(F.lit("s"), text(i, k)))))
+    ends = F.transform(F.sequence(F.lit(1), n), end)
+    parents = wordy.select(*keys, F.col("at").alias("parent"), F.explode(F.array_distinct(F.concat(slices, ends))).alias("key"))
+    # A child is a whole slice, or has titles only before an end that it shares with as many words.
+    titled = lambda k: (k < n) & F.forall(F.slice("words", 1, n - k), lambda w: F.regexp_replace(w, r"\.", "").isin(*TITLES))
+    own = F.concat(F.array(F.concat(F.lit("s"), text(1, n))), F.transform(F.filter(F.sequence(F.lit(1), n), titled), end))
+    children = wordy.select(*keys, "at", F.explode(own).alias("key"))
+    edges = _settled(children.join(parents, [*keys, "key"]).where("parent < at").select(*keys, "at", "parent").distinct())
+    is_root = [_settled(items.join(edges, [*keys, "at"], "left_anti").select(*keys, "at", F.col("at").alias("root")))]
+    while True:
+        # Decided is who has no parent left undecided before the first that is a root.
+        done = reduce(DataFrame.unionByName, is_root)
+        known = done.select(*keys, F.col("at").alias("parent"), (F.col("root") == F.col("at")).alias("top"))
+        open_edges = edges.join(done, [*keys, "at"], "left_anti").join(known, [*keys, "parent"], "left")
+        first = open_edges.groupBy(*keys, "at").agg(F.min(F.when(F.col("top"), F.col("parent"))).alias("root"), F.min(F.when(F.col("top").isNull(), F.col("parent"))).alias("open"))
+        new = _settled(first.where(F.col("open").isNull() | (F.col("root") < F.col("open"))).select(*keys, "at", F.coalesce("root", "at").alias("root")))
+        if not new.limit(1).count():
+            return done.select(*keys, F.col("at.ent_idx").alias("ent_idx"), F.col("root.ent_idx").alias("root_idx"))
+        is_root.append(new)
+
+
+def variant_roots(entities: DataFrame, max_entities: int | None = None, *, fold_up_to: int = MAX_ENTITIES) -> DataFrame:
+    """(doc_id, entity_type, ent_idx, root_idx) for all entities, or for those of groups within the caller's limit."""
+    if max_entities is not None:
+        return _folded_roots(entities, max_entities)
+    large = oversized_groups(entities, fold_up_to).select("doc_id", "entity_type")
+    folded = _folded_roots(entities, fold_up_to)
+    if not large.limit(1).count():
+        return folded
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & F.col("entity_type").eqNullSafe(F.col("of_type"))
+    return folded.unionByName(_joined_roots(entities.join(large.toDF("of_doc", "of_type"), same, "left_semi")))
+
+
+def _folded_roots(entities: DataFrame, max_entities: int) -> DataFrame:
     item = F.struct((-F.length("original_text")).alias("size"), F.col("ent_idx").alias("ent_idx"), tokens(F.col("original_text")).alias("words"))
     groups = entities.groupBy("doc_id", "entity_type").agg(F.array_sort(F.collect_list(item)).alias("all")).where(F.size("all") <= max_entities)
     kind = "array<struct<ent_idx:int,words:array<string>,root:int>>"
@@ -55,7 +107,7 @@ def _covered(occ: Column, held: Column) -> Column:
     return F.exists(held, lambda h: (h["page_number"] == occ["page_number"]) & F.exists(h["bounding_boxes"], lambda b: contained_share(first, b) >= COVERED))
 
 
-def merge_variants(entities: DataFrame, max_entities: int = MAX_ENTITIES) -> DataFrame:
+def merge_variants(entities: DataFrame, max_entities: int | None = None) -> DataFrame:
     """Root entities with their children's occurrences that they don't cover yet."""
     placed = entities.join(variant_roots(entities, max_entities), ["doc_id", "entity_type", "ent_idx"])
     child = F.struct((F.col("ent_idx") != F.col("root_idx")).alias("is_child"), (-F.length("original_text")).alias("size"), "ent_idx", "occurrences")

@@ -178,3 +178,20 @@ def test_deidentify_leaves_nothing(spark):
 def test_detect_positions(spark):
     d = spark.createDataFrame([(1, "1.2.3.4 x 1.2.3.4")], "doc_id long, text string")
     assert sorted((r.start, r.length) for r in detect.detect(d, patterns={"IP": detect.PATTERNS["IP"]}).collect()) == [(0, 7), (10, 7)]
+
+
+def test_large_groups_merge_as_small_ones(spark):
+    import random
+
+    rng = random.Random(2)
+    pick = lambda: " ".join(rng.choice(["Mr", "Dr.", "Sir", "john", "Doe", "roe", "ann"]) for _ in range(rng.randint(1, 4)))
+    rows = [(d, "Full Name", i, pick()) for d in range(3) for i in range(30 + 60 * d)] + [(2, "Full Name", 900, " ")]
+    e = spark.createDataFrame(rows, "doc_id long, entity_type string, ent_idx int, original_text string")
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "entity_type", "ent_idx", "root_idx").collect()))
+    want = key(merge.variant_roots(e))
+    assert key(merge.variant_roots(e, fold_up_to=50)) == want and len(want) == len(rows)
+
+
+def test_groups_above_the_limit_are_kept(spark):
+    e = spark.range(merge.MAX_ENTITIES + 1).select(F.lit(1).alias("doc_id"), F.lit("Full Name").alias("entity_type"), F.col("id").cast("int").alias("ent_idx"), F.concat(F.lit("name"), "id").alias("original_text"))
+    assert merge.variant_roots(e).where("ent_idx = root_idx").count() == merge.MAX_ENTITIES + 1
