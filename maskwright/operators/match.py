@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import merge_lines
 from ..functions.text import match_form, tokens
 
+#: Longer entries are looked for on the pages that hold their first MAX_WORDS words.
 MAX_WORDS = 12
 BROADCAST_ROWS = 200_000
 
@@ -31,13 +32,19 @@ def match_dictionary(words: DataFrame, dictionary: DataFrame, *, text_col: str =
     Pages without the first word of any entry are left out before windows are
     built; the dictionary is broadcast while it is small.
     """
-    d = dictionary.withColumn("gram", F.array_join(tokens(F.col(text_col)), " ")).withColumn("n", F.size(tokens(F.col(text_col)))).where((F.col("n") > 0) & (F.col("n") <= MAX_WORDS))
+    d = dictionary.withColumn("gram", F.array_join(tokens(F.col(text_col)), " ")).withColumn("n", F.size(tokens(F.col(text_col)))).where(F.col("n") > 0)
     sizes = sorted(r.n for r in d.select("n").distinct().collect()) or [1]
     few = d.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     first = d.select(F.substring_index("gram", " ", 1).alias("first"), *by).distinct()
     starts = words.select(*keys, match_form(F.col("text")).alias("first")).join(F.broadcast(first) if few else first, ["first", *by], "left_semi").select(*keys).distinct()
     near = words.join(starts, list(keys), "left_semi")
-    found = grams(near, sizes, keys, bbox)
+    short, long = [n for n in sizes if n <= MAX_WORDS], [n for n in sizes if n > MAX_WORDS]
+    found = grams(near, short, keys, bbox) if short else None
+    if long:
+        heads = d.where(F.col("n") > MAX_WORDS).select(F.substring_index("gram", " ", MAX_WORDS).alias("gram"), *by).distinct()
+        held = grams(near, [MAX_WORDS], keys, None).join(F.broadcast(heads) if few else heads, ["gram", *by], "left_semi").select(*keys).distinct()
+        whole = grams(near.join(held, list(keys), "left_semi"), long, keys, bbox)
+        found = found.unionByName(whole) if short else whole
     return found.join(F.broadcast(d) if few else d, ["gram", "n", *by])
 
 

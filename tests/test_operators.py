@@ -195,3 +195,17 @@ def test_large_groups_merge_as_small_ones(spark):
 def test_groups_above_the_limit_are_kept(spark):
     e = spark.range(merge.MAX_ENTITIES + 1).select(F.lit(1).alias("doc_id"), F.lit("Full Name").alias("entity_type"), F.col("id").cast("int").alias("ent_idx"), F.concat(F.lit("name"), "id").alias("original_text"))
     assert merge.variant_roots(e).where("ent_idx = root_idx").count() == merge.MAX_ENTITIES + 1
+
+
+def test_long_dictionary_entries(spark):
+    said = [f"w{i % 5}" for i in range(30)]
+    w = words(spark, " ".join(["x", *said, "y", *said[:20]]), " ".join(said[:29]))
+    texts = [" ".join(said), " ".join(said[:13]), " ".join([*said, "z"]), "x w0"]
+    d = spark.createDataFrame([(t,) for t in texts], "entity_text string")
+    pages = {i: p.split() for i, p in enumerate([" ".join(["x", *said, "y", *said[:20]]), " ".join(said[:29])])}
+    want = sorted((i, at, t) for i, p in pages.items() for t in texts for at in range(len(p)) if p[at : at + len(t.split())] == t.split())
+    assert sorted((r.doc_id, r.word_idx, r.entity_text) for r in match.match_dictionary(w, d).collect()) == want
+    only = match.match_dictionary(w, d.where("entity_text <> 'x w0'"), bbox="bbox")
+    assert {len(r.boxes) for r in only.collect()} == {13, 30}
+    e = spark.createDataFrame([(0, "a", texts[0]), (1, "b", texts[0])], "doc_id long, entity_id string, original_text string")
+    assert {r.entity_id: len(r.matches) for r in match.entity_boxes(w, e).collect()} == {"a": 1, "b": 0}
