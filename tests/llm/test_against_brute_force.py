@@ -238,3 +238,80 @@ def test_passages_with_partial_quotes(spark):
     for i, want in {1: first, 2: first, 3: set(), 4: set(), 5: both, 6: first}.items():
         # The alignment may take in a few words beyond the ends.
         assert got[i] >= want and len(got[i]) <= len(want) + 8
+
+
+def _planted(rng, passages):
+    """Rows that each hold one of the passages between 20 to 40 random words, and where it stands."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, places = [], []
+    for i, p in enumerate(passages):
+        before = rng.randrange(20, 40)
+        rows.append((i, " ".join([*(word() for _ in range(before)), *p, *(word() for _ in range(30))])))
+        places.append(set(range(before, before + len(p))))
+    return rows, places
+
+
+def _repeats(spark, rows):
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return {r.doc_id: {p for s in r.spans for p in range(s.start, s.end)} for r in substrings.repeated_passages(table).collect()}
+
+
+def test_recall_of_fuzzy_passages(spark):
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rates, passages = [], []
+    for rate in (0, 5, 10, 15, 20):
+        for _ in range(60):
+            p = [word() for _ in range(60)]
+            q = list(p)
+            for k in rng.sample(range(60), 60 * rate // 100):
+                q[k] = word()
+            passages += [p, q]
+            rates += [rate, rate]
+    rows, places = _planted(rng, passages)
+    got = _repeats(spark, rows)
+    caught = defaultdict(list)
+    for i, (rate, at) in enumerate(zip(rates, places)):
+        caught[rate].append(len(got[i] & at) >= 48)
+        assert got[i] <= set(range(min(at) - 2, max(at) + 3))
+    assert all(sum(x) >= 0.9 * len(x) for x in caught.values())
+
+
+def test_passages_whose_parts_others_quote(spark):
+    import random
+
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passages = []
+    for _ in range(60):
+        p = [word() for _ in range(60)]
+        passages += [p, p, p[:36], p[24:]]
+    rows, places = _planted(rng, passages)
+    got = _repeats(spark, rows)
+    for i, at in enumerate(places):
+        assert got[i] >= at if i % 4 < 2 else not got[i]
+
+
+def test_stretches():
+    import random
+
+    rng = random.Random(17)
+    for _ in range(300):
+        runs, x, y = [], 0, 0
+        for _ in range(rng.randrange(1, 8)):
+            x, y = x + rng.randrange(12), y + rng.randrange(12)
+            n = rng.randrange(1, 30)
+            runs.append((x, y, n))
+            x, y = x + n, y + n
+        best = 0
+        for s in range(len(runs)):
+            for e in range(s, len(runs)):
+                equal = sum(r[2] for r in runs[s : e + 1])
+                gaps = sum(max(b[0] - a[0] - a[2], b[1] - a[1] - a[2]) for a, b in zip(runs[s:e], runs[s + 1 : e + 1]))
+                size = min(runs[e][k] + runs[e][2] - runs[s][k] for k in (0, 1))
+                if equal >= 0.8 * (equal + gaps) - 1e-9:
+                    best = max(best, size)
+        found = [min(e - s, f - t) for s, e, t, f in substrings.stretches(runs, 1, 0.8)]
+        assert max(found, default=0) == best
