@@ -14,9 +14,11 @@ LOWER = UPPER.lower()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is configured."""
+    """The shared folder of the session; a temporary one where none is configured and all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="maskwright-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,6 +32,15 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_settled(*frames: DataFrame) -> None:
+    """Delete what settle wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+        for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = hadoop.Path(at)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -51,6 +62,17 @@ def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType(schema.fields + T._parse_datatype_string(ddl).fields)
 
 
+#: What is broadcast has no more rows and bytes than that.
+SMALL_ROWS, SMALL_BYTES = 500_000, 64 << 20
+
+
+def if_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """The frame, to be broadcast if its rows and bytes, which are counted, allow it; best a settled one."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(16))
+    got = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if got.n <= rows and got.b <= size else df
+
+
 #: A key is hot if it holds one in HOT_KEYS rows; no more keys than that can.
 HOT_KEYS = 2000
 
@@ -76,6 +98,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "cc")
     before = None
     for _ in range(rounds):
+        old = e
         # Large star: each node's larger neighbours go to the smallest node around it.
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -84,6 +107,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = e.groupBy("b").agg(F.min("a").alias("m"))
         e = e.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
         e = settle(e, "cc")
+        drop_settled(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

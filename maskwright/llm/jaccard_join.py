@@ -20,15 +20,17 @@ class, segment content); the trees are built inside tiles.
 
 Steps, all on Spark:
 1. each document: set hash, size, tile keys. Documents with equal sets are one
-   node from here on, so copies cost nothing and are not expanded to pairs;
-2. each tile names a leader, its node that shares the most tiles with others; a
-   node is verified against the leader it meets most often. This joins a large
-   group of near copies by one pair a member, not by all pairs;
+   node from here on, so copies cost nothing and are not expanded to pairs; tile
+   keys that only one node has are dropped by a filter of bounded size;
+2. each tile names a leader, its node that has the most tiles; a node follows the
+   leader it meets most often. The points of a leader's followers are put in
+   R-trees, which the leader's own point searches; survivors are verified. This
+   joins a large group of near copies by one pair a member, not by all pairs;
 3. tiles whose members are still in different components are searched: pages of
    at most `PAGE` points with an R-tree each, queried by the members outside
    the tile's largest component; survivors are verified. Together with 2 every
    pair that could link is verified or already connected;
-4. components of the links.
+4. components of the links, which all came out of an R-tree.
 
 Defined results: null, empty and wordless texts have no shingles and are
 components of their own; a text of fewer than k words is one shingle; repeated
@@ -47,12 +49,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, settle
+from .common import LOWER, UPPER, components, free_name, if_small, join_by_key, settle
+from .shared import flat, shared_values, sum_of_sizes
 
 GROUPS = 256
 PAGE = 256
-LEAF = 16
-BROADCAST_IDS = 500_000
+#: Entries of a node of an R-tree.
+LEAF = 8
 #: Lowest tiles of a node that travel with it, and what stands for fewer.
 FIRST_TILES = 8
 NO_TILE = (1 << 63) - 1
@@ -140,11 +143,19 @@ def _describe(k: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) ->
             n, sig, tile, owner = _tiles(h, row, b.rows, num, den)
             offsets = np.r_[0, np.cumsum(K.per_row(owner, b.rows))].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(b.first, b.rows), pa.array(n), pa.array(K.signed(sig)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(K.signed(tile)))],
-                names=["doc_id", "n", "sig", "tiles"],
+                [batch.column(0).slice(b.first, b.rows), batch.column(2).slice(b.first, b.rows), pa.array(n), pa.array(K.signed(sig)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(K.signed(tile)))],
+                names=["doc_id", "copy", "n", "sig", "tiles"],
             )
 
 
+def _shared_tiles(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, tile) of the tiles that several nodes have, and of a few more."""
+    for batch in batches:
+        tiles, row = flat(batch.column(1))
+        keep = held.value.keeps(tiles.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[keep])), pa.array(tiles[keep])], names=["sig", "tile"])
+
+
 def _sets(k: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in K.blocks(batch.column(0)):
@@ -169,26 +180,39 @@ def _points(stored: list[bytes]) -> np.ndarray:
 
 
 class RTree:
-    """Points packed into leaves, leaves into boxes; a box keeps its largest counts and smallest set."""
+    """Points in boxes of LEAF, boxes in boxes of LEAF up to one root; a box keeps its largest counts, and its smallest and largest set."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        # Neighbours in the order of size and of the widest coordinates share a leaf.
-        spread = np.argsort(-points.var(0))[:2]
-        self.order = np.lexsort((points[:, spread[1]], points[:, spread[0]], sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        starts = np.arange(0, len(points), LEAF)
-        self.high = np.maximum.reduceat(self.points, starts, 0)
-        self.small = np.minimum.reduceat(self.sizes, starts)
-        self.large = np.maximum.reduceat(self.sizes, starts)
+        order = np.arange(len(points))
+        # Bulk load: halves along the count that differs most, in whole leaves.
+        parts, self.order = [order], []
+        while parts:
+            part = parts.pop()
+            if len(part) <= LEAF:
+                self.order.append(part)
+                continue
+            spread = np.argmax(np.ptp(points[part], 0))
+            part = part[np.lexsort((sizes[part], points[part, spread]))]
+            half = -(-len(part) // 2 // LEAF) * LEAF
+            parts += [part[half:], part[:half]]
+        self.order = np.concatenate(self.order) if len(points) else order
+        self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
+        while len(self.levels[-1][1]) > 1:
+            high, small, large = self.levels[-1]
+            starts = np.arange(0, len(small), LEAF)
+            self.levels.append((np.maximum.reduceat(high, starts, 0), np.minimum.reduceat(small, starts), np.maximum.reduceat(large, starts)))
 
     def search(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
         """Indexes of all points that may link with a set of that point and size."""
-        # |intersection| >= num / (num + den) * (size + other)
-        boxes = (np.minimum(self.high, point).sum(1) * (num + den) >= num * (size + self.small)) & (self.large * den >= num * size) & (self.small * num <= den * size)
-        at = (np.flatnonzero(boxes)[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = at[at < len(self.points)]
-        good = np.minimum(self.points[at], point).sum(1) * (num + den) >= num * (size + self.sizes[at])
-        return self.order[at[good]]
+        at = np.arange(len(self.levels[-1][1]))
+        for depth, (high, small, large) in reversed(list(enumerate(self.levels))):
+            at = at[(large[at] * den >= num * size) & (small[at] * num <= den * size)]
+            # |intersection| >= num / (num + den) * (size + other)
+            at = at[np.minimum(high[at], point).sum(1) * (num + den) >= num * (size + small[at])]
+            if depth:
+                at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
+                at = at[at < len(self.levels[depth - 1][1])]
+        return self.order[at]
 
 
 def _search(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,34 +268,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(one, "a").join(two, "b").where(both * den >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of docs."""
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _placed(members: DataFrame, sets: DataFrame) -> DataFrame:
+    return members.join(sets.select("sig", "n", "point"), "sig")
+
+
+def _candidates(held: DataFrame, asks: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) that R-trees over `held` give for the queries `asks`, page by page."""
+    columns = ["tile", "page", "sig", "comp", "big", "n", "point", "firsts", "query"]
+    pages = held.withColumn("query", F.lit(False)).select(columns).union(asks.withColumn("query", F.lit(True)).select(columns))
+    pages = pages.repartition("tile", "page").sortWithinPartitions("tile", "page")
+    pairs = pages.mapInArrow(lambda it: _search(num, den, it), "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _page(pages: str = "pages"):
+    return F.pmod(F.xxhash64("sig"), F.col(pages))
+
+
+def _every_page(pages: str = "pages"):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(pages) - 1))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, figures: dict | None = None) -> DataFrame:
+    """(doc_id, copy, n, sig, component), a row for each row of docs: hashes of the text and of the set, and the set's component."""
+    text = F.col(text_col)
+    kept = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("copy"))
     id_type = kept.schema["doc_id"].dataType.simpleString()
-    described = settle(kept.mapInArrow(lambda it: _describe(k, num, den, it), f"doc_id {id_type}, n long, sig long, tiles array<long>"), "sets")
-
-    # A tile's rows stream by in the order of their nodes: the first is the leader.
-    keys = described.select("sig", F.explode("tiles").alias("tile"))
-    by_tile = Window.partitionBy("tile").orderBy("sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = settle(keys.withColumn("leader", F.first("sig").over(by_tile)).where("sig <> leader").distinct(), "met")
-
-    # Of a group of near copies, what they were made from shares the most tiles: it leads from here on.
-    shared = settle(met.select("tile", "sig").union(met.select("tile", F.col("leader").alias("sig"))).distinct(), "shared")
-    score = shared.groupBy("sig").count().select("sig", F.col("count").alias("score"))
-    hubs = shared.join(score, "sig").groupBy("tile").agg(F.max(F.struct("score", F.col("sig").alias("leader"))).alias("hub"))
-    met = settle(shared.join(hubs, "tile").select("tile", "sig", "hub.leader", "hub.score").where("sig <> leader"), "met")
+    described = settle(kept.mapInArrow(lambda it: _describe(k, num, den, it), f"doc_id {id_type}, copy long, n long, sig long, tiles array<long>"), "sets")
+
+    held = docs.sparkSession.sparkContext.broadcast(shared_values(described, "sig", "tiles", sum_of_sizes(described, "tiles")))
+    keys = settle(described.select("sig", "tiles").mapInArrow(lambda it: _shared_tiles(held, it), "sig long, tile long").distinct(), "keys")
+    total = keys.count()
+    # Of a group of near copies, what they were made from has the most tiles: it leads.
+    score = keys.groupBy("sig").agg(F.count("*").alias("score"))
+    hubs = keys.join(score, "sig").groupBy("tile").agg(F.max(F.struct("score", "sig")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = settle(hubs.select("tile", F.col("hub.sig").alias("leader"), F.col("hub.score").alias("score"), "n"), "hubs")
+    met = settle(join_by_key(keys, hubs, "tile", total).where("sig <> leader").select("tile", "sig", "leader", "score"), "met")
     votes = met.groupBy("sig", "leader", "score").count()
-    first = votes.groupBy("sig").agg(F.max_by("leader", F.struct("count", "score", "leader")).alias("leader"))
+    first = settle(votes.groupBy("sig").agg(F.max_by("leader", F.struct("count", "score", "leader")).alias("leader")), "first")
     nodes = met.select("sig").union(met.select(F.col("leader").alias("sig"))).distinct()
-    ids = settle(described.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(nodes, "sig", "left_semi"), "ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = ids.select(F.col("doc_id").alias("wanted")).distinct()
-    texts = kept.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    ids = settle(described.groupBy("sig").agg(F.min(F.struct("doc_id", "copy")).alias("d")).join(nodes, "sig", "left_semi").select("sig", "d.doc_id", "d.copy"), "ids")
+    wanted = ids.select(F.col("doc_id").alias("wanted"), F.col("copy").alias("wanted_copy"))
+    texts = kept.join(if_small(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")) & (F.col("copy") == F.col("wanted_copy")), "left_semi").select("text")
     sets = texts.mapInArrow(lambda it: _sets(k, num, den, it), "sig long, n long, shingles array<long>, point binary")
-    # Copies of a representative have its id only if ids repeat.
-    sets = settle(sets.join(ids.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "shingles")
-
-    links = settle(_verified(first.select(F.col("leader").alias("a"), F.col("sig").alias("b")), sets, num, den), "links")
+    # Rows that repeat id and text give their set once each.
+    sets = settle(sets.dropDuplicates(["sig"]), "shingles")
+
+    none = F.array_repeat(F.lit(NO_TILE), FIRST_TILES)
+    led = first.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(PAGE)).alias("pages"))
+    of = lambda df, comp: df.withColumn("comp", F.lit(comp).cast("long")).withColumn("big", F.lit(0).cast("long")).withColumn("firsts", none)
+    followers = _placed(first.join(led, "leader").select(F.col("leader").alias("tile"), "sig", "pages"), sets).withColumn("page", _page())
+    leaders = _placed(led.select(F.col("leader").alias("tile"), F.col("leader").alias("sig"), "pages"), sets).withColumn("page", _every_page())
+    found = _candidates(of(followers, 0), of(leaders, 1), num, den)
+    links = settle(_verified(found, sets, num, den), "links")
     comps = settle(components(links), "comps")
 
     comp_of = lambda c, name: comps.select(F.col("id").alias(c), F.col("component").alias(name))
@@ -283,39 +332,64 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shares = members.groupBy("tile", "comp").count()
     tiles = shares.groupBy("tile").agg(F.max_by("comp", F.struct("count", "comp")).alias("big"), F.ceil(F.sum("count") / F.lit(PAGE)).alias("pages"))
     # A node has no more tiles than keys, a fraction of its own shingles.
-    lowest = F.slice(F.concat(F.array_sort(F.collect_list("tile")), F.array_repeat(F.lit(NO_TILE), FIRST_TILES)), 1, FIRST_TILES)
+    lowest = F.slice(F.concat(F.array_sort(F.collect_list("tile")), none), 1, FIRST_TILES)
     firsts = members.groupBy("sig").agg(lowest.alias("firsts"))
-    placed = members.join(tiles, "tile").join(sets.select("sig", "n", "point").join(firsts, "sig"), "sig")
-    held = placed.withColumn("page", F.pmod(F.xxhash64("sig"), F.col("pages"))).withColumn("query", F.lit(False))
-    asks = placed.where("comp <> big").withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1))).withColumn("query", F.lit(True))
-    columns = ["tile", "page", "sig", "comp", "big", "n", "point", "firsts", "query"]
-    pages = held.select(columns).union(asks.select(columns)).repartition("tile", "page").sortWithinPartitions("tile", "page")
-    pairs = pages.mapInArrow(lambda it: _search(num, den, it), "a long, b long")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = settle(_verified(pairs, sets, num, den), "links")
+    placed = _placed(members.join(tiles, "tile").join(firsts, "sig"), sets)
+    found = settle(_candidates(placed.withColumn("page", _page()), placed.where("comp <> big").withColumn("page", _every_page()), num, den), "found")
+    more = settle(_verified(found, sets, num, den), "links")
+    if figures is not None:
+        figures |= {"followers": first.count(), "links": links.count(), "open_candidates": found.count(), "open_links": more.count()}
     if more.limit(1).count():
         comps = settle(components(links.unionByName(more)), "comps")
+    rows = described.select("doc_id", "copy", "n", "sig")
+    return rows.join(comps.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+
 
-    named = described.select("doc_id", "n", "sig").withColumn("node", F.when(F.col("n") > 0, F.col("sig")))
-    smallest = named.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("low")).join(comps.select(F.col("id").alias("sig"), "component"), "sig", "left")
-    smallest = smallest.withColumn("component", F.coalesce("component", "sig"))
-    lows = smallest.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_node = smallest.select(F.col("sig").alias("node"), "component").join(lows, "component").select("node", "component_id")
-    # Documents without shingles are alone; a negative key of their own keeps them from meeting in one task.
-    out = named.join(of_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, figures: dict | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of docs; `figures` takes how many candidates and links the R-trees gave."""
+    rows = _grouped(docs, id_col, text_col, k, num, den, figures)
+    lows = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1")
+    # Most components are one document; those of none at all don't meet.
+    out = rows.join(lows.withColumn("some", F.lit(True)), (rows["component"] == lows["component"]) & (rows["n"] > 0), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("some"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component: the one with its smallest id.
+    """One row of each component: the one of its smallest id, then of its smallest text hash; rows without an id come last.
 
-    Rows without an id stay; rows that repeat an id stay or go together.
+    Documents are told apart by id and text, so an id that stands on several texts
+    drops none of them for another's sake. Texts without words stay.
     """
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, k=k, num=num, den=den)
-    drop = settle(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_drop_id")).distinct(), "drop")
-    drop = F.broadcast(drop) if drop.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else drop
-    return docs.join(drop, docs[id_col] == drop["_drop_id"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = settle(_grouped(docs, id_col, text_col, k, num, den).where("n > 0").groupBy("component", "doc_id", "copy").agg(F.count("*").alias("times")), "rows")
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("best"), F.sum("times").alias("size")).where("size > 1")
+    marked = rows.join(best, "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("copy") == F.col("best.copy"))
+    drop = settle(marked.where(~stays).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")), "drop")
+    again = settle(marked.where(stays & (F.col("times") > 1)).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")), "again")
+    same = lambda a, b: a[id_col].eqNullSafe(b["_id"]) & (F.xxhash64(a[text_col]) == b["_copy"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    drop = if_small(drop)
+    kept = docs.join(drop, same(docs, drop), "left_anti").select(*columns)
+    if not again.limit(1).count():
+        return kept
+    again = if_small(again)
+    copies = kept.join(again, same(kept, again), "left_semi").withColumn(c := free_name(kept, "_copy_hash"), F.xxhash64(F.col(text_col))).dropDuplicates([id_col, c])
+    return kept.join(again, same(kept, again), "left_anti").unionByName(copies.select(*columns))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def jaccard_sql(documents: str = "documents", k: int = 3, num: int = 90, den: int = 100) -> str:
+    """DuckDB SQL for jaccard_components by brute force: every pair that shares a shingle is counted."""
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {documents}),
+s AS (SELECT r, unnest(list_distinct(CASE WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) END)) AS x FROM d WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS same FROM s AS a JOIN s AS b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM p JOIN n AS u ON u.r = a JOIN n AS v ON v.r = b WHERE {den} * same >= {num} * (u.n + v.n - same)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(r, q) AS (SELECT r, r FROM d UNION SELECT c.r, e.b FROM c JOIN e ON c.q = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (r) JOIN (SELECT c.r, min(o.doc_id) AS component_id FROM c JOIN d AS o ON o.r = c.q GROUP BY c.r) AS m USING (r)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .decontaminate import contamination_sql, op3_decontaminate
-from .jaccard_join import op10_jaccard_join
+from .jaccard_join import jaccard_sql, op10_jaccard_join
 from .language_id import op7_language_id
 from .language_model import op4_language_model
 from .licenses import op2_license_scan
@@ -33,4 +33,5 @@ ORACLES = {
     "op1_mix_sources": mix_sql(),
     "op3_decontaminate": contamination_sql(),
     "op5_line_dedup": line_sql(),
+    "op10_jaccard_join": jaccard_sql(),
 }

@@ -78,3 +78,53 @@ def test_lines_without_broadcast(spark):
     docs = spark.createDataFrame([(i, f"head\nbody {i}\n\nhead", "s") for i in range(5)], "doc_id long, text string, source string")
     for limit in (0, 100):
         assert {r.text for r in lines.drop_boilerplate(docs, broadcast_lines=limit).collect()} == {f"body {i}\n" for i in range(5)}
+
+
+def test_duplicates_go_by_id_and_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (5, a), (5, b), (7, None), (7, None), (8, ""), (9, b), (9, b), (None, a), (10, a + " x"), (11, "one two"), (11, "one two"), (None, "alone it stands")]
+    docs = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, copy int, _id string")
+    kept = jaccard_join.deduplicate(docs)
+    assert kept.columns == docs.columns
+    want = [(1, a), (5, b), (7, None), (7, None), (8, ""), (11, "one two"), (None, "alone it stands")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_tree_gives_what_the_bound_allows():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 60, 300):
+        points = rng.poisson(1.5, (n, 32))
+        sizes = points.sum(1)
+        tree = jaccard_join.RTree(points, sizes)
+        for q in range(0, n, 7):
+            near = np.minimum(points, points[q]).sum(1) * 180 >= 80 * (sizes + sizes[q])
+            near &= (sizes * 100 >= 80 * sizes[q]) & (sizes * 80 <= 100 * sizes[q])
+            assert sorted(tree.search(points[q], int(sizes[q]), 80, 100).tolist()) == np.flatnonzero(near).tolist()
+
+
+def test_links_come_from_trees(spark):
+    base = [[f"w{i}x{j}" for j in range(60)] for i in range(20)]
+    rows = [(i * 100 + k, " ".join([*w, f"t{i}x{k}"])) for i, w in enumerate(base) for k in range(6)]
+    figures = {}
+    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=90, den=100, figures=figures).collect()
+    assert {r.component_id for r in out} == {i * 100 for i in range(20)}
+    assert figures["links"] + figures["open_links"] >= 100
+
+
+def test_shared_values(spark):
+    import random
+
+    from maskwright.llm import shared
+
+    rng = random.Random(3)
+    lists = [(n, [rng.randrange(-(1 << 63), 1 << 63) for _ in range(50)]) for n in range(40)]
+    both = [v for n, vs in lists[:10] for v in vs[:5]]
+    lists += [(100 + i, [v, v]) for i, v in enumerate(both)] + [(200, None), (201, [])]
+    found = shared.shared_values(spark.createDataFrame(lists, "node long, v array<long>").repartition(5), "node", "v", 2100)
+    import numpy as np
+
+    keeps = lambda vs: len(found.keeps(np.array(vs, np.int64).view(np.uint64)))
+    assert keeps(both) == len(both)
+    assert keeps([v for _, vs in lists[10:40] for v in vs]) < 300
