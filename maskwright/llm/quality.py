@@ -174,13 +174,13 @@ def _measure(model: Trees | None, batches: Iterator[pa.RecordBatch]) -> Iterator
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Trees | None:
-    """Trees from at most `sample` labelled documents; None unless both labels occur."""
+    """Trees from at most `sample` labelled ids, one document each (of several the one with the lowest statistics); None unless both labels occur."""
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.round(F.avg(label_col)).alias("y"))
     y = y.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(y.select("id")), "id", "left_semi")
     id_type = rows.schema["id"].dataType.simpleString()
     ddl = f"id {id_type}, {', '.join(f'{c} long' for c in COUNTS)}, features array<double>"
-    got = rows.mapInArrow(lambda it: _measure(None, it), ddl).join(F.broadcast(y), "id").select("id", "features", "y").limit(2 * sample).collect()
+    got = rows.mapInArrow(lambda it: _measure(None, it), ddl).groupBy("id").agg(F.min("features").alias("features")).join(F.broadcast(y), "id").collect()
     got = sorted(got, key=lambda r: (str(r.id), r.features))
     if len({r.y for r in got}) < 2:
         return None
