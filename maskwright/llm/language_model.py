@@ -1,29 +1,31 @@
-"""Language-model scoring: a class-factored log-bilinear model trained by noise contrast.
-
-p(word | context) = p(class | context) * p(word | class).
-
-The classes are the `TOP` most frequent tokens, alone, and `SUFFIX` classes of
-all other words by their last two bytes. p(class | context) is log-bilinear: the
-embeddings of the two classes before, each through its own matrix, predict a
-class vector; the scores of all classes come from one matrix product and are
-normalised. p(word | class) is the class's add-0.1 unigram model, with one
-unseen word per class, so the probabilities of a context sum to one.
-
-Every training token counts. Words are counted by a Spark aggregation whose size
-follows the corpus; class triples (two before, target) are counted by another,
-whose size is bounded by CLASSES^3 whatever the corpus; on those counts the
-model is trained in numpy, contrasting data with noise from the class unigrams
-(`NOISE` noise draws per token, taken in expectation over all classes, hence
-without sampling error).
+"""Language-model scoring: a log-bilinear model of words, trained by noise contrast.
+
+p(word | context) = p(class | context) * p(word | class, context).
+
+The `VOCAB` most frequent words of the training texts have embeddings of their own,
+as contexts and as targets; the other ones share those of `SUFFIX` groups by their
+last two bytes. The embeddings of the two words before, each through its own
+matrix, predict a vector; its products with the target vectors are the scores of
+the words. The words' classes are learned: target vectors are halved along their
+main direction until `MEMBERS` are left. Class and word in class come from one
+matrix product each and are normalised; a word without an embedding is scored by
+its group's add-0.1 unigram model, with one unseen word each. So the probabilities
+of a context sum to one.
+
+Training is in numpy, inside Spark tasks, over every training token: a task walks
+its texts in batches, each against `NOISE` words drawn from the unigrams, and Spark
+averages the tasks' parameters row by row, weighted by how often a task met the
+row. First the embeddings (`ROUNDS` times), then, with these fixed, the class
+vectors. All words are counted by a Spark aggregation whose size follows the corpus.
 
 Scoring reads the texts once. The `COMMON` most frequent words at most, with
-counts, are broadcast; other words meet their counts in a shuffle join by word,
-pre-summed by document. No such word is frequent, so the join has no hot key.
+counts, are broadcast; the others of a document leave it as a list and meet their
+counts in a join of which the frequent ones take part by broadcast.
 
 Defined results: null, empty and wordless texts are scored for their end token
 alone; repeated rows are scored each; without training documents all counts are
-0 and the model is uniform over one class; empty tables give no rows; only the
-id and text columns are read. Words are told apart by 64-bit hashes.
+0 and the model is uniform over its groups; empty tables give no rows; only the id
+and text columns are read. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,25 +34,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import crc_bucket, settle
+from .common import crc_bucket, drop_settled, join_by_key, settle
+from .shared import flat
 
-TOP, SUFFIX = 80, 48
-CLASSES = TOP + SUFFIX
-START = CLASSES
-DIM, NOISE, STEPS, STEP_SIZE = 32, 10, 120, 0.03
+VOCAB, MEMBERS, SUFFIX = 16_384, 128, 64
+DIM, NOISE, BATCH, ROUNDS, RATE = 32, 32, 1024, 1, 0.05
+#: Tokens scored at once.
+LOT = 4096
 COMMON = 1_000_000
 FOLDS, HELD_OUT = 10, 0
 ALPHA = 0.1
 #: The token that ends each text; no word hashes to it but by chance.
 END = np.uint64(0x9E3779B97F4A7C15)
+#: Parameter rows that travel together.
+ROWS = 1024
 
 
 def _text_tokens(b: K.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, suffix class and row of all words of a block, and of the end of each row, in text order."""
+    """Hash, suffix group and row of all words of a block, and of the end of each row, in text order."""
     t = K.tokens(b, K.NON_SPACE)
     low = K.LOWER[b.data] if len(b.data) else np.zeros(1, np.uint8)
     last = low[t.end - 1].astype(np.int64)
@@ -92,202 +98,326 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*joined())
 
 
-class Words:
-    """Counts of common words, and classes of the top ones."""
+def _find(sorted_hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Index of each hash, -1 if not there."""
+    if not len(sorted_hashes):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)
+    return np.where(sorted_hashes[at] == h, at, -1)
+
 
-    def __init__(self, word: np.ndarray, n: np.ndarray):
+class Vocabulary:
+    """The words with embeddings, and groups of the others: units 0 .. n-1 and n .. n+SUFFIX-1; START is one more, as context only."""
+
+    def __init__(self, word: np.ndarray, n: np.ndarray, group_n: np.ndarray, group_v: np.ndarray):
         order = np.argsort(word)
         self.word, self.n = word[order], n[order]
-        top = np.lexsort((self.word, -self.n))[:TOP]
-        self.top = np.full(len(word), -1)
-        self.top[top] = np.arange(len(top))
+        self.size = len(word)
+        self.units = self.size + SUFFIX
+        #: Tokens of each unit, and of a group's unigram model with its unseen word.
+        self.tokens = np.r_[self.n, group_n].astype(np.float64)
+        self.log_group = np.log10(group_n + ALPHA * (group_v + 1))
+
+    def units_of(self, h: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        at = _find(self.word, h)
+        return np.where(at >= 0, at, self.size + suffix)
+
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Index of each hash among the common words, -1 if not there."""
-        if not len(self.word):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
-        return np.where(self.word[at] == h, at, -1)
+def contexts(unit: np.ndarray, row: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The units one and two before each token; `start` before the first."""
+    one, two = np.full(len(unit), start), np.full(len(unit), start)
+    one[1:] = np.where(row[1:] == row[:-1], unit[:-1], start)
+    two[2:] = np.where(row[2:] == row[:-2], unit[:-2], start)
+    return one, two
 
 
-def _classes(words: Words, h: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each token; and the block's distinct hashes, which of them each token is, where they are common."""
-    key, inverse = np.unique(h, return_inverse=True)
-    at = words.find(key)
-    top = np.where(at >= 0, words.top[at] if len(words.top) else -1, -1)[inverse]
-    return np.where(top >= 0, top, TOP + suffix), key, inverse, at
+def _sums(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct indexes, the sums of the rows of g that belong to each, and how many."""
+    order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")
+    at = at[order]
+    cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[cuts], np.add.reduceat(g[order], cuts, 0), np.diff(np.r_[cuts, len(at)])
 
 
-def _contexts(cls: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Index of the two classes before each token; START before the first."""
-    one, two = np.full(len(cls), START), np.full(len(cls), START)
-    one[1:] = np.where(row[1:] == row[:-1], cls[:-1], START)
-    two[2:] = np.where(row[2:] == row[:-2], cls[:-2], START)
-    return one * (CLASSES + 1) + two
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _count_triples(words: Words, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((CLASSES + 1) ** 2 * CLASSES, np.int32)
+def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural log of the share of column `at` of each row of scores."""
+    s -= s.max(1, keepdims=True)
+    own = s[np.arange(len(s)), at]
+    return own - np.log(np.exp(s, out=s).sum(1))
+
+
+class LogBilinear:
+    """Context embeddings r, matrices c of the two places, target vectors q and class vectors k; the last column of q and k is the bias."""
+
+    def __init__(self, tokens: np.ndarray, seed: int = 1):
+        rng = np.random.default_rng(seed)
+        f = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
+        self.share = (tokens + ALPHA) / (tokens + ALPHA).sum()
+        self.p = {"r": f(len(tokens) + 1, DIM), "c": np.concatenate([np.eye(DIM, dtype=np.float32)] * 2) + f(2 * DIM, DIM) / 10, "q": f(len(tokens), DIM + 1)}
+        self.p["q"][:, -1] = np.log(self.share)
+        self.class_of = np.zeros(len(tokens), np.int64)
+        self.members: list[np.ndarray] = []
+
+    def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The vector that each context predicts, and 1 for the bias."""
+        r, c = self.p["r"], self.p["c"]
+        return np.concatenate([r[one] @ c[:DIM] + r[two] @ c[DIM:], np.ones((len(one), 1), np.float32)], 1)
+
+    def learn_classes(self, words: int) -> None:
+        """Halves the words' target vectors along their main direction; each group of the other words is a class."""
+        parts, self.members = [np.arange(words)] if words else [], []
+        while parts:
+            part = parts.pop()
+            if len(part) <= MEMBERS:
+                self.members.append(np.sort(part))
+                continue
+            x = self.p["q"][part, :DIM].astype(np.float64)
+            x -= x.mean(0)
+            along = x @ np.linalg.eigh(x.T @ x)[1][:, -1]
+            part = part[np.lexsort((part, along))]
+            parts += [part[len(part) // 2 :], part[: len(part) // 2]]
+        self.members += [np.array([u]) for u in range(words, len(self.share))]
+        for c, m in enumerate(self.members):
+            self.class_of[m] = c
+        self.class_share = np.bincount(self.class_of, self.share, len(self.members))
+        k = np.stack([np.average(self.p["q"][m], axis=0, weights=self.share[m]) for m in self.members]).astype(np.float32)
+        k[:, -1] = np.log(self.class_share)
+        self.p["k"] = k
+
+    def log10(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log10 p(unit | the units one and two before), for each token."""
+        h = self.predicted(one, two)
+        cls = self.class_of[unit]
+        out = np.zeros(len(unit))
+        for at in range(0, len(unit), LOT):
+            out[at : at + LOT] = _log_softmax(h[at : at + LOT] @ self.p["k"].T, cls[at : at + LOT])
+        order = np.argsort(cls, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(cls[order]) > 0]) if len(cls) else []
+        for i, j in zip(cuts, [*cuts[1:], len(order)]):
+            rows = order[i:j]
+            m = self.members[cls[rows[0]]]
+            if len(m) > 1:
+                out[rows] += _log_softmax(h[rows] @ self.p["q"][m].T, np.searchsorted(m, unit[rows]))
+        return out / np.log(10)
+
+
+class Trainer:
+    """Noise-contrastive steps of one task, on its own copy of the parameters."""
+
+    def __init__(self, model: LogBilinear, classes: bool):
+        self.model, self.classes = model, classes
+        self.names = ("k",) if classes else ("r", "c", "q")
+        model.p = {name: x.copy() if name in self.names else x for name, x in model.p.items()}
+        self.square = {name: np.full(len(model.p[name]), 1e-6, np.float32) for name in self.names}
+        self.met = {name: np.zeros(len(model.p[name])) for name in self.names}
+        share = model.class_share if classes else model.share
+        self.log_noise = np.log(NOISE * share).astype(np.float32)
+        self.up_to = np.cumsum(share)
+        self.rng = np.random.default_rng(7)
+
+    def _move(self, name: str, at: np.ndarray, grad: np.ndarray, times: np.ndarray) -> None:
+        """Adagrad with one step size a row."""
+        self.square[name][at] += (grad * grad).mean(1)
+        self.model.p[name][at] += RATE * grad / np.sqrt(self.square[name][at])[:, None]
+        self.met[name][at] += times
+
+    def step(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        p = self.model.p
+        target = self.model.class_of[unit] if self.classes else unit
+        q = p["k"] if self.classes else p["q"]
+        noise = np.minimum(np.searchsorted(self.up_to, self.rng.random(NOISE) * self.up_to[-1]), len(self.up_to) - 1)
+        h = self.model.predicted(one, two)
+        real = 1 - _sigmoid((h * q[target]).sum(1) - self.log_noise[target])
+        false = -_sigmoid(h @ q[noise].T - self.log_noise[noise])
+        name = "k" if self.classes else "q"
+        dh = None if self.classes else real[:, None] * q[target] + false @ q[noise]
+        self._move(name, *_sums(np.r_[target, noise], np.concatenate([real[:, None] * h, false.T @ h])))
+        if not self.classes:
+            dh = dh[:, :DIM]
+            r, c = p["r"], p["c"]
+            turned = np.concatenate([r[one].T @ dh, r[two].T @ dh])
+            self._move("r", *_sums(np.r_[one, two], np.concatenate([dh @ c[:DIM].T, dh @ c[DIM:].T])))
+            self._move("c", np.arange(2 * DIM), turned, np.full(2 * DIM, len(unit)))
+
+
+def _units(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The units of each text."""
     for batch in batches:
         for b in K.blocks(batch.column(0)):
             h, suffix, row = _text_tokens(b)
-            cls = _classes(words, h, suffix)[0]
-            key, n = np.unique(_contexts(cls, row) * CLASSES + cls, return_counts=True)
-            total[key] += n.astype(np.int32)
-    at = np.flatnonzero(total)
-    for i in range(0, len(at), 100_000):
-        part = at[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], names=["triple", "n"])
+            offsets = np.r_[0, np.cumsum(K.per_row(row, b.rows))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(held.value.units_of(h, suffix).astype(np.int32)))], names=["units"])
+
+
+def _train(held, classes: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task's texts make of the parameters: rows of each matrix times how often they were met."""
+    units, model = held.value
+    # The broadcast object is the worker's own and of several tasks: only a copy changes.
+    own = LogBilinear.__new__(LogBilinear)
+    own.__dict__ = dict(model.__dict__)
+    trainer = Trainer(own, classes)
+    rest = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        unit, row = flat(batch.column(0))
+        rest = [np.concatenate(x) for x in zip(rest, (unit, *contexts(unit, row, units)))]
+        while len(rest[0]) >= BATCH:
+            trainer.step(*(x[:BATCH] for x in rest))
+            rest = [x[BATCH:] for x in rest]
+    if len(rest[0]):
+        trainer.step(*rest)
+    for name in trainer.names:
+        x, met = own.p[name], trainer.met[name]
+        for i in range(0, len(x), ROWS):
+            w = met[i : i + ROWS].astype(np.float32)
+            if w.any():
+                yield _packed([name], [i], [w], [x[i : i + ROWS] * w[:, None]])
 
 
-class LogBilinear:
-    """Embeddings of context classes, a matrix for each of two positions, target vectors and biases."""
+def _packed(names: list[str], starts: list[int], weights: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
+    lists = lambda xs: pa.array([x.ravel() for x in xs], pa.list_(pa.float32()))
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(starts, pa.int64()), lists(weights), lists(values)], names=["name", "start", "weight", "value"])
 
-    def __init__(self, counts: np.ndarray, seed: int = 1):
-        """counts: of targets (columns) by context (rows)."""
-        rng = np.random.default_rng(seed)
-        scale = 0.1
-        self.r = rng.normal(0, scale, (CLASSES + 1, DIM))
-        self.c1, self.c2 = np.eye(DIM) + rng.normal(0, scale / 10, (DIM, DIM)), np.eye(DIM) + rng.normal(0, scale / 10, (DIM, DIM))
-        self.q = rng.normal(0, scale, (CLASSES, DIM))
-        seen = counts.sum(0) + 1.0
-        noise = seen / seen.sum()
-        self.b = np.log(noise)
-        if counts.sum():
-            self._train(counts, noise)
-
-    def _context(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.r @ self.c1, self.r @ self.c2
-
-    def _train(self, counts: np.ndarray, noise: np.ndarray) -> None:
-        at = np.flatnonzero(counts.sum(1))
-        n = counts[at].astype(np.float32)
-        n /= n.sum()
-        one, two = at // (CLASSES + 1), at % (CLASSES + 1)
-        shift = np.log(NOISE * noise).astype(np.float32)
-        against = NOISE * n.sum(1, keepdims=True) * noise.astype(np.float32)
-        names = ("r", "c1", "c2", "q", "b")
-        m, v = {k: 0.0 for k in names}, {k: 0.0 for k in names}
-        for step in range(1, STEPS + 1):
-            p1, p2 = self._context()
-            ctx = (p1[one] + p2[two]).astype(np.float32)
-            delta = ctx @ self.q.T.astype(np.float32) + self.b.astype(np.float32) - shift
-            real = 1 / (1 + np.exp(-np.clip(delta, -30, 30)))
-            # Derivative of the log likelihood of telling data (n) from noise (against).
-            d = n * (1 - real) - against * real
-            d_ctx = d @ self.q.astype(np.float32)
-            d1, d2 = np.zeros_like(p1), np.zeros_like(p2)
-            np.add.at(d1, one, d_ctx)
-            np.add.at(d2, two, d_ctx)
-            grad = {"q": d.T @ ctx, "b": d.sum(0), "c1": self.r.T @ d1, "c2": self.r.T @ d2, "r": d1 @ self.c1.T + d2 @ self.c2.T}
-            for k in names:
-                m[k] = 0.9 * m[k] + 0.1 * grad[k]
-                v[k] = 0.999 * v[k] + 0.001 * grad[k] ** 2
-                move = (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-10)
-                setattr(self, k, getattr(self, k) + STEP_SIZE * (1 - step / (STEPS + 1)) * move)
-
-    def log10_table(self) -> np.ndarray:
-        """Normalised log10 probability of each class (column) in each context (row)."""
-        p1, p2 = self._context()
-        ctx = (p1[:, None, :] + p2[None, :, :]).reshape(-1, DIM)
-        s = ctx @ self.q.T + self.b
-        s -= s.max(1, keepdims=True)
-        return ((s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)).astype(np.float32)
+
+PARAMETERS = "name string, start long, weight array<float>, value array<float>"
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows that tasks send, as they stream by: one set of parameters is held at most."""
+    total: dict[tuple[str, int], list[np.ndarray]] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+            new = [batch.column(c)[i].values.to_numpy().astype(np.float64) for c in (2, 3)]
+            total[key] = [a + b for a, b in zip(total[key], new)] if key in total else new
+    for (name, start), (w, v) in total.items():
+        yield _packed([name], [start], [w.astype(np.float32)], [v.astype(np.float32)])
+
+
+def train_round(texts: DataFrame, units: int, model: LogBilinear, classes: bool) -> None:
+    """One walk over all texts, as lists of units; the model takes the tasks' average."""
+    held = texts.sparkSession.sparkContext.broadcast((units, model))
+    sent = texts.mapInArrow(lambda it: _train(held, classes, it), PARAMETERS)
+    for r in sent.repartition("name", "start").mapInArrow(_added, PARAMETERS).collect():
+        w, x = np.array(r.weight), model.p[r.name]
+        at = np.flatnonzero(w)
+        x[r.start + at] = np.array(r.value, np.float32).reshape(len(w), -1)[at] / w[at, None]
+    held.destroy()
 
 
 class Scorer:
-    def __init__(self, words: Words, model: LogBilinear, class_size: np.ndarray):
-        self.words, self.model, self.class_size = words, model, class_size
+    def __init__(self, vocabulary: Vocabulary, model: LogBilinear, word: np.ndarray, n: np.ndarray):
+        order = np.argsort(word)
+        self.vocabulary, self.model, self.word, self.n = vocabulary, model, word[order], n[order]
 
 
-def _score(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and one for each of its distinct words that aren't common."""
-    table = scorer.model.log10_table()
-    words, log_size = scorer.words, np.log10(scorer.class_size)
-    log_n = np.log10(words.n + ALPHA)
+def _score(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document; words that aren't common are listed, and counted as unseen."""
+    scorer = held.value
+    v, log_n, unseen = scorer.vocabulary, np.log10(scorer.n + ALPHA), np.log10(ALPHA)
+    serial = TaskContext.get().partitionId() << 40
     for batch in batches:
         for b in K.blocks(batch.column(1)):
-            text_hash = K.run_hash(b.data, b.offs[:-1], b.offs[1:]) if len(b.data) else np.zeros(b.rows, np.uint64)
             h, suffix, row = _text_tokens(b)
-            cls, key, inverse, at = _classes(words, h, suffix)
+            unit = v.units_of(h, suffix)
+            model = scorer.model.log10(unit, *contexts(unit, row, v.units))
+            key, inverse = np.unique(h, return_inverse=True)
+            at = _find(scorer.word, key)
+            part = np.where(at >= 0, log_n[at] if len(log_n) else unseen, unseen)[inverse]
+            grouped = unit >= v.size
+            # Of a group's word: its own count, less the group's total.
+            inside = np.where(grouped, part - v.log_group[np.where(grouped, unit - v.size, 0)], 0.0)
             common = (at >= 0)[inverse]
-            part = np.where(common, log_n[at][inverse] if len(log_n) else 0.0, 0.0)
-            base = K.per_row(row, b.rows, part)
-            model = K.per_row(row, b.rows, table[_contexts(cls, row), cls].astype(np.float64) - log_size[cls])
             rare, times = np.unique(row[~common] * len(key) + inverse[~common], return_counts=True)
             r, w = rare // max(1, len(key)), key[rare % max(1, len(key))] if len(rare) else np.zeros(0, np.uint64)
-            n = b.rows
-            ids = batch.column(0).slice(b.first, n)
-            of = np.r_[np.arange(n), r]
-            zero = np.zeros(len(r))
+            offsets = pa.array(np.r_[0, np.cumsum(K.per_row(r, b.rows))].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array(of)),
-                    pa.array(K.signed(text_hash)[of]),
-                    pa.array(K.signed(np.r_[text_hash, w])),
-                    pa.array(np.r_[np.zeros(n, np.int64), times.astype(np.int64)]),
-                    pa.array(np.r_[K.per_row(row, n), zero.astype(np.int64)]),
-                    pa.array(np.r_[K.per_row(row, n, common.astype(float)).astype(np.int64), zero.astype(np.int64)]),
-                    pa.array(np.r_[base, zero]),
-                    pa.array(np.r_[model, zero]),
+                    batch.column(0).slice(b.first, b.rows),
+                    pa.array(serial + np.arange(b.rows)),
+                    pa.array(K.per_row(row, b.rows)),
+                    pa.array(K.per_row(row, b.rows, common.astype(float)).astype(np.int64)),
+                    pa.array(K.per_row(row, b.rows, part)),
+                    pa.array(K.per_row(row, b.rows, model + inside)),
+                    pa.ListArray.from_arrays(offsets, pa.array(K.signed(w))),
+                    pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
                 ],
-                names=["doc_id", "text_hash", "word", "times", "n_tokens", "n_common", "base", "model"],
+                names=["doc_id", "serial", "n_tokens", "n_common", "base", "model", "words", "times"],
             )
-
-
-def train_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, common: int = COMMON) -> DataFrame:
+            serial += b.rows
+
+
+def train(learn: DataFrame, vocab: DataFrame, *, size: int = VOCAB, rounds: int = ROUNDS) -> tuple[Vocabulary, LogBilinear]:
+    """Vocabulary and model of all texts of `learn`, from the counts (word, n, suffix) of its words."""
+    top = vocab.orderBy(F.desc("n"), "word").limit(size).toPandas()
+    n, suffix = top["n"].to_numpy(np.int64), top["suffix"].to_numpy(np.int64)
+    # Groups hold the words that have no embedding of their own.
+    group_n, group_v = -np.bincount(suffix, n, SUFFIX), -np.bincount(suffix, minlength=SUFFIX).astype(float)
+    for r in vocab.groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        group_n[r.suffix] += r.n
+        group_v[r.suffix] += r.v
+    vocabulary = Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), n, group_n, group_v)
+    model = LogBilinear(vocabulary.tokens)
+    held = learn.sparkSession.sparkContext.broadcast(vocabulary)
+    texts = settle(learn.mapInArrow(lambda it: _units(held, it), "units array<int>"), "units")
+    for _ in range(rounds if len(n) else 0):
+        train_round(texts, vocabulary.units, model, classes=False)
+    model.learn_classes(vocabulary.size)
+    if len(n):
+        train_round(texts, vocabulary.units, model, classes=True)
+    drop_settled(texts)
+    return vocabulary, model
+
+
+def train_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, common: int = COMMON, size: int = VOCAB) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     held = crc_bucket(F.col("doc_id"), FOLDS) == HELD_OUT if held_out is None else held_out
     learn = rows.where(~held).select("text")
     vocab = settle(learn.mapInArrow(_count_words, "word long, n long, suffix long").groupBy("word").agg(F.sum("n").alias("n"), F.first("suffix").alias("suffix")), "vocab")
     total = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    # The lowest count whose words, with all above, are few enough; counts in steps of a tenth.
+    vocabulary, model = train(learn, vocab, size=size)
+    # The lowest count whose words, with all above, are few enough; counts in steps of a tenth, and none if the first step has too many.
     steps = vocab.groupBy(F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1))).alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("low")).orderBy(F.desc("step")).collect()
-    least, k = None, 0
+    least, k = (1 << 62), 0
     for s in steps:
-        if (k := k + s.k) > common and least is not None:
+        if (k := k + s.k) > common:
             break
         least = s.low
-    got = vocab.where(F.col("n") >= least).select("word", "n").limit(2 * common).toArrow() if least is not None else None
-    words = Words(got.column("word").to_numpy().view(np.uint64), got.column("n").to_numpy()) if got is not None else Words(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    top = [int(x) for x in K.signed(words.word[words.top >= 0])]
-    # Words and tokens of each suffix class; a top token is its class's only word.
-    size = np.full(CLASSES, ALPHA)
-    size[words.top[words.top >= 0]] = words.n[words.top >= 0] + ALPHA
-    for r in vocab.where(~F.col("word").isin(top)).groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        size[TOP + r.suffix] = r.n + ALPHA * (r.v + 1)
-
-    shared_words = spark.sparkContext.broadcast(words)
-    triples = learn.mapInArrow(lambda it: _count_triples(shared_words.value, it), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((CLASSES + 1) ** 2 * CLASSES, np.float32)
-    counts[triples.column("triple").to_numpy()] = triples.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(Scorer(words, LogBilinear(counts.reshape(-1, CLASSES)), size))
+    got = vocab.where(F.col("n") >= least).select("word", "n").toPandas()
+    word = np.concatenate([vocabulary.word, got["word"].to_numpy(np.int64).view(np.uint64)])
+    word, at = np.unique(word, return_index=True)
+    n = np.concatenate([vocabulary.n, got["n"].to_numpy(np.int64)])[at]
 
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(vocabulary, model, word, n))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    parts = rows.mapInArrow(lambda it: _score(shared.value, it), f"doc_id {id_type}, text_hash long, word long, times long, n_tokens long, n_common long, base double, model double")
-    rest = vocab.where(F.col("n") < (least or 0)).select("word", F.col("n").alias("c"))
-    joined = parts.join(rest, "word", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    out = joined.groupBy("doc_id", "text_hash").agg(
-        F.sum(F.when(F.col("n_tokens") > 0, 1).otherwise(0)).alias("copies"),
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_common") + F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0)))).alias("n_known"),
-        (F.sum("base") + F.sum(F.when(F.col("times") > 0, F.col("times") * F.log10(c + F.lit(ALPHA))).otherwise(F.lit(0.0)))).alias("words"),
-        F.sum("model").alias("model"),
-    )
-    one = lambda name: (F.col(name) / F.col("copies")).alias(name)
-    out = out.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))), one("n_tokens"), one("n_known"), one("words"), one("model"))
+    ddl = f"doc_id {id_type}, serial long, n_tokens long, n_common long, base double, model double, words array<long>, times array<long>"
+    scored = settle(rows.mapInArrow(lambda it: _score(shared, it), ddl), "scored")
+    # Words that were counted as unseen and may not be.
+    rare = scored.select("serial", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("times"))))
+    count = scored.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    out = scored
+    if count and total.n:
+        seen = vocab.where(F.col("n") < least).select("word", F.col("n").alias("c"))
+        asked = settle(rare.groupBy("word").agg(F.count("*").alias("n")).join(seen, "word", "left"), "asked")
+        c = F.coalesce("c", F.lit(0))
+        more = join_by_key(rare, asked, "word", count).groupBy("serial").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(F.lit(0))).alias("more_known"), F.sum(F.col("times") * (F.log10(c + F.lit(ALPHA)) - F.lit(float(np.log10(ALPHA))))).alias("more"))
+        out = scored.join(more, "serial", "left")
+    else:
+        out = scored.withColumn("more_known", F.lit(0)).withColumn("more", F.lit(0.0))
+    zero = lambda name: F.coalesce(name, F.lit(0))
     norm = float(np.log10(total.n + ALPHA * (total.v + 1)))
     return out.select(
         "doc_id",
         held.alias("held_out"),
-        F.round("n_tokens").cast("long").alias("n_tokens"),
-        F.round("n_known").cast("long").alias("n_known"),
+        "n_tokens",
+        (F.col("n_common") + zero("more_known")).cast("long").alias("n_known"),
         F.lit(int(total.n)).cast("long").alias("train_tokens"),
-        (F.col("words") - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("words") + F.col("model")).alias("score"),
+        (F.col("base") + zero("more") - F.col("n_tokens") * norm).alias("base_score"),
+        (F.col("model") + zero("more")).alias("score"),
     )
 
 

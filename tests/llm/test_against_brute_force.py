@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright.llm import jaccard_join, language_id, language_model, licenses, pii, quality, substrings
 
@@ -68,11 +69,19 @@ def test_language_without_letters(spark):
     assert {r.doc_id: r.lang_pred for r in language_id.language_digest(rows).collect()} == {1: "und", 2: "und", 3: "en", 4: "en", 5: "en"}
 
 
-def test_model_counts_and_gain(docs, texts):
+def _learned(spark, table, size):
+    """What the scorer learns from a table: vocabulary, model, and counts of all words."""
+    rows = table.select("text").coalesce(1)
+    vocab = rows.mapInArrow(language_model._count_words, "word long, n long, suffix long").groupBy("word").agg(F.sum("n").alias("n"), F.min("suffix").alias("suffix")).cache()
+    return language_model.train(rows, vocab, size=size)
+
+
+@pytest.mark.parametrize("common", [20, 500, 1_000_000])
+def test_model_counts_and_gain(docs, texts, common):
     tokens = {i: [*words(t), None] for i, t in texts.items()}
     c = Counter(w for i, ws in tokens.items() if not held(i, 10, 0) for w in ws)
     n, v = sum(c.values()), len(c)
-    out = language_model.train_and_score(docs, common=500).collect()
+    out = language_model.train_and_score(docs, common=common, size=400).collect()
     for r in out:
         ws = tokens[r.doc_id]
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
@@ -82,13 +91,61 @@ def test_model_counts_and_gain(docs, texts):
     assert sum(r.score for r in new) > sum(r.base_score for r in new)
 
 
-def test_model_is_normalised():
+def test_words_of_equal_count_are_all_known(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(500))) for i in range(100)]
+    out = language_model.train_and_score(spark.createDataFrame(rows, "doc_id long, text string"), common=50, size=40).collect()
+    assert all(r.n_known == r.n_tokens == 501 for r in out)
+
+
+def test_model_is_normalised_over_words(spark, docs):
     import numpy as np
 
+    vocabulary, model = _learned(spark, docs, 300)
     rng = np.random.default_rng(0)
-    counts = rng.poisson(0.2, ((language_model.CLASSES + 1) ** 2, language_model.CLASSES)).astype("float32")
-    table = language_model.LogBilinear(counts[:]).log10_table()
-    assert np.allclose((10.0**table).sum(1), 1, atol=1e-4)
+    units = np.arange(vocabulary.units)
+    assert len(model.members) == -(-300 // 128) + 1 + language_model.SUFFIX
+    for one, two in rng.integers(0, vocabulary.units + 1, (20, 2)):
+        p = 10.0 ** model.log10(units, np.full(len(units), one), np.full(len(units), two))
+        # A group's words share its probability as its counts say, the unseen one included.
+        assert math.isclose(p.sum(), 1, abs_tol=1e-4)
+
+
+def test_model_scores_word_by_word(spark, docs, texts):
+    import numpy as np
+
+    vocabulary, model = _learned(spark, docs, 300)
+    counts = Counter(w for t in texts.values() for w in [*words(t), None])
+    hashes = {int(h): u for u, h in enumerate(vocabulary.word)}
+    out = {r.doc_id: r.score for r in language_model.train_and_score(docs.coalesce(1), held_out=F.col("doc_id") < 0, size=300).collect()}
+    suffix = lambda w: 0 if w is None else (w.encode()[-1] * 31 + (w.encode()[-2] if len(w.encode()) > 1 else 0) * 7919) % language_model.SUFFIX
+    import pyarrow as pa
+
+    from maskwright.llm import kernels
+
+    def unit(w):
+        h = int(language_model.END) if w is None else int(kernels.tokens(next(kernels.blocks(pa.array([w]))), kernels.NON_SPACE).hash[0])
+        return hashes.get(h, vocabulary.size + suffix(w))
+
+    group = defaultdict(list)
+    for w, n in counts.items():
+        if unit(w) >= vocabulary.size:
+            group[unit(w)].append(n)
+    p, dim = {k: x.astype(float) for k, x in model.p.items()}, language_model.DIM
+    short = sorted(texts, key=lambda i: len(texts[i] or ""))[:25]
+    for i in short:
+        total, before = 0.0, [vocabulary.units] * 2
+        for w in [*words(texts[i]), None]:
+            u = unit(w)
+            h = np.r_[p["r"][before[0]] @ p["c"][:dim] + p["r"][before[1]] @ p["c"][dim:], 1]
+            share = lambda m, at: math.exp(m[at] @ h) / sum(math.exp(x @ h) for x in m)  # noqa: B023, E731
+            cls = int(model.class_of[u])
+            members = list(model.members[cls])
+            x = share(p["k"], cls) * share(p["q"][members], members.index(u))
+            if u >= vocabulary.size:
+                x *= (counts[w] + 0.1) / (sum(group[u]) + 0.1 * (len(group[u]) + 1))
+            total += math.log10(x)
+            before = [u, before[0]]
+        assert math.isclose(total, out[i], rel_tol=1e-4, abs_tol=1e-3)
 
 
 def test_quality_counts(docs, texts, spark):
@@ -315,3 +372,61 @@ def test_stretches():
                     best = max(best, size)
         found = [min(e - s, f - t) for s, e, t, f in substrings.stretches(runs, 1, 0.8)]
         assert max(found, default=0) == best
+
+
+def _plain_bayes(rows):
+    """Predictions for rows (id, text, lang, learned), gram by gram, in plain Python."""
+    import pyarrow as pa
+
+    from maskwright.llm import kernels
+
+    def grams(text):
+        b = next(kernels.blocks(pa.array([text])))
+        return [int(x) for bins, _ in language_id._grams(*language_id._code_points(b)) for x in bins]
+
+    counts, texts = defaultdict(Counter), Counter()
+    for _, text, lang, learned in rows:
+        if learned and text is not None and lang is not None:
+            counts[lang].update(grams(text))
+            texts[lang] += 1
+    out = {}
+    for i, text, _, _ in rows:
+        if not any(c.isalpha() for c in text or "") or not texts:
+            out[i] = ("und", 0.0)
+            continue
+        log = {x: math.log(texts[x] / sum(texts.values())) for x in sorted(counts)}
+        for x in log:
+            total = sum(counts[x].values()) + language_id.ALPHA * language_id.BINS
+            log[x] += sum(math.log((counts[x][g] + language_id.ALPHA) / total) for g in grams(text))
+        best = max(log, key=lambda x: (log[x], [-ord(c) for c in x]))
+        out[i] = (best, 1 / sum(math.exp(v - log[best]) for v in log.values()))
+    return out
+
+
+@pytest.mark.parametrize("tile", [1, 3, 128])
+def test_language_by_plain_bayes(spark, docs, tile):
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()[:60]] + [(900, None, "en"), (901, "12 34", "en"), (902, "hello", None), (903, "", "de"), (904, "ü", "xx")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(table.where("doc_id % 3 <> 0"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(table, model, tile=tile).collect()}
+    want = _plain_bayes([(*r, r[0] % 3 != 0) for r in rows])
+    assert {i: p for i, (p, _) in got.items()} == {i: p for i, (p, _) in want.items()}
+    assert all(math.isclose(got[i][1], s, rel_tol=1e-6, abs_tol=1e-9) for i, (_, s) in want.items())
+
+
+def test_many_languages(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for lang in range(140):
+        vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)]
+        rows += [(lang * 8 + k, " ".join(rng.choices(vocabulary, k=30)), f"l{lang:03d}") for k in range(8)]
+    out = language_id.language_digest(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id // 8:03d}" for r in out) >= 0.99 * len(rows) and len({r.lang_pred for r in out}) == 140
+
+
+def test_long_secrets(spark):
+    from maskwright.llm.pii import occurrences
+
+    assert [(k, s, e) for k, s, e, *_ in occurrences("key " + "0a" * 100 + " end", [])] == [("secret", 4, 204)]
