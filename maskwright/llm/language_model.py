@@ -301,10 +301,12 @@ def train_round(texts: DataFrame, units: int, model: LogBilinear, classes: bool)
     """One walk over all texts, as lists of units; the model takes the tasks' average."""
     held = texts.sparkSession.sparkContext.broadcast((units, model))
     sent = texts.mapInArrow(lambda it: _train(held, classes, it), PARAMETERS)
-    for r in sent.repartition("name", "start").mapInArrow(_added, PARAMETERS).collect():
-        w, x = np.array(r.weight), model.p[r.name]
+    got = sent.repartition("name", "start").mapInArrow(_added, PARAMETERS).toArrow()
+    for i in range(got.num_rows):
+        name, start, w, value = (got.column(c)[i] for c in range(4))
+        w, x = w.values.to_numpy(), model.p[name.as_py()]
         at = np.flatnonzero(w)
-        x[r.start + at] = np.array(r.value, np.float32).reshape(len(w), -1)[at] / w[at, None]
+        x[start.as_py() + at] = value.values.to_numpy().reshape(len(w), -1)[at] / w[at, None]
     held.destroy()
 
 
@@ -352,14 +354,14 @@ def _score(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(learn: DataFrame, vocab: DataFrame, *, size: int = VOCAB, rounds: int = ROUNDS) -> tuple[Vocabulary, LogBilinear]:
     """Vocabulary and model of all texts of `learn`, from the counts (word, n, suffix) of its words."""
-    top = vocab.orderBy(F.desc("n"), "word").limit(size).toPandas()
-    n, suffix = top["n"].to_numpy(np.int64), top["suffix"].to_numpy(np.int64)
+    top = vocab.orderBy(F.desc("n"), "word").limit(size).select("word", "n", "suffix").toArrow()
+    word, n, suffix = (c.to_numpy() for c in top.columns)
     # Groups hold the words that have no embedding of their own.
     group_n, group_v = -np.bincount(suffix, n, SUFFIX), -np.bincount(suffix, minlength=SUFFIX).astype(float)
     for r in vocab.groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         group_n[r.suffix] += r.n
         group_v[r.suffix] += r.v
-    vocabulary = Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), n, group_n, group_v)
+    vocabulary = Vocabulary(word.view(np.uint64), n, group_n, group_v)
     model = LogBilinear(vocabulary.tokens)
     held = learn.sparkSession.sparkContext.broadcast(vocabulary)
     texts = settle(learn.mapInArrow(lambda it: _units(held, it), "units array<int>"), "units")
@@ -369,6 +371,7 @@ def train(learn: DataFrame, vocab: DataFrame, *, size: int = VOCAB, rounds: int
     if len(n):
         train_round(texts, vocabulary.units, model, classes=True)
     drop_settled(texts)
+    held.destroy()
     return vocabulary, model
 
 
@@ -387,10 +390,10 @@ def train_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if (k := k + s.k) > common:
             break
         least = s.low
-    got = vocab.where(F.col("n") >= least).select("word", "n").toPandas()
-    word = np.concatenate([vocabulary.word, got["word"].to_numpy(np.int64).view(np.uint64)])
-    word, at = np.unique(word, return_index=True)
-    n = np.concatenate([vocabulary.n, got["n"].to_numpy(np.int64)])[at]
+    got = vocab.where(F.col("n") >= least).select("word", "n").toArrow()
+    word, at = np.unique(np.concatenate([vocabulary.word, got.column("word").to_numpy().view(np.uint64)]), return_index=True)
+    n = np.concatenate([vocabulary.n, got.column("n").to_numpy()])[at]
+    del got, at
 
     shared = docs.sparkSession.sparkContext.broadcast(Scorer(vocabulary, model, word, n))
     id_type = rows.schema["doc_id"].dataType.simpleString()
