@@ -53,7 +53,8 @@ def mask_words(words: DataFrame, hits: DataFrame) -> DataFrame:
 def redaction_plan(occurrences: DataFrame, pages: DataFrame) -> DataFrame:
     """A row for each rectangle to paint: occurrences with boxes on pages (doc_id, page_number, width, height, rotation).
 
-    Pages outside the document and rectangles without area are left out.
+    Pages outside the document and rectangles without area are left out. A
+    document's rows stand together, in the order of its pages.
     """
     o = occurrences.select("*", F.explode("bounding_boxes").alias("box")).join(pages, ["doc_id", "page_number"])
     o = o.withColumn("pixels", to_pixels(F.col("box"), F.col("width"), F.col("height")))
@@ -61,4 +62,4 @@ def redaction_plan(occurrences: DataFrame, pages: DataFrame) -> DataFrame:
     fill = F.when(strategy_of(F.col("strategy")) == "redact", "black").otherwise("white")
     x0, y0, x1, y1 = (F.col("box")[0] * F.col("width"), F.col("box")[1] * F.col("height"), (F.col("box")[0] + F.col("box")[2]) * F.col("width"), (F.col("box")[1] + F.col("box")[3]) * F.col("height"))
     plan = o.withColumns({"fill": fill, "font_size": font_size(F.col("box")[3] * F.col("height")), "origin": text_origin(F.coalesce("rotation", F.lit(0)), x0, y0, x1, y1)})
-    return plan.select("doc_id", "page_number", "entity_id", "replacement", "fill", "font_size", "pixels", "origin").orderBy("doc_id", "page_number")
+    return plan.select("doc_id", "page_number", "entity_id", "replacement", "fill", "font_size", "pixels", "origin").repartition("doc_id").sortWithinPartitions("doc_id", "page_number")

@@ -1,51 +1,39 @@
-"""Locating entity texts in word sequences, by equality of word n-grams."""
+"""Locating entity texts in word sequences, by equality of words."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import merge_lines
 from ..functions.text import match_form, tokens
-
-#: Longer entries are looked for on the pages that hold their first MAX_WORDS words.
-MAX_WORDS = 12
-BROADCAST_ROWS = 200_000
-
-
-def grams(words: DataFrame, sizes: list[int], keys=("doc_id", "page_number"), bbox: str | None = "bbox") -> DataFrame:
-    """(keys, word_idx, n, gram, boxes): all windows of n consecutive words of a page, for the sizes asked for."""
-    w = Window.partitionBy(*keys).orderBy("word_idx")
-    item = F.struct(match_form(F.col("text")).alias("t"), *([F.col(bbox).alias("b")] if bbox else []))
-    ahead = F.collect_list(item).over(w.rowsBetween(0, max(sizes) - 1))
-    rows = words.select(*keys, "word_idx", ahead.alias("ahead"))
-    rows = rows.select(*keys, "word_idx", "ahead", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")).where(F.size("ahead") >= F.col("n"))
-    part = F.slice("ahead", 1, F.col("n"))
-    boxes = [F.transform(part, lambda x: x["b"]).alias("boxes")] if bbox else []
-    return rows.select(*keys, "word_idx", "n", F.array_join(F.transform(part, lambda x: x["t"]), " ").alias("gram"), *boxes)
+from ..session import if_small
 
 
 def match_dictionary(words: DataFrame, dictionary: DataFrame, *, text_col: str = "entity_text", keys=("doc_id", "page_number"), by: tuple[str, ...] = (), bbox: str | None = None) -> DataFrame:
     """Every place where a dictionary text stands: keys, word_idx, n, gram, the dictionary's columns and boxes.
 
-    `by` names columns (as doc_id) that bind an entry to a document or page.
-    Pages without the first word of any entry are left out before windows are
-    built; the dictionary is broadcast while it is small.
+    `by` names columns (as doc_id) that bind an entry to a document or page. A
+    page is one array of words. Its places meet the entries by their first word and
+    the one behind it, and what is left is compared with the page's slice, so
+    entries may be of any length and no windows are made. The dictionary is
+    broadcast while it is small.
     """
-    d = dictionary.withColumn("gram", F.array_join(tokens(F.col(text_col)), " ")).withColumn("n", F.size(tokens(F.col(text_col)))).where(F.col("n") > 0)
-    sizes = sorted(r.n for r in d.select("n").distinct().collect()) or [1]
-    few = d.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    first = d.select(F.substring_index("gram", " ", 1).alias("first"), *by).distinct()
-    starts = words.select(*keys, match_form(F.col("text")).alias("first")).join(F.broadcast(first) if few else first, ["first", *by], "left_semi").select(*keys).distinct()
-    near = words.join(starts, list(keys), "left_semi")
-    short, long = [n for n in sizes if n <= MAX_WORDS], [n for n in sizes if n > MAX_WORDS]
-    found = grams(near, short, keys, bbox) if short else None
-    if long:
-        heads = d.where(F.col("n") > MAX_WORDS).select(F.substring_index("gram", " ", MAX_WORDS).alias("gram"), *by).distinct()
-        held = grams(near, [MAX_WORDS], keys, None).join(F.broadcast(heads) if few else heads, ["gram", *by], "left_semi").select(*keys).distinct()
-        whole = grams(near.join(held, list(keys), "left_semi"), long, keys, bbox)
-        found = found.unionByName(whole) if short else whole
-    return found.join(F.broadcast(d) if few else d, ["gram", "n", *by])
+    own = [c for c in dictionary.columns if c not in by]
+    d = dictionary.select(*own, *[F.col(c).alias(f"_by_{c}") for c in by], tokens(F.col(text_col)).alias("_w"))
+    d = d.select("*", F.size("_w").alias("n"), F.array_join("_w", " ").alias("gram"), F.get("_w", 0).alias("_first"), F.get("_w", 1).alias("_second")).where("n > 0")
+    word = F.struct("word_idx", match_form(F.col("text")).alias("t"), *([F.col(bbox).alias("b")] if bbox else []))
+    pages = words.groupBy(*keys).agg(F.array_sort(F.collect_list(word)).alias("_p"))
+    place = F.transform("_p", lambda x, i: F.struct(x["word_idx"].alias("word_idx"), x["t"].alias("t"), F.get("_p", i + 1)["t"].alias("next")))
+    places = pages.select(*keys, F.posexplode(place).alias("_i", "_x"))
+    meets = (F.col("_x.t") == F.col("_first")) & ((F.col("n") == 1) | (F.col("_x.next") == F.col("_second")))
+    for c in by:
+        meets = meets & (F.col(c) == F.col(f"_by_{c}"))
+    found = places.join(if_small(d), meets).join(pages, list(keys))
+    part = F.slice("_p", F.col("_i") + 1, F.col("n"))
+    found = found.where(F.transform(part, lambda x: x["t"]) == F.col("_w"))
+    boxes = [F.transform(part, lambda x: x["b"]).alias("boxes")] if bbox else []
+    return found.select(*keys, F.col("_x.word_idx").alias("word_idx"), "n", "gram", *[F.col(f"`{c}`") for c in own if c not in keys], *boxes)
 
 
 def entity_boxes(words: DataFrame, entities: DataFrame) -> DataFrame:

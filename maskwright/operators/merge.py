@@ -8,8 +8,6 @@ result; only with a `max_entities` of the caller's does it go to the errors side
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import contained_share
 from ..functions.text import contains_run, tokens
+from ..session import settled
 from .detect import TITLES
 
 MAX_ENTITIES = 5000
@@ -34,18 +33,10 @@ def is_variant(parent: Column, child: Column) -> Column:
     return (n > 0) & (n <= F.size(parent)) & (contains_run(parent, child) | titled)
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back, so that rounds don't pile up in the plan."""
-    spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='maskwright-')).rstrip('/')}/maskwright/merge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _joined_roots(entities: DataFrame) -> DataFrame:
     """variant_roots by joins of word slices, for groups of any size."""
     keys = ["doc_id", "entity_type"]
-    items = _settled(entities.select(*keys, F.struct((-F.length("original_text")).alias("size"), F.col("ent_idx").cast("int").alias("ent_idx")).alias("at"), tokens(F.col("original_text")).alias("words")))
+    items = settled(entities.select(*keys, F.struct((-F.length("original_text")).alias("size"), F.col("ent_idx").cast("int").alias("ent_idx")).alias("at"), tokens(F.col("original_text")).alias("words")))
     wordy, n = items.where(F.size("words") > 0), F.size("words")
     text = lambda i, k: F.array_join(F.slice("words", i, k), " ")
     end = lambda k: F.concat(F.lit("t"), n.cast("string"), F.lit(" "), text(n - k + 1, k))
@@ -56,15 +47,15 @@ def _joined_roots(entities: DataFrame) -> DataFrame:
     titled = lambda k: (k < n) & F.forall(F.slice("words", 1, n - k), lambda w: F.regexp_replace(w, r"\.", "").isin(*TITLES))
     own = F.concat(F.array(F.concat(F.lit("s"), text(1, n))), F.transform(F.filter(F.sequence(F.lit(1), n), titled), end))
     children = wordy.select(*keys, "at", F.explode(own).alias("key"))
-    edges = _settled(children.join(parents, [*keys, "key"]).where("parent < at").select(*keys, "at", "parent").distinct())
-    is_root = [_settled(items.join(edges, [*keys, "at"], "left_anti").select(*keys, "at", F.col("at").alias("root")))]
+    edges = settled(children.join(parents, [*keys, "key"]).where("parent < at").select(*keys, "at", "parent").distinct())
+    is_root = [settled(items.join(edges, [*keys, "at"], "left_anti").select(*keys, "at", F.col("at").alias("root")))]
     while True:
         # Decided is who has no parent left undecided before the first that is a root.
         done = reduce(DataFrame.unionByName, is_root)
         known = done.select(*keys, F.col("at").alias("parent"), (F.col("root") == F.col("at")).alias("top"))
         open_edges = edges.join(done, [*keys, "at"], "left_anti").join(known, [*keys, "parent"], "left")
         first = open_edges.groupBy(*keys, "at").agg(F.min(F.when(F.col("top"), F.col("parent"))).alias("root"), F.min(F.when(F.col("top").isNull(), F.col("parent"))).alias("open"))
-        new = _settled(first.where(F.col("open").isNull() | (F.col("root") < F.col("open"))).select(*keys, "at", F.coalesce("root", "at").alias("root")))
+        new = settled(first.where(F.col("open").isNull() | (F.col("root") < F.col("open"))).select(*keys, "at", F.coalesce("root", "at").alias("root")))
         if not new.limit(1).count():
             return done.select(*keys, F.col("at.ent_idx").alias("ent_idx"), F.col("root.ent_idx").alias("root_idx"))
         is_root.append(new)

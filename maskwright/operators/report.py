@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 
 def strategy_counts(entities: DataFrame) -> DataFrame:
     """(doc_id, summary): "Black Out: 2, Unknown: 1", by name."""
@@ -49,9 +51,13 @@ def batch_banner(results: DataFrame) -> DataFrame:
 
 
 def numbered(files: DataFrame, order: str = "filename") -> DataFrame:
-    """Position and number of files in the batch: the rank is by a range-sorted order over one narrow column."""
-    total = files.agg(F.count("*").alias("n"))
-    return files.select(order).withColumn("i", F.row_number().over(Window.orderBy(order))).join(F.broadcast(total))
+    """Position and number of files in the batch: places inside ranges of the order, behind the rows of the ranges before."""
+    part = Window.partitionBy("_range").orderBy(order)
+    ranges = settled(files.select(order).repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "numbered")
+    # One row a partition.
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).withColumn("n", F.sum("_size").over(Window.partitionBy()))
+    return ranges.withColumn("i", F.row_number().over(part)).join(F.broadcast(before), "_range").select(order, (F.col("i") + F.col("_before")).alias("i"), "n")
 
 
 def stage_shares(times: DataFrame) -> DataFrame:

@@ -51,8 +51,9 @@ def first_page(occurrences: Column) -> Column:
 
 
 def review_table(entities: DataFrame) -> DataFrame:
+    """Entities as they are shown: a document's rows stand together, by first page, type and position."""
     e = entities.select("*", page_list(F.col("occurrences")).alias("pages"), first_page(F.col("occurrences")).alias("first_page"), confidence_band(F.col("confidence")).alias("band"), percent(F.col("confidence")).alias("confidence_text"))
-    return e.orderBy("doc_id", "first_page", "entity_type", "ent_idx")
+    return e.repartition("doc_id").sortWithinPartitions("doc_id", "first_page", "entity_type", "ent_idx")
 
 
 def selection_counts(entities: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def check_occurrences(occurrences: DataFrame, masked_pages: DataFrame, *, text_c
     pages = masked_pages.select("doc_id", "page_number", F.lower(F.col(text_col)).alias("_page"), F.lit(True).alias("_there"))
     o = occurrences.join(pages, ["doc_id", "page_number"], "left")
     text, page = F.lower("original_text"), F.coalesce("_page", F.lit(""))
-    found = F.regexp(page, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), text, F.lit(r"\E(?![\p{L}\p{N}])"))) if whole_words else F.contains(page, text)
+    found = F.regexp(page, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace(text, F.lit(r"\e"), F.lit(r"\E\\e\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))) if whole_words else F.contains(page, text)
     return o.withColumn("masked", ~found).withColumn("unverifiable", F.col("_there").isNull()).drop("_page", "_there")
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detect, enrich, mask, match, verify
-from ..sources import responses
+from ..operators import detect, enrich, mask, match, merge, replace, review, verify
+from ..sources import responses, sinks
 from ..sources.documents import words as document_words
 
 #: What a plug-in extractor returns for each document.
@@ -71,10 +71,44 @@ def verify_documents(documents: DataFrame, spans: DataFrame, masked: DataFrame)
     return verify.score(documents, verify.check_occurrences(occurrences, pages))
 
 
-def deidentify(documents: DataFrame, *, salt: str, strategies: dict[str, str] | None = None, patterns=detect.PATTERNS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entities, masked documents, verification) of documents (doc_id, text)."""
+def merged_replacements(entities: DataFrame, salt: str) -> DataFrame:
+    """entities with root_idx and replacement: variants of one text take the part of their root's replacement that they are a part of."""
+    placed = entities.join(merge.variant_roots(entities), ["doc_id", "entity_type", "ent_idx"])
+    roots = enrich.with_replacements(enrich.with_labels(enrich.with_fakes(placed.where("ent_idx = root_idx"), salt)))
+    roots = roots.select("doc_id", "entity_type", "root_idx", F.col("original_text").alias("_root"), F.col("replacement_text").alias("_whole"))
+    out = placed.join(roots, ["doc_id", "entity_type", "root_idx"])
+    part = replace.occurrence_replacement(F.col("_root"), F.col("_whole"), F.col("original_text"))
+    kind = enrich.strategy_of(F.col("strategy"))
+    return out.withColumn("replacement", F.when((kind == "fake_name") & (F.col("ent_idx") != F.col("root_idx")), part).otherwise(F.col("_whole"))).drop("_root", "_whole")
+
+
+def deidentify(documents: DataFrame, *, salt: str, strategies: dict[str, str] | None = None, patterns=detect.PATTERNS, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, masked documents, verification) of documents (doc_id, text).
+
+    `found` adds spans (doc_id, entity_type, original_text, start, length) of other
+    extractors, as names and addresses; what is no name or address by itself goes.
+    """
     spans = detect.detect(documents, patterns=patterns)
-    entities = detect.entities_from_spans(spans, strategies)
-    entities = enrich.with_replacements(enrich.with_labels(enrich.with_fakes(entities, salt))).withColumnRenamed("replacement_text", "replacement")
+    if found is not None:
+        spans = spans.unionByName(detect.credible(found.select(*spans.columns)))
+    entities = merged_replacements(detect.entities_from_spans(spans, strategies), salt)
     masked = mask_documents(documents, spans, entities)
     return entities, masked, verify_documents(documents, spans, masked)
+
+
+def approve_and_mask(documents: DataFrame, spans: DataFrame, entities: DataFrame, approvals: DataFrame, edits: DataFrame, *, decided_at: Column, decisions_path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(decisions, masked documents, verification, errors) of reviewed entities (doc_id, entity_id, entity_type, original_text, strategy, replacement_text, ent_idx).
+
+    The decisions are written before anything is masked; if that fails, nothing
+    is. Edits speak over stored replacements; only approved entities are masked and
+    looked for afterwards; documents without any are errors and stay as they are.
+    """
+    edited = review.with_edits(entities, edits)
+    decided = review.decisions(edited, approvals, decided_at)
+    if decisions_path:
+        sinks.write_decisions(decided.select("doc_id", "entity_id", "approved", "decided_at"), decisions_path)
+    chosen = replace.entity_replacement(review.selected(edited, approvals))
+    key = chosen.select("doc_id", "entity_type", F.lower("original_text").alias("_key"))
+    approved = spans.withColumn("_key", F.lower("original_text")).join(key, ["doc_id", "entity_type", "_key"], "left_semi").drop("_key")
+    masked = mask_documents(documents, approved, chosen)
+    return decided, masked, verify_documents(documents, approved, masked), review.without_approval(entities, approvals)

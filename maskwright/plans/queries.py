@@ -13,7 +13,7 @@ from ..sources import responses
 from ..streaming.jobs import audit_counts as hourly_counts
 from . import jobs
 
-CHECKED = {k: v for k, v in detect.PATTERNS.items() if k in ("Email", "Credit Card", "IP", "Phone", "Secret")}
+CHECKED = detect.PATTERNS
 STRATEGY = {"Email": "Fake Data", "Phone": "Entity Label", "Credit Card": "Black Out", "IP": "Black Out"}
 SALT = "demo"
 NOW = "2024-06-01 00:00:00"
@@ -129,21 +129,22 @@ def page_counts(spark, sf_dir):
     return docs_source.page_counts(_documents(spark, sf_dir), _words(spark, sf_dir).select("doc_id", "page_number"))
 
 
-_DICT = r"""d AS (SELECT item_id, lower(array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '')[1:3], ' ')) AS gram FROM benchmark),
-dn AS (SELECT *, len(string_split(gram, ' ')) AS n FROM d WHERE gram <> ''),
-g AS (SELECT doc_id, page_number, word_idx, lower(text) || coalesce(' ' || lower(lead(text, 1) OVER w), '') || coalesce(' ' || lower(lead(text, 2) OVER w), '') AS gram3,
-  lower(text) AS g1, lower(text) || ' ' || lower(lead(text, 1) OVER w) AS g2, lower(text) || ' ' || lower(lead(text, 1) OVER w) || ' ' || lower(lead(text, 2) OVER w) AS g3
-  FROM words WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY word_idx))"""
+_DICT = r"""d AS (SELECT item_id, unnest(string_split(replace(text, '. ', '.' || chr(10)), chr(10)) || [text]) AS t, unnest(range(1, len(string_split(replace(text, '. ', '.' || chr(10)), chr(10))) + 2)) AS part FROM benchmark),
+d1 AS (SELECT item_id, part, list_filter(regexp_split_to_array(lower(t), '[ \t\n\r]+'), lambda x: x <> '') AS w FROM d), dn AS (SELECT *, len(w) AS n FROM d1 WHERE len(w) > 0),
+pg AS (SELECT doc_id, page_number, list(lower(text) ORDER BY word_idx) AS t FROM words GROUP BY ALL),
+hit AS (SELECT g.doc_id, g.page_number, g.word_idx, CAST(n AS INT) AS n, item_id, CAST(part AS INT) AS part FROM words g JOIN dn ON lower(g.text) = dn.w[1] JOIN pg ON pg.doc_id = g.doc_id AND pg.page_number = g.page_number WHERE pg.t[g.word_idx + 1:g.word_idx + n] = dn.w)"""
 
 
 def _dictionary(spark, sf_dir):
-    t = F.slice(F.array_remove(F.split("text", "[ \t\n\r]+"), ""), 1, 3)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(t, " ").alias("entity_text"))
+    """Every sentence of every benchmark text, and each text as a whole."""
+    t = F.concat(F.split(F.replace("text", F.lit(". "), F.lit(".\n")), "\n"), F.array("text"))
+    d = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(t).alias("part", "entity_text"))
+    return d.select("item_id", (F.col("part") + 1).alias("part"), "entity_text")
 
 
-@query(f"WITH {_WORDS}, {_DICT} SELECT doc_id, page_number, word_idx, CAST(n AS INT) AS n, item_id FROM g JOIN dn ON dn.gram = CASE n WHEN 1 THEN g1 WHEN 2 THEN g2 ELSE g3 END")
+@query(f"WITH {_WORDS}, {_DICT} SELECT * FROM hit")
 def dictionary_match(spark, sf_dir):
-    return match.match_dictionary(_words(spark, sf_dir), _dictionary(spark, sf_dir)).select("doc_id", "page_number", "word_idx", "n", "item_id")
+    return match.match_dictionary(_words(spark, sf_dir), _dictionary(spark, sf_dir)).select("doc_id", "page_number", "word_idx", "n", "item_id", "part")
 
 
 @query(f"""WITH {_WORDS} SELECT doc_id, page_number, round(min((word_idx % 10) / 10.0), 6) AS x, round(min(floor(word_idx / 10) / 10.0), 6) AS y,
@@ -375,11 +376,11 @@ def review_table(spark, sf_dir):
     return review.review_table(e).select("doc_id", "ent_idx", "entity_type", "first_page", "pages", "band", "confidence_text")
 
 
-@query(f"""WITH {_WORDS}, {_DICT} SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM g WHERE dn.gram = CASE n WHEN 1 THEN g1 WHEN 2 THEN g2 ELSE g3 END)) AS matched, count(*) AS total FROM dn""")
+@query(f"""WITH {_WORDS}, {_DICT}, found AS (SELECT DISTINCT item_id, part FROM hit) SELECT (SELECT count(*) FROM found) AS matched, count(*) AS total FROM dn""")
 def matched_share(spark, sf_dir):
-    d = _dictionary(spark, sf_dir)
-    hits = match.match_dictionary(_words(spark, sf_dir), d).select("item_id").distinct().withColumn("hit", F.lit(1))
-    return match.matched_share(d.join(hits, "item_id", "left").withColumn("matches", F.when(F.col("hit").isNotNull(), F.array("hit")).otherwise(F.array().cast("array<int>"))))
+    d = _dictionary(spark, sf_dir).where(F.size(text.tokens(F.col("entity_text"))) > 0)
+    hits = match.match_dictionary(_words(spark, sf_dir), d).select("item_id", "part").distinct().withColumn("hit", F.lit(1))
+    return match.matched_share(d.join(hits, ["item_id", "part"], "left").withColumn("matches", F.when(F.col("hit").isNotNull(), F.array("hit")).otherwise(F.array().cast("array<int>"))))
 
 
 def _names(spark, sf_dir) -> DataFrame:
@@ -419,7 +420,9 @@ def partial_replacement(spark, sf_dir):
 
 @query()
 def date_pseudonyms(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("original"))
+    forms = ("dd/MM/yyyy", "yyyy-MM-dd", "d MMM yyyy", "MMMM d, yyyy", "MMM d yyyy", "dd-MM-yy")
+    form = F.element_at(F.array(*[F.date_format("o_orderdate", f) for f in forms]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", form.alias("original"))
     o = o.withColumn("day", pseudonyms.date_in_year(SALT, F.col("o_orderkey").cast("string"), F.col("original")))
     return o.select("o_orderkey", "original", pseudonyms.like_date(F.col("day"), F.col("original")).alias("fake"))
 
@@ -442,9 +445,10 @@ def redaction_plan(spark, sf_dir):
     w = _words(spark, sf_dir)
     hits = match.match_dictionary(w, _dictionary(spark, sf_dir), bbox="bbox")
     boxes = geometry.merge_lines(F.transform("boxes", lambda b: F.array(b["x"], b["y"], b["width"], b["height"])))
-    o = hits.select("doc_id", "page_number", F.col("item_id").alias("entity_id"), F.lit("[ENTITY]").alias("replacement"), F.lit("Black Out").alias("strategy"), boxes.alias("bounding_boxes"))
+    o = hits.select("doc_id", "page_number", F.concat_ws("-", F.col("item_id").cast("string"), F.col("part").cast("string")).alias("entity_id"), F.lit("[ENTITY]").alias("replacement"), F.lit("Black Out").alias("strategy"), boxes.alias("bounding_boxes"))
     p = w.select("doc_id", "page_number").distinct().select("*", F.lit(595).alias("width"), F.lit(842).alias("height"), F.lit(0).alias("rotation"))
-    return mask.redaction_plan(o, p)
+    out = mask.redaction_plan(o, p)
+    return out.select("doc_id", "page_number", "entity_id", "replacement", "fill", "font_size", "pixels.*", F.round("origin.x", 4).alias("origin_x"), F.round("origin.y", 4).alias("origin_y"))
 
 
 @query()

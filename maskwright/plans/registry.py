@@ -1,5 +1,8 @@
 """Registered queries of the de-identification engine and their DuckDB oracles."""
 
+from .flow_queries import SQL
 from .queries import ORACLES, QUERIES
 
+ORACLES |= SQL
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -28,3 +28,10 @@ def page_counts(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages of each document, one for a document without pages."""
     n = pages.groupBy("doc_id").agg(F.max("page_number").alias("page_count"))
     return documents.select("doc_id").join(n, "doc_id", "left").withColumn("page_count", F.coalesce("page_count", F.lit(1)))
+
+
+def all_pages(digital: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Pages (doc_id, page_number, text) of text layers and of OCR, with where they are from; OCR speaks where both have a page."""
+    both = digital.select("doc_id", "page_number", "text", F.lit("digital_pdf").alias("source")).unionByName(scanned.select("doc_id", "page_number", "text", F.lit("scanned_pdf").alias("source")))
+    one = both.groupBy("doc_id", "page_number").agg(F.max(F.struct("source", "text")).alias("p"))
+    return one.select("doc_id", "page_number", "p.text", "p.source").sortWithinPartitions("doc_id", "page_number")

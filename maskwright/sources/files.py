@@ -40,7 +40,7 @@ def original_files(listing: DataFrame, sessions: DataFrame) -> tuple[DataFrame,
 
 def parse_configs(texts: DataFrame) -> DataFrame:
     """Field definitions from (config_key, value): an object with field_definitions or a bare list; none at all gives one row with an error."""
-    c = texts.select("config_key", F.coalesce(F.from_json("value", f"field_definitions array<{FIELD}>")["field_definitions"], F.from_json("value", f"array<{FIELD}>")).alias("f"))
+    c = texts.select("config_key", F.coalesce(F.from_json("value", f"field_definitions array<{FIELD}>")["field_definitions"], F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", f"array<{FIELD}>"))).alias("f"))
     c = c.select("config_key", F.posexplode_outer("f").alias("pos", "d"))
     return c.select("config_key", "pos", "d.name", "d.description", "d.strategy", F.when(F.col("pos").isNull(), "no field definitions").alias("error"))
 

@@ -45,6 +45,15 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
+def update_sessions(sessions: DataFrame, changes: DataFrame) -> DataFrame:
+    """sessions (session_id, ...) with the last change of each field laid over them; changes (session_id, field, value, at) of unknown sessions or fields are left out."""
+    fields = [c for c in sessions.columns if c != "session_id"]
+    last = changes.where(F.col("field").isin(*fields)).groupBy("session_id").pivot("field", fields).agg(F.max_by("value", F.struct("at", "value")))
+    new = last.select("session_id", *[F.col(f"`{c}`").alias(f"_new_{c}") for c in fields])
+    merged = [F.coalesce(F.col(f"_new_{c}").cast(sessions.schema[c].dataType), F.col(c)).alias(c) for c in fields]
+    return sessions.join(new, "session_id", "left").select("session_id", *merged)
+
+
 def write_batch_results(results: DataFrame, path: str) -> None:
     results.na.fill("").write.mode("overwrite").parquet(path)
 

@@ -1,4 +1,4 @@
-"""Every query with an oracle gives the oracle's rows; every other one runs."""
+"""Every query gives its oracle's rows."""
 
 import os
 
@@ -8,7 +8,7 @@ import pytest
 from maskwright.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("events", "documents", "benchmark", "orders")
+TABLES = ("events", "documents", "benchmark", "orders", "nation", "part", "pages")
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +29,5 @@ def test_equals_oracle(spark, duck, name):
     assert rows(registry.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(registry.ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_an_oracle():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
