@@ -9,7 +9,7 @@ from .jaccard_join import jaccard_sql, op10_jaccard_join
 from .language_id import op7_language_id
 from .language_model import op4_language_model
 from .licenses import op2_license_scan
-from .lines import line_sql, op5_line_dedup
+from .lines import host_line_dedup, host_line_sql, line_sql, op5_line_dedup
 from .mixing import mix_sql, op1_mix_sources
 from .pii import op9_pii
 from .quality import op8_quality
@@ -26,6 +26,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_jaccard_join": op10_jaccard_join,
+    "host_line_dedup": host_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -34,4 +35,5 @@ ORACLES = {
     "op3_decontaminate": contamination_sql(),
     "op5_line_dedup": line_sql(),
     "op10_jaccard_join": jaccard_sql(),
+    "host_line_dedup": host_line_sql(),
 }
