@@ -430,3 +430,43 @@ def test_long_secrets(spark):
     from maskwright.llm.pii import occurrences
 
     assert [(k, s, e) for k, s, e, *_ in occurrences("key " + "0a" * 100 + " end", [])] == [("secret", 4, 204)]
+
+
+def test_whole_licenses(spark):
+    by = defaultdict(list)
+    for name, text in licenses.TEMPLATES:
+        by[name].append(text)
+    bsd3 = "\n\n".join([*by["BSD"][:3], *by["BSD-3-Clause"], by["BSD"][3]])
+    whole = {1: "\n\n".join(by["MIT"][1:]), 2: bsd3, 3: "\n".join(by["AGPL-3.0"]), 4: "\n".join(by["Apache-2.0"][1:]), 5: by["0BSD"][0] + "\n" + by["ISC"][1], 6: by["Unlicense"][0], 7: by["EPL-2.0"][0]}
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(i, f"before it {t} behind it") for i, t in whole.items()], "doc_id long, text string")).collect()}
+    names = {i: {f.license for f in r.findings} for i, r in got.items()}
+    assert names[1] == {"MIT"} and names[2] == {"BSD", "BSD-3-Clause"} and names[3] == {"AGPL-3.0"} and names[4] == {"Apache-2.0"} and "0BSD" in names[5] and names[6] == {"Unlicense"} and names[7] == {"EPL-2.0"}
+    for i in (1, 2, 3, 4):
+        # Each paragraph by itself, so all words of the licence are covered.
+        covered = {p for f in got[i].findings for p in range(f.start, f.end)}
+        assert len(covered) >= 0.97 * (got[i].n_words - 4)
+
+
+def test_findings_agree_with_plain_alignment(docs, texts, spark):
+    """A template found has its words in order in the span; a text without a finding holds no template as it stands."""
+    norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    templates = [(n, norm(t)) for n, t in licenses.TEMPLATES]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for r in licenses.scan_licenses(docs).collect():
+        w = norm(texts[r.doc_id])
+        assert r.n_words == len(w)
+        for f in r.findings:
+            assert max(common(t, w[f.start : f.end]) / len(t) for n, t in templates if n == f.license) >= f.coverage - 1e-9 >= 0.8 - 1e-9
+        joined = f" {' '.join(w)} "
+        for n, t in templates:
+            if f" {' '.join(t)} " in joined:
+                assert r.findings
