@@ -6,10 +6,11 @@ go to the tasks as a broadcast set; every document's windows are looked up in
 it, and each hit is verified word by word. Hit words are those inside any
 occurrence of a window; documents or only the hit spans can then be removed.
 
-The benchmark is measured first. Up to `block_bytes` of text is one broadcast;
-a larger one is scanned in so many blocks, each adding its hits to the rows as
-they stream by, so that nothing broadcast grows with the benchmark and no
-document is shuffled.
+The benchmark is measured first. Up to `broadcast_bytes` of text its windows are
+broadcast, as arrays that a worker unpacks once. A larger one isn't: a filter of
+bounded size tells which windows of a text may be in it, and these alone, with
+their words, meet the benchmark's in a join; hits come back to their documents by
+the hash of the text. Either way the texts are scanned once for windows.
 
 Words: A-Z lower-cased, then `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`.
 Defined results: null or wordless text has no words and no hits; benchmark rows
@@ -20,7 +21,6 @@ columns pass through, and result columns step aside for columns of their name.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,41 +29,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import UPPER, free_name, with_fields
+from .common import UPPER, free_name, if_small, join_by_key, settle, with_fields
+from .shared import Shared, shared_values, sum_of_sizes
 
 WINDOW = 10
-BLOCK_BYTES = 4 << 20
+BROADCAST_BYTES = 16 << 20
 _BITS = 22
 
 
+def _item_windows(t: K.Tokens, rows: int, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each window size that items have: the windows' hashes, and the tokens that they begin with."""
+    size = np.minimum(K.per_row(t.row, rows), n)
+    for s in np.unique(size[size > 0]).tolist():
+        h, at = K.windows(t.hash, t.row, s)
+        own = size[t.row[at]] == s
+        yield s, h[own], at[own]
+
+
 class _Windows:
-    """Windows of some benchmark items: by length, their hashes, words and items."""
+    """Windows of benchmark items: by size, sorted hashes with the first token and the item of each; and all tokens' bytes."""
 
     def __init__(self, items: list[tuple[str, str]], n: int):
-        self.found: dict[int, dict[int, list[tuple[bytes, list[str]]]]] = {}
-        for item, text in items:
-            for b in K.blocks(pa.array([text], pa.string())):
-                t = K.tokens(b, K.ALNUM)
-                size = min(n, len(t.start))
-                if size:
-                    low = K.LOWER[b.data].tobytes()
-                    words = [low[s:e] for s, e in zip(t.start, t.end)]
-                    h, at = K.windows(t.hash, t.row, size)
-                    for x, i in zip(h.tolist(), at.tolist()):
-                        same = self.found.setdefault(size, {}).setdefault(x, [])
-                        key = b" ".join(words[i : i + size])
-                        held = next((k for k in same if k[0] == key), None)
-                        if held is None:
-                            same.append((key, [item]))
-                        elif item not in held[1]:
-                            held[1].append(item)
-        self.maps = {}
-        for size, hs in self.found.items():
-            self.maps[size] = bits = np.zeros(1 << _BITS, bool)
-            bits[np.fromiter(hs, np.uint64, len(hs)) >> np.uint64(64 - _BITS)] = True
-
-
-def _scan(windows: _Windows, text_at: int, prior: bool, cut: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.items = [i for i, _ in items]
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        data, start, end, tokens = [], [], [], 0
+        shift = 0
+        for b in K.blocks(pa.array([t for _, t in items], pa.string())):
+            t = K.tokens(b, K.ALNUM)
+            for s, h, at in _item_windows(t, b.rows, n):
+                found.setdefault(s, []).append((h, at + tokens, t.row[at] + b.first))
+            data.append(K.LOWER[b.data])
+            start.append(t.start + shift)
+            end.append(t.end + shift)
+            tokens, shift = tokens + len(t.start), shift + len(b.data)
+        self.text = np.concatenate(data).tobytes() if data else b""
+        self.start, self.end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (start, end))
+        self.tables, self.maps = {}, {}
+        for s, parts in found.items():
+            h, at, item = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(h, kind="stable")
+            self.tables[s] = (h[order], at[order].astype(np.int32), item[order].astype(np.int32))
+            self.maps[s] = bits = np.zeros(1 << _BITS, bool)
+            bits[h >> np.uint64(64 - _BITS)] = True
+
+    def hits(self, t: K.Tokens, low: bytes) -> Iterator[tuple[int, int, list[str]]]:
+        """(first token, size, items) of the windows of a block that stand in items, word by word."""
+        for size, (hashes, first, item) in self.tables.items():
+            h, at = K.windows(t.hash, t.row, size)
+            may = np.flatnonzero(self.maps[size][h >> np.uint64(64 - _BITS)])
+            i, k = np.searchsorted(hashes, h[may]), np.searchsorted(hashes, h[may], "right")
+            for j, i, k in zip(may[i < k].tolist(), i[i < k].tolist(), k[i < k].tolist()):
+                words = [low[s:e] for s, e in zip(t.start[at[j] : at[j] + size], t.end[at[j] : at[j] + size])]
+                same = [w for w in range(i, k) if words == [self.text[s:e] for s, e in zip(self.start[first[w] : first[w] + size], self.end[first[w] : first[w] + size])]]
+                if same:
+                    yield int(at[j]), size, sorted({self.items[item[w]] for w in same})
+
+
+def _scan(windows: _Windows | None, text_at: int, prior: bool, cut: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         words = np.zeros(n, np.int64)
@@ -77,15 +99,9 @@ def _scan(windows: _Windows, text_at: int, prior: bool, cut: bool, batches: Iter
             t = K.tokens(b, K.ALNUM)
             words[b.first : b.first + b.rows] = K.per_row(t.row, b.rows)
             first = np.searchsorted(t.row, np.arange(b.rows + 1))
-            low, hits = None, {}
-            for size, hashes in windows.found.items():
-                h, at = K.windows(t.hash, t.row, size)
-                for j in np.flatnonzero(windows.maps[size][h >> np.uint64(64 - _BITS)]).tolist():
-                    for key, ids in hashes.get(int(h[j]), ()):
-                        i = int(at[j])
-                        low = K.LOWER[b.data].tobytes() if low is None else low
-                        if key == b" ".join([low[s:e] for s, e in zip(t.start[i : i + size], t.end[i : i + size])]):
-                            hits.setdefault(int(t.row[i]), []).append((i, i + size, ids))
+            hits: dict[int, list] = {}
+            for i, size, ids in windows.hits(t, K.LOWER[b.data].tobytes()) if windows else ():
+                hits.setdefault(int(t.row[i]), []).append((i, i + size, ids))
             for r in {*hits, *(i - b.first for i in had if b.first <= i < b.first + b.rows)}:
                 old, old_items = had.get(b.first + r, ([], []))
                 base = int(first[r])
@@ -115,28 +131,62 @@ def _scan(windows: _Windows, text_at: int, prior: bool, cut: bool, batches: Iter
         yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "_words", "_ranges", "_items"])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+def _grams(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, hash, gram): the windows of items, with their words."""
+    for batch in batches:
+        for b in K.blocks(batch.column(1)):
+            t, low = K.tokens(b, K.ALNUM), K.LOWER[b.data].tobytes()
+            for s, h, at in _item_windows(t, b.rows, n):
+                gram = [b" ".join(low[x:y] for x, y in zip(t.start[i : i + s], t.end[i : i + s])).decode() for i in at.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t.row[at] + b.first)), pa.array(K.signed(h)), pa.array(gram, pa.string())], names=["item", "hash", "gram"])
+
+
+def _asked(held, sizes: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(copy, at, size, gram): the windows of texts that the filter lets pass."""
+    shared: Shared = held.value
+    for batch in batches:
+        for b in K.blocks(batch.column(1)):
+            t, low = K.tokens(b, K.ALNUM), K.LOWER[b.data].tobytes()
+            first = np.searchsorted(t.row, np.arange(b.rows))
+            for s in sizes:
+                h, at = K.windows(t.hash, t.row, s)
+                at = at[shared.keeps(h)]
+                gram = [b" ".join(low[x:y] for x, y in zip(t.start[i : i + s], t.end[i : i + s])).decode() for i in at.tolist()]
+                row = t.row[at]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + b.first)), pa.array(at - first[row]), pa.array(np.full(len(at), s)), pa.array(gram, pa.string())], names=["copy", "at", "size", "gram"])
+
+
+def _joined(docs: DataFrame, items: DataFrame, text_col: str, n: int) -> DataFrame:
+    """docs with _ranges and _items, for a benchmark of any size."""
+    windows = settle(items.mapInArrow(lambda it: _grams(n, it), "item string, hash long, gram string"), "windows")
+    sizes = sorted(r[0] for r in windows.select(F.size(F.split("gram", " "))).distinct().collect())
+    # All values pass that stand in the benchmark: each is given two nodes.
+    both = windows.select(F.array("hash").alias("hash"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("node"))
+    held = docs.sparkSession.sparkContext.broadcast(shared_values(both, "node", "hash", sum_of_sizes(both, "hash")))
+    texts = docs.select(F.xxhash64(F.col(text_col)).alias("copy"), F.col(text_col).alias("text"))
+    asked = settle(texts.mapInArrow(lambda it: _asked(held, sizes, it), "copy long, at long, size long, gram string").distinct(), "asked")
+    grams = windows.groupBy("gram").agg(F.collect_set("item").alias("items")).join(asked.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    found = join_by_key(asked, settle(grams, "grams"), "gram", asked.count())
+    span = F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("end"))))
+    hits = found.groupBy("copy").agg(F.flatten(F.transform(span, lambda x: F.array(x["at"], x["end"]))).alias("_ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
+    hits = if_small(settle(hits.withColumnRenamed("copy", "_copy_of"), "hits"))
+    out = docs.join(hits, F.xxhash64(docs[text_col]) == hits["_copy_of"], "left")
+    return out.select(*[docs[f"`{c}`"] for c in docs.columns], F.lit(0).cast("long").alias("_words"), "_ranges", "_items")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, cut: bool = False) -> DataFrame:
     """docs with _words (count), _ranges (hit words as start, end, ...) and _items; with `cut`, hit spans leave the text."""
     for c in docs.columns:
         if c.lower() in ("_words", "_ranges", "_items"):
             docs = docs.withColumnRenamed(c, free_name(docs, f"{c}_doc"))
-    spark = docs.sparkSession
     b = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t"))
     size = b.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("i")), F.lit(0))).first()[0]
-    parts = max(1, math.ceil(size / block_bytes))
     schema = with_fields(docs.schema, "_words long, _ranges array<long>, _items array<string>")
-    out, text_at = docs, docs.columns.index(text_col)
-    for k in range(parts):
-        items = [(r.i, r.t) for r in b.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).collect()]
-        held = spark.sparkContext.broadcast(items)
-        # The text is cut after all hits are known: in the last pass.
-        last = cut and k == parts - 1
-
-        def run(batches, held=held, prior=k > 0, last=last):
-            yield from _scan(_Windows(held.value, n), text_at, prior, last, batches)
-
-        out = out.mapInArrow(run, schema)
-    return out
+    text_at = docs.columns.index(text_col)
+    if size > broadcast_bytes:
+        return _joined(docs, b, text_col, n).mapInArrow(lambda it: _scan(None, text_at, True, cut, it), schema)
+    held = docs.sparkSession.sparkContext.broadcast(_Windows([(r.i, r.t) for r in b.orderBy("i", "t").collect()], n))
+    return docs.mapInArrow(lambda it: _scan(held.value, text_at, False, cut, it), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", **how) -> DataFrame:

@@ -9,7 +9,7 @@ from .fixtures import ROWS, documents, empty
 
 
 def bench(spark, *items):
-    return spark.createDataFrame(list(items), "item_id long, text string")
+    return spark.createDataFrame(list(items) or [(0, None)], "item_id long, text string")
 
 
 def labels(spark):
@@ -62,7 +62,31 @@ def test_benchmark_in_blocks(spark):
     docs = documents(spark)
     b = bench(spark, *[(i, f"word{i} word{i + 1} word{i + 2}") for i in range(50)])
     key = lambda df: sorted(map(str, df.collect()))
-    assert key(decontaminate.contamination_digest(docs, b)) == key(decontaminate.contamination_digest(docs, b, block_bytes=300))
+    assert key(decontaminate.contamination_digest(docs, b)) == key(decontaminate.contamination_digest(docs, b, broadcast_bytes=300))
+    cut = lambda **how: key(decontaminate.decontaminate(docs, b, remove="spans", **how))
+    assert cut() == cut(broadcast_bytes=0)
+
+
+def test_large_benchmark_gives_the_same(spark):
+    docs, b = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(decontaminate.contamination_digest(docs, b)) == key(decontaminate.contamination_digest(docs, b, broadcast_bytes=0))
+
+
+def test_empty_benchmark(spark):
+    docs, none = documents(spark), bench(spark).limit(0)
+    for limit in (0, -1):
+        assert {r.n_hit for r in decontaminate.contamination_digest(docs, none, broadcast_bytes=limit).collect()} == {0}
+    clash = spark.createDataFrame([(1, "word1 word2 word3", 5, "z")], "item_id long, text string, i int, t string")
+    assert decontaminate.decontaminate(docs, clash).count() == 8
+
+
+def test_frequent_lines_go_everywhere(spark):
+    rows = [(i, f"{'tenth of all pages' if i % 10 < 1 else 'body'}\nline {i}", f"s{i % 3}", 1, 2) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int, n_dropped int")
+    out = lines.drop_boilerplate(docs, counts=True)
+    assert out.columns == [*docs.columns, "n_lines_", "n_dropped_"]
+    assert not any("tenth" in r.text for r in out.collect())
 
 
 def test_mix_takes_whole_documents(spark):
