@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import LOWER, UPPER, components, free_name, if_small, join_by_key, settle
+from .common import LOWER, UPPER, components, drop_settled, free_name, if_small, join_by_key, settle
 from .shared import flat, shared_values, sum_of_sizes
 
 GROUPS = 256
@@ -262,6 +262,10 @@ def _search(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole shingle sets."""
+    pairs = settle(pairs, "pairs")
+    nodes = settle(pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct(), "nodes")
+    # Only these sets move.
+    sets = sets.join(if_small(nodes), "sig", "left_semi")
     one = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -298,16 +302,19 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
 
     held = docs.sparkSession.sparkContext.broadcast(shared_values(described, "sig", "tiles", sum_of_sizes(described, "tiles")))
     keys = settle(described.select("sig", "tiles").mapInArrow(lambda it: _shared_tiles(held, it), "sig long, tile long").distinct(), "keys")
+    rows = settle(described.select("doc_id", "copy", "n", "sig"), "rows")
+    drop_settled(described)
     total = keys.count()
     # Of a group of near copies, what they were made from has the most tiles: it leads.
     score = keys.groupBy("sig").agg(F.count("*").alias("score"))
     hubs = keys.join(score, "sig").groupBy("tile").agg(F.max(F.struct("score", "sig")).alias("hub"), F.count("*").alias("n")).where("n > 1")
     hubs = settle(hubs.select("tile", F.col("hub.sig").alias("leader"), F.col("hub.score").alias("score"), "n"), "hubs")
     met = settle(join_by_key(keys, hubs, "tile", total).where("sig <> leader").select("tile", "sig", "leader", "score"), "met")
+    drop_settled(keys, hubs)
     votes = met.groupBy("sig", "leader", "score").count()
     first = settle(votes.groupBy("sig").agg(F.max_by("leader", F.struct("count", "score", "leader")).alias("leader")), "first")
     nodes = met.select("sig").union(met.select(F.col("leader").alias("sig"))).distinct()
-    ids = settle(described.groupBy("sig").agg(F.min(F.struct("doc_id", "copy")).alias("d")).join(nodes, "sig", "left_semi").select("sig", "d.doc_id", "d.copy"), "ids")
+    ids = settle(rows.groupBy("sig").agg(F.min(F.struct("doc_id", "copy")).alias("d")).join(nodes, "sig", "left_semi").select("sig", "d.doc_id", "d.copy"), "ids")
     wanted = ids.select(F.col("doc_id").alias("wanted"), F.col("copy").alias("wanted_copy"))
     texts = kept.join(if_small(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")) & (F.col("copy") == F.col("wanted_copy")), "left_semi").select("text")
     sets = texts.mapInArrow(lambda it: _sets(k, num, den, it), "sig long, n long, shingles array<long>, point binary")
@@ -329,6 +336,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     members = met.join(open_tiles, "tile", "left_semi")
     members = members.select("tile", "sig").union(members.select("tile", F.col("leader").alias("sig"))).distinct()
     members = settle(members.join(comp_of("sig", "c"), "sig", "left").select("tile", "sig", F.coalesce("c", "sig").alias("comp")), "open")
+    drop_settled(met)
     shares = members.groupBy("tile", "comp").count()
     tiles = shares.groupBy("tile").agg(F.max_by("comp", F.struct("count", "comp")).alias("big"), F.ceil(F.sum("count") / F.lit(PAGE)).alias("pages"))
     # A node has no more tiles than keys, a fraction of its own shingles.
@@ -341,7 +349,6 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
         figures |= {"followers": first.count(), "links": links.count(), "open_candidates": found.count(), "open_links": more.count()}
     if more.limit(1).count():
         comps = settle(components(links.unionByName(more)), "comps")
-    rows = described.select("doc_id", "copy", "n", "sig")
     return rows.join(comps.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
 
 
