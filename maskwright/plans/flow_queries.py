@@ -301,9 +301,10 @@ def find_mail(value: str) -> list[tuple[str, str, int, int]]:
     return [("Email", m[0], m.start(), len(m[0])) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", value)]
 
 
-@query(f"WITH {_SPANS} SELECT doc_id, entity_type, original_text, start, length, CAST(NULL AS VARCHAR) AS error FROM spans WHERE entity_type = 'Email' AND doc_id NOT IN (SELECT doc_id FROM documents WHERE contains(text, 'token ='))\nUNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'a secret' FROM documents WHERE contains(text, 'token =')")
+@query(f"WITH {_SPANS} SELECT doc_id, entity_type, original_text, start, length, CAST(NULL AS VARCHAR) AS error FROM spans WHERE entity_type = 'Email' AND doc_id NOT IN (SELECT doc_id FROM documents WHERE contains(text, 'token ='))\nUNION ALL SELECT doc_id, NULL, NULL, -1, -1, 'a secret' FROM documents WHERE contains(text, 'token =')")
 def plugged_extractor(spark, sf_dir):
-    return jobs.extract_with(_documents(spark, sf_dir), find_mail)
+    out = jobs.extract_with(_documents(spark, sf_dir), find_mail)
+    return out.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("start", "length")})
 
 
 def _claims(spark, sf_dir) -> DataFrame:

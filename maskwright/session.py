@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -11,20 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+_shipping = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per application, whatever their working folder is."""
     app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
+    with _shipping:
+        if app not in _shipped:
+            _ship(spark)
+            _shipped.add(app)
+
+
+def _ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="maskwright-")) / "maskwright.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
 
 
 def settled(df: DataFrame, name: str = "step") -> DataFrame:
