@@ -3,8 +3,14 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
 to the shared folder and read again before the next one starts, so a lost
 executor costs at most one stage. All but the last return the columns of
-documents; the last returns the mixing plan (doc_id, size, source_size, target,
-taken, copies).
+documents, others with them; the last returns the mixing plan (doc_id, size,
+source_size, target, taken, copies).
+
+Defined results: a null text has no language and goes first; a null id takes part
+in everything (it counts as an empty text where folds are dealt); repeated rows
+are separate in all stages but the third, which keeps one row of each group, and
+tells rows apart by id and text; texts without words pass the third and the fourth
+stage; a null source is a source of its own; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -22,18 +28,18 @@ from maskwright.session import ship_package
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go."""
+    """Documents go whose text has no letter, or whose most likely language has a posterior below 0.5."""
     ship_package(spark)
     return keep_languages(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a tenth of a source's documents go; n_chars follows the text."""
+    """Lines on more than 6.5 % of a source's documents go; n_chars follows the text."""
     return drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at a similarity of 0.8 over five-word shingles, the lowest id stays."""
+    """Of each group linked at a similarity of 0.8 over five-word shingles, one document stays: the lowest id, then the lowest text hash."""
     ship_package(spark)
     return deduplicate(docs)
 
@@ -57,7 +63,7 @@ STAGES = [
     ("mix_sources", mixture),
 ]
 
-#: Language ID has no SQL; tests/llm compares the stages with brute-force versions.
+#: Language ID has no SQL; tests/llm/test_pipeline.py compares all stages with brute-force versions.
 ORACLE_SQL = None
 
 
