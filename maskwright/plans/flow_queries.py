@@ -101,7 +101,7 @@ def prompt_fields(spark, sf_dir):
 _NAMES = ("Report 7.PDF", "scan.final.PNG", "a-b_c.jpeg", ".hidden", "plain", "Letter é.docx")
 
 
-@query(f"""WITH f AS (SELECT doc_id, doc_id || {"||".join(["'-'"])} || list_value({", ".join(f"'{n}'" for n in _NAMES)})[CAST(doc_id % 6 + 1 AS INT)] AS name FROM documents), e AS (SELECT *, lower(regexp_extract(name, '^.+?(\\.[^.]+)$', 1)) AS ext FROM f),
+@query(f"""WITH f AS (SELECT doc_id, doc_id || '-' || list_value({", ".join(f"'{n}'" for n in _NAMES)})[CAST(doc_id % 6 + 1 AS INT)] AS name FROM documents), e AS (SELECT *, lower(regexp_extract(name, '^.+?(\\.[^.]+)$', 1)) AS ext FROM f),
 m AS (SELECT *, CASE ext WHEN '.pdf' THEN 'application/pdf' WHEN '.png' THEN 'image/png' WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg' WHEN '.docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' ELSE 'application/octet-stream' END AS mime FROM e)
 SELECT doc_id, ext, 'original' || ext AS stored, regexp_replace(name, '^(.+)\\.[^.]*$', '\\1') || '_masked.pdf' AS masked, mime, CASE WHEN mime LIKE 'image/%' THEN split_part(mime, '/', 2) ELSE 'png' END AS subtype FROM m""")
 def file_names(spark, sf_dir):
@@ -134,7 +134,7 @@ def _corners(x, y, w, h):
     return F.array(x, y, x + w, y, x + w, y + h, x, y + h)
 
 
-@query(f"WITH {_WORDS} SELECT doc_id, page_number, word_idx, text, CAST(CASE WHEN word_idx % 4 = 0 THEN 0.0 ELSE 0.5 END AS DOUBLE) AS confidence, {_BOX}, CASE WHEN word_idx % 9 = 0 THEN 0.0 ELSE 0.09 END AS w FROM words WHERE word_idx % 9 > 0 UNION ALL SELECT doc_id, page_number, word_idx, text, CASE WHEN word_idx % 4 = 0 THEN 0.0 ELSE 0.5 END, 0.0, 0.0, 0.0 FROM words WHERE word_idx % 9 = 0".replace("WITH", "WITH", 1))
+@query(f"WITH {_WORDS} SELECT doc_id, page_number, word_idx, text, CAST(CASE WHEN word_idx % 4 = 0 THEN 0.0 ELSE 0.5 END AS DOUBLE) AS confidence, {_BOX}, CASE WHEN word_idx % 9 = 0 THEN 0.0 ELSE 0.09 END AS w FROM words WHERE word_idx % 9 > 0 UNION ALL SELECT doc_id, page_number, word_idx, text, CASE WHEN word_idx % 4 = 0 THEN 0.0 ELSE 0.5 END, 0.0, 0.0, 0.0 FROM words WHERE word_idx % 9 = 0")
 def ocr_result_words(spark, sf_dir):
     w = _words(spark, sf_dir)
     width, height = F.lit(612.0), F.lit(792.0)
@@ -161,7 +161,7 @@ def stored_entities(spark, sf_dir):
     return _read_stored(spark, sf_dir)[0].select(F.col("session_id").alias("doc_id"), "ent_idx", F.col("id").alias("entity_id"), "original_text")
 
 
-@query(f"WITH {_ENTITIES} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'malformed entities' ELSE 'entities not found' END AS error FROM documents WHERE doc_id % 5 = 1 OR doc_id NOT IN (SELECT doc_id FROM entities) OR doc_id % 5 = 0 AND doc_id IN (SELECT doc_id FROM entities)".replace("CASE WHEN doc_id % 5 = 0 THEN", "CASE WHEN doc_id % 5 = 0 AND doc_id IN (SELECT doc_id FROM entities) THEN"))
+@query(f"WITH {_ENTITIES} SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id IN (SELECT doc_id FROM entities) THEN 'malformed entities' ELSE 'entities not found' END AS error FROM documents WHERE doc_id % 5 < 2 OR doc_id NOT IN (SELECT doc_id FROM entities)")
 def stored_entity_errors(spark, sf_dir):
     return _read_stored(spark, sf_dir)[1].select(F.col("session_id").alias("doc_id"), "error")
 
@@ -350,9 +350,9 @@ def digital_pages_needed(spark, sf_dir):
     return verify.scanned_minus(need, w.where("page_number % 3 = 0").select("doc_id", "page_number").distinct())
 
 
-@query(f"WITH {_WORDS} SELECT doc_id, page_number, word_idx, round(floor(word_idx / 10) / 10.0 / 0.05, 4) AS y, round(0.09 / 612, 8) AS w, CAST(CASE WHEN word_idx % 2 = 0 THEN 1024 ELSE 300 END AS INT) AS fit FROM words WHERE page_number = 1".replace("0.05, 4) AS y", "792, 6) AS y"))
+@query(f"WITH {_WORDS} SELECT doc_id, page_number, word_idx, round(floor(word_idx / 10) / 10.0 / 792, 6) AS y, round(0.09 / 612, 8) AS w, CAST(CASE WHEN word_idx % 2 = 0 THEN 1024 ELSE 300 END AS INT) AS fit FROM words")
 def page_units(spark, sf_dir):
-    w = _words(spark, sf_dir).where("page_number = 1")
+    w = _words(spark, sf_dir)
     b = geometry.to_unit(F.array("bbox.x", "bbox.y", "bbox.width", "bbox.height"), F.lit(612), F.lit(792))
     side = F.when(F.col("word_idx") % 2 == 0, F.lit(4096)).otherwise(F.lit(300))
     return w.select("doc_id", "page_number", "word_idx", F.round(b[1], 6).alias("y"), F.round(b[2], 8).alias("w"), geometry.fitted(side, (side / 2).cast("int"))[0].alias("fit"))
@@ -362,25 +362,25 @@ def page_units(spark, sf_dir):
 
 
 def _form(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Boxes of every seventh word; fields over every third one, some of them apart from their words."""
+    """Boxes of words with a capital; fields over words of more than four characters."""
     w = _words(spark, sf_dir).select("doc_id", "page_number", "word_idx", "text", F.col("bbox.x").alias("x0"), F.col("bbox.y").alias("y0"))
     at = lambda d: [F.col("x0"), F.col("y0"), (F.col("x0") + F.lit(0.09)).alias("x1"), (F.col("y0") + F.lit(0.05)).alias("y1")]
-    boxes = w.where("word_idx % 7 = 0").select("doc_id", "page_number", F.col("word_idx").alias("occ_id"), F.col("text").alias("original"), *at(0))
-    fields = w.where("word_idx % 3 = 0").select("doc_id", "page_number", F.concat(F.lit("f"), F.col("word_idx").cast("string")).alias("field_name"), F.col("text").alias("field_value"), *at(0))
+    boxes = w.where(F.col("text").rlike("^[A-Z]")).select("doc_id", "page_number", F.col("word_idx").alias("occ_id"), F.col("text").alias("original"), *at(0))
+    fields = w.where("length(text) > 4").select("doc_id", "page_number", F.concat(F.lit("f"), F.col("word_idx").cast("string")).alias("field_name"), F.col("text").alias("field_value"), *at(0))
     return boxes, fields
 
 
-@query(f"""WITH {_WORDS}, g AS (SELECT doc_id, page_number, word_idx, text, round(word_idx % 10, 0) AS c, floor(word_idx / 10) AS r, lower(text) AS t FROM words), b AS (SELECT * FROM g WHERE word_idx % 7 = 0), f AS (SELECT * FROM g WHERE word_idx % 3 = 0),
+@query(f"""WITH {_WORDS}, g AS (SELECT doc_id, page_number, word_idx, text, round(word_idx % 10, 0) AS c, floor(word_idx / 10) AS r, lower(text) AS t FROM words), b AS (SELECT * FROM g WHERE regexp_matches(text, '^[A-Z]')), f AS (SELECT * FROM g WHERE length(text) > 4),
 hit AS (SELECT b.doc_id, b.page_number, b.word_idx AS occ_id, 'f' || f.word_idx AS field_name, f.text AS field_value FROM b JOIN f ON b.doc_id = f.doc_id AND b.page_number = f.page_number AND b.word_idx = f.word_idx)
-SELECT *, 'box' AS found_by FROM hit UNION ALL SELECT b.doc_id, b.page_number, b.word_idx, 'f' || f.word_idx, f.text, 'value' FROM b JOIN f ON b.doc_id = f.doc_id AND b.page_number = f.page_number AND (contains(f.t, b.t) OR contains(b.t, f.t)) WHERE b.word_idx % 21 <> 0""")
+SELECT *, 'box' AS found_by FROM hit UNION ALL SELECT b.doc_id, b.page_number, b.word_idx, 'f' || f.word_idx, f.text, 'value' FROM b JOIN f ON b.doc_id = f.doc_id AND b.page_number = f.page_number AND (contains(f.t, b.t) OR contains(b.t, f.t)) WHERE length(b.text) <= 4""")
 def form_fields_of_boxes(spark, sf_dir):
     return replace.fields_for_boxes(*_form(spark, sf_dir))
 
 
-@query(f"""WITH {_WORDS}, g AS (SELECT doc_id, page_number, word_idx, text AS v, CASE word_idx % 4 WHEN 0 THEN text ELSE upper(text) END AS o, word_idx % 5 AS k FROM words WHERE word_idx < 20 AND regexp_matches(text, '^[A-Za-z]+$'))
+@query(f"""WITH {_WORDS}, g AS (SELECT doc_id, page_number, word_idx, text AS v, CASE word_idx % 4 WHEN 0 THEN text ELSE upper(text) END AS o, word_idx % 5 AS k FROM words WHERE regexp_matches(text, '^[A-Za-z]+$'))
 SELECT doc_id, page_number, word_idx, CASE WHEN k = 0 THEN '[MASKED]' WHEN k = 1 THEN 'part' ELSE 'x$1\\' END || CASE WHEN k > 1 THEN '!' ELSE '' END AS new_value FROM g""")
 def rewritten_fields(spark, sf_dir):
-    w = _words(spark, sf_dir).where("word_idx < 20").where(F.col("text").rlike("^[A-Za-z]+$"))
+    w = _words(spark, sf_dir).where(F.col("text").rlike("^[A-Za-z]+$"))
     k = F.col("word_idx") % 5
     value = F.concat("text", F.when(k > 1, "!").otherwise(""))
     original = F.when(k == 1, F.lit("~")).when(F.col("word_idx") % 4 == 0, F.col("text")).otherwise(F.upper("text"))

@@ -221,15 +221,16 @@ def decision_audit(spark, sf_dir):
 
 
 _HITBOX = f"""WITH {_WORDS}, b AS (SELECT doc_id, page_number, word_idx, (word_idx % 10) / 10.0 AS x, floor(word_idx / 10) / 10.0 AS y, lower(text) AS t FROM words),
-c AS (SELECT *, 0.09 AS w, 0.05 AS h FROM b WHERE word_idx % 3 = 0), p AS (SELECT doc_id, page_number, x, y, 0.05 + 0.01 * length(t) AS w, 0.05 AS h FROM b WHERE word_idx % 7 = 0)"""
+c AS (SELECT *, 0.09 AS w, 0.05 AS h FROM b), p AS (SELECT doc_id, page_number, x - 0.1 AS x, y, 0.05 + 0.01 * length(t) AS w, 0.05 AS h FROM b WHERE length(t) > 8)"""
 
 
 @query(f"""{_HITBOX} SELECT doc_id, page_number, word_idx FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = c.doc_id AND p.page_number = c.page_number
   AND greatest(0, least(c.x + c.w, p.x + p.w) - greatest(c.x, p.x)) * greatest(0, least(c.y + c.h, p.y + p.h) - greatest(c.y, p.y)) / (c.w * c.h) >= 0.8)""")
 def containment_antijoin(spark, sf_dir):
     b = _words(spark, sf_dir).select("doc_id", "page_number", "word_idx", F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"), F.col("bbox.height").alias("h"), F.col("bbox.width").alias("w"), F.length("text").alias("n"))
-    parents = b.where("word_idx % 7 = 0").withColumn("w", F.lit(0.05) + F.lit(0.01) * F.col("n"))
-    return merge.uncovered(b.where("word_idx % 3 = 0"), parents).select("doc_id", "page_number", "word_idx")
+    # Boxes of long words, drawn one place to the left.
+    parents = b.where("n > 8").withColumns({"w": F.lit(0.05) + F.lit(0.01) * F.col("n"), "x": F.col("x") - F.lit(0.1)})
+    return merge.uncovered(b, parents).select("doc_id", "page_number", "word_idx")
 
 
 @query(f"""WITH {_SPANS}, v AS (SELECT doc_id, original_text, regexp_replace(original_text, '[0-9]', '7', 'g') AS r, string_split(original_text, '.') AS o FROM spans WHERE entity_type = 'IP'),
