@@ -40,15 +40,20 @@ def _advance(limit_ms: int, key: tuple, batches: Iterator[pd.DataFrame], state:
         if status == "processing":
             yield pd.DataFrame({"session_id": [key[0]], "status": ["error"], "error_message": ["timed out"], "at": [pd.Timestamp(since + limit_ms, unit="ms")]})
         return
-    rows = pd.concat(list(batches)).sort_values(["at", "status"], kind="stable")
-    last = rows.iloc[-1]
+    # One row is held, however many events a busy session has.
+    last = None
+    for rows in batches:
+        top = rows.sort_values(["at", "status"], kind="stable").tail(1)
+        if last is None or (top["at"].iloc[0], top["status"].iloc[0]) >= (last["at"].iloc[0], last["status"].iloc[0]):
+            last = top
+    out, last = last, last.iloc[0]
     at = int(last["at"].value // 1_000_000)
     old, since = state.getOption or ("", at)
     since = since if old == last["status"] == "processing" and at >= since else at
     state.update((last["status"], since))
     if last["status"] == "processing":
         state.setTimeoutTimestamp(max(since + limit_ms, state.getCurrentWatermarkMs() + 1))
-    yield rows.tail(1)[["session_id", "status", "error_message", "at"]]
+    yield out[["session_id", "status", "error_message", "at"]]
 
 
 def session_states(events: DataFrame, limit_seconds: int = 1000, delay: str = "10 minutes") -> DataFrame:
