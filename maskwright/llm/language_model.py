@@ -31,6 +31,7 @@ and text columns are read. Words are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -131,16 +132,39 @@ def contexts(unit: np.ndarray, row: np.ndarray, start: int) -> tuple[np.ndarray,
     return one, two
 
 
+class _Groups(NamedTuple):
+    """Distinct indexes, how many of each, the order that puts equal ones together, where each begins in it, and each one's index."""
+
+    units: np.ndarray
+    times: np.ndarray
+    order: np.ndarray
+    cuts: np.ndarray
+    inverse: np.ndarray
+
+
+def _grouped(at: np.ndarray) -> _Groups:
+    order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")
+    ranked = at[order]
+    cuts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    times = np.diff(np.r_[cuts, len(at)])
+    inverse = np.empty(len(at), np.int64)
+    inverse[order] = np.repeat(np.arange(len(cuts)), times)
+    return _Groups(ranked[cuts], times, order, cuts, inverse)
+
+
 def _sums(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct indexes, the sums of the rows of g that belong to each, and how many."""
-    order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")
-    at = at[order]
-    cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[cuts], np.add.reduceat(g[order], cuts, 0), np.diff(np.r_[cuts, len(at)])
+    by = _grouped(at)
+    return by.units, np.add.reduceat(g[by.order], by.cuts, 0), by.times
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place of x."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -162,10 +186,17 @@ class LogBilinear:
         self.class_of = np.zeros(len(tokens), np.int64)
         self.members: list[np.ndarray] = []
 
-    def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The vector that each context predicts, and 1 for the bias."""
-        r, c = self.p["r"], self.p["c"]
-        return np.concatenate([r[one] @ c[:DIM] + r[two] @ c[DIM:], np.ones((len(one), 1), np.float32)], 1)
+    def turned(self) -> tuple[np.ndarray, np.ndarray]:
+        """All context embeddings through the matrix of either place, for use while they don't change."""
+        return self.p["r"] @ self.p["c"][:DIM], self.p["r"] @ self.p["c"][DIM:]
+
+    @staticmethod
+    def predicted(first: np.ndarray, second: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The vector that each context predicts from turned embeddings, and 1 for the bias."""
+        out = np.empty((len(one), DIM + 1), np.float32)
+        np.add(first[one], second[two], out=out[:, :DIM])
+        out[:, DIM] = 1
+        return out
 
     def learn_classes(self, words: int) -> None:
         """Halves the words' target vectors along their main direction; each group of the other words is a class."""
@@ -188,20 +219,24 @@ class LogBilinear:
         k[:, -1] = np.log(self.class_share)
         self.p["k"] = k
 
-    def log10(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    def log10(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray, turned: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """log10 p(unit | the units one and two before), for each token."""
-        h = self.predicted(one, two)
         cls = self.class_of[unit]
-        out = np.zeros(len(unit))
+        # Tokens of a class stand together, so that its words' products are one slice.
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        cls = cls[order]
+        h = self.predicted(*(turned or self.turned()), one[order], two[order])
+        found = np.empty(len(unit))
+        k = np.ascontiguousarray(self.p["k"].T)
         for at in range(0, len(unit), LOT):
-            out[at : at + LOT] = _log_softmax(h[at : at + LOT] @ self.p["k"].T, cls[at : at + LOT])
-        order = np.argsort(cls, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(cls[order]) > 0]) if len(cls) else []
-        for i, j in zip(cuts, [*cuts[1:], len(order)]):
-            rows = order[i:j]
-            m = self.members[cls[rows[0]]]
+            found[at : at + LOT] = _log_softmax(h[at : at + LOT] @ k, cls[at : at + LOT])
+        cuts = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]) if len(cls) else []
+        for i, j in zip(cuts, [*cuts[1:], len(cls)]):
+            m = self.members[cls[i]]
             if len(m) > 1:
-                out[rows] += _log_softmax(h[rows] @ self.p["q"][m].T, np.searchsorted(m, unit[rows]))
+                found[i:j] += _log_softmax(h[i:j] @ self.p["q"][m].T, np.searchsorted(m, unit[order[i:j]]))
+        out = np.empty(len(unit))
+        out[order] = found
         return out / np.log(10)
 
 
@@ -217,6 +252,7 @@ class Trainer:
         share = model.class_share if classes else model.share
         self.log_noise = np.log(NOISE * share).astype(np.float32)
         self.up_to = np.cumsum(share)
+        self.turned = model.turned() if classes else None
         self.rng = np.random.default_rng(7)
 
     def _move(self, name: str, at: np.ndarray, grad: np.ndarray, times: np.ndarray) -> None:
@@ -230,17 +266,26 @@ class Trainer:
         target = self.model.class_of[unit] if self.classes else unit
         q = p["k"] if self.classes else p["q"]
         noise = np.minimum(np.searchsorted(self.up_to, self.rng.random(NOISE) * self.up_to[-1]), len(self.up_to) - 1)
-        h = self.model.predicted(one, two)
-        real = 1 - _sigmoid((h * q[target]).sum(1) - self.log_noise[target])
-        false = -_sigmoid(h @ q[noise].T - self.log_noise[noise])
-        name = "k" if self.classes else "q"
-        dh = None if self.classes else real[:, None] * q[target] + false @ q[noise]
-        self._move(name, *_sums(np.r_[target, noise], np.concatenate([real[:, None] * h, false.T @ h])))
+        if self.classes:
+            h = self.model.predicted(*self.turned, one, two)
+        else:
+            # Each distinct context unit is turned once.
+            places = [(at, _grouped(at), p["c"][i : i + DIM]) for i, at in ((0, one), (DIM, two))]
+            rows = [p["r"][g.units] for _, g, _ in places]
+            h = self.model.predicted(*(r @ c for r, (_, _, c) in zip(rows, places)), *(g.inverse for _, g, _ in places))
+        own, other = q[target], q[noise]
+        real = 1 - _sigmoid(np.einsum("ij,ij->i", h, own) - self.log_noise[target])
+        false = -_sigmoid(h @ other.T - self.log_noise[noise])
+        if not self.classes:
+            own *= real[:, None]
+            dh = np.ascontiguousarray((own + false @ other)[:, :DIM])
+        self._move("k" if self.classes else "q", *_sums(np.r_[target, noise], np.concatenate([real[:, None] * h, false.T @ h])))
         if not self.classes:
-            dh = dh[:, :DIM]
-            r, c = p["r"], p["c"]
-            turned = np.concatenate([r[one].T @ dh, r[two].T @ dh])
-            self._move("r", *_sums(np.r_[one, two], np.concatenate([dh @ c[:DIM].T, dh @ c[DIM:].T])))
+            sums = [np.add.reduceat(dh[g.order], g.cuts, 0) for _, g, _ in places]
+            grads = [(g.units, s @ c.T, g.times) for s, (_, g, c) in zip(sums, places)]
+            turned = np.concatenate([r.T @ s for r, s in zip(rows, sums)])
+            for g in grads:
+                self._move("r", *g)
             self._move("c", np.arange(2 * DIM), turned, np.full(2 * DIM, len(unit)))
 
 
@@ -264,9 +309,11 @@ def _train(held, classes: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[p
     for batch in batches:
         unit, row = flat(batch.column(0))
         rest = [np.concatenate(x) for x in zip(rest, (unit, *contexts(unit, row, units)))]
-        while len(rest[0]) >= BATCH:
-            trainer.step(*(x[:BATCH] for x in rest))
-            rest = [x[BATCH:] for x in rest]
+        at = 0
+        while len(rest[0]) - at >= BATCH:
+            trainer.step(*(x[at : at + BATCH] for x in rest))
+            at += BATCH
+        rest = [x[at:] for x in rest]
     if len(rest[0]):
         trainer.step(*rest)
     for name in trainer.names:
@@ -320,12 +367,12 @@ def _score(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document; words that aren't common are listed, and counted as unseen."""
     scorer = held.value
     v, log_n, unseen = scorer.vocabulary, np.log10(scorer.n + ALPHA), np.log10(ALPHA)
-    serial = TaskContext.get().partitionId() << 40
+    serial, turned = TaskContext.get().partitionId() << 40, scorer.model.turned()
     for batch in batches:
         for b in K.blocks(batch.column(1)):
             h, suffix, row = _text_tokens(b)
             unit = v.units_of(h, suffix)
-            model = scorer.model.log10(unit, *contexts(unit, row, v.units))
+            model = scorer.model.log10(unit, *contexts(unit, row, v.units), turned)
             key, inverse = np.unique(h, return_inverse=True)
             at = _find(scorer.word, key)
             part = np.where(at >= 0, log_n[at] if len(log_n) else unseen, unseen)[inverse]
