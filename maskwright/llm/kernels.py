@@ -111,12 +111,17 @@ class Tokens(NamedTuple):
 
 def tokens(block: Block, table: np.ndarray, lower: bool = True, hashed: bool = True) -> Tokens:
     """Maximal runs of bytes for which `table` holds; never across two rows."""
-    data, offs = block.data, block.offs
-    n = len(data)
+    data = block.data
+    start, end, row = runs(block, table[data])
+    return Tokens(start, end, row, run_hash(LOWER[data] if lower else data, start, end) if hashed else None)
+
+
+def runs(block: Block, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the maximal runs of bytes that are inside; never across two rows."""
+    offs, n = block.offs, len(block.data)
     if not n:
         e = np.zeros(0, np.int64)
-        return Tokens(e, e, e, np.zeros(0, np.uint64))
-    inside = table[data]
+        return e, e, e
     cut = np.zeros(n + 1, bool)
     cut[offs] = True
     start = inside.copy()
@@ -124,8 +129,7 @@ def tokens(block: Block, table: np.ndarray, lower: bool = True, hashed: bool = T
     end = inside.copy()
     end[:-1] &= ~inside[1:] | cut[1:n]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-    row = np.searchsorted(offs, start, "right") - 1
-    return Tokens(start, end, row, run_hash(LOWER[data] if lower else data, start, end) if hashed else None)
+    return start, end, np.searchsorted(offs, start, "right") - 1
 
 
 def run_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
