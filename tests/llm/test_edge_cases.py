@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from maskwright.llm import decontaminate, jaccard_join, language_id, language_model, licenses, lines, mixing, pii, quality, substrings
+from maskwright.llm import decontaminate, discriminant, jaccard_join, language_id, language_model, licenses, lines, mixing, pii, quality, substrings
 
 from .fixtures import ROWS, documents, empty
 
@@ -25,6 +25,7 @@ OPERATORS = {
     "substrings": lambda s, d: substrings.repeated_passages(d),
     "language": lambda s, d: language_id.language_digest(d),
     "quality": lambda s, d: quality.judge(d, quality.train(d, labels(s))),
+    "discriminant": lambda s, d: discriminant.classify(m := discriminant.measured(d), discriminant.train(m, labels(s))),
     "pii": lambda s, d: pii.pii_digest(d),
     "jaccard": lambda s, d: jaccard_join.jaccard_components(d),
 }
