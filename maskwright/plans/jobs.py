@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detect, enrich, mask, match, merge, replace, review, verify
+from ..operators import detect, enrich, mask, match, merge, replace, review, tagger, verify
 from ..sources import responses, sinks
 from ..sources.documents import words as document_words
 
@@ -30,7 +30,12 @@ def by_response(documents: DataFrame, *, model_responses: DataFrame, mode: str =
     return responses.parse_responses(model_responses, mode)[0]
 
 
-EXTRACTORS: dict[str, Callable[..., DataFrame]] = {"pattern": by_pattern, "dictionary": by_dictionary, "llm_response": by_response}
+def by_tagger(documents: DataFrame, *, model: tagger.Tagger, **_) -> DataFrame:
+    """Names, addresses and birth dates by context; what is no name or address by itself goes."""
+    return detect.credible(tagger.tag_documents(documents, model))
+
+
+EXTRACTORS: dict[str, Callable[..., DataFrame]] = {"pattern": by_pattern, "dictionary": by_dictionary, "llm_response": by_response, "tagger": by_tagger}
 
 
 def extract_entities(documents: DataFrame, extractor: str = "pattern", **how) -> DataFrame:

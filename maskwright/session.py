@@ -47,6 +47,15 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_settled(*frames: DataFrame) -> None:
+    """Delete what settled wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+        for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = hadoop.Path(at)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: What is broadcast has no more rows and bytes than that.
 SMALL_ROWS, SMALL_BYTES = 500_000, 64 << 20
 
