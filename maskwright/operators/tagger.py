@@ -35,7 +35,7 @@ from ..session import drop_settled, settled
 
 #: Kinds of the built-in template that no pattern finds.
 KINDS = ("Full Name", "Physical Address", "Date of Birth")
-SHARE, SHARDS, ROUNDS, PASSES, STEPS, SAMPLE, BATCH, PIECE = 1000, 8, 3, 3, 400, 20_000, 4, 48
+SHARE, SHARDS, ROUNDS, PASSES, STEPS, SAMPLE, BATCH, PIECE = 1000, 8, 4, 3, 400, 20_000, 4, 48
 #: Rows of hashed features.
 ROWS = 1 << 16
 #: Words that are tagged together.
@@ -285,7 +285,7 @@ def train(texts: DataFrame, spans: DataFrame, *, keys=("doc_id",), text_col: str
     weights, moves = np.zeros((ROWS, n), np.float32), np.zeros((n + 1, n), np.float32)
     sums, total = [np.zeros(weights.shape), np.zeros(moves.shape)], 0
     try:
-        for _ in range(rounds):
+        for turn in range(rounds):
             held = texts.sparkSession.sparkContext.broadcast((weights, moves))
 
             def learn(t: pa.Table) -> pa.Table:
@@ -298,8 +298,9 @@ def train(texts: DataFrame, spans: DataFrame, *, keys=("doc_id",), text_col: str
             share = [r.lines / sum(r.lines for r in got) for r in got]
             mixed = [sum(f * np.frombuffer(r[c], np.float32) for f, r in zip(share, got)) for c in ("last", "mean")]
             weights, moves = (x.astype(np.float32).reshape(y.shape) for x, y in zip(np.split(mixed[0], [weights.size]), (weights, moves)))
-            sums = [a + b.reshape(a.shape) for a, b in zip(sums, np.split(mixed[1], [weights.size]))]
-            total += 1
+            if 2 * turn >= rounds - 1:  # early rounds know little
+                sums = [a + b.reshape(a.shape) for a, b in zip(sums, np.split(mixed[1], [weights.size]))]
+                total += 1
             held.unpersist()
     finally:
         drop_settled(piece)

