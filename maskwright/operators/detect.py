@@ -40,8 +40,12 @@ def matches_at(text: Column, pattern: str) -> Column:
 
 def detect(texts: DataFrame, *, keys=("doc_id",), text_col: str = "text", patterns: dict[str, str] = PATTERNS) -> DataFrame:
     """A row for each match: keys, entity_type, original_text, start, length. Texts without any give none."""
-    tagged = [_tag(F.col(text_col), p, t) for t, p in patterns.items()]
-    return texts.select(*keys, F.inline(F.flatten(F.array(*tagged))))
+    return texts.select(*keys, F.inline(spans_in(F.col(text_col), patterns)))
+
+
+def spans_in(text: Column, patterns: dict[str, str] = PATTERNS) -> Column:
+    """All matches of all patterns as an array beside the text: entity_type, original_text, start, length."""
+    return F.flatten(F.array(*[_tag(text, p, t) for t, p in patterns.items()]))
 
 
 def _tag(text: Column, pattern: str, entity_type: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,16 @@ def masked_documents(texts: DataFrame, spans: DataFrame, *, keys=("doc_id",), te
     return out.withColumn("masked_text", mask_spans(F.col(text_col), F.coalesce("_spans", empty))).drop("_spans")
 
 
+def masked_in_place(texts: DataFrame, spans: Column, replacement: Callable[[Column], Column], *, text_col: str = "text") -> DataFrame:
+    """texts with `spans` (an array beside the text, as detect.spans_in gives) and masked_text, in one projection: no row moves.
+
+    `replacement` makes the new text of a span; rows that repeat a document are masked each by itself.
+    """
+    found = texts.withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<entity_type:string,original_text:string,start:int,length:int>>")))
+    new = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), replacement(s).alias("replacement")))
+    return found.withColumn("masked_text", mask_spans(F.col(text_col), new))
+
+
 def mask_words(words: DataFrame, hits: DataFrame) -> DataFrame:
     """(doc_id, page_number, masked_text): words that hits (doc_id, page_number, word_idx, n, replacement) cover become the replacement.
 

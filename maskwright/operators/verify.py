@@ -37,6 +37,18 @@ def score(documents: DataFrame, checked: DataFrame) -> DataFrame:
     return out.withColumn("verdict", verdict(F.col("score"), F.col("occurrences_total")))
 
 
+def score_in_place(masked: DataFrame) -> DataFrame:
+    """The columns of `score` for texts that carry their spans (mask.masked_in_place); each text is one page."""
+    low = F.lower(F.coalesce("masked_text", F.lit("")))
+    left = F.filter("spans", lambda s: F.contains(low, F.lower(s["original_text"])))
+    m = masked.select("doc_id", F.size("spans").cast("long").alias("total"), left.alias("left"))
+    ok = F.col("total") - F.size("left")
+    listed = F.array_sort(F.transform("left", lambda s: F.concat(F.lit("p1:'"), s["original_text"], F.lit("'"))))
+    share = F.when(F.col("total") > 0, F.bround(ok / F.col("total") * 100, 1)).otherwise(F.lit(100.0))
+    out = m.select("doc_id", F.col("total").alias("occurrences_total"), ok.cast("long").alias("occurrences_masked"), F.lit(0).cast("long").alias("occurrences_unverifiable"), share.alias("score"), F.array_join(listed, ", ").alias("remaining"))
+    return out.withColumn("verdict", verdict(F.col("score"), F.col("occurrences_total")))
+
+
 def verdict(score: Column, total: Column | None = None) -> Column:
     base = F.when(score.isNull(), "Verify unavailable")
     if total is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, pseudonyms, text
-from ..operators import detect, enrich, mask, match, merge, replace, report, retention, review, sessions, validate, verify
+from ..operators import automaton, detect, enrich, mask, match, merge, replace, report, retention, review, sessions, validate, verify
 from ..session import table
 from ..sources import documents as docs_source
 from ..sources import responses
@@ -144,9 +144,25 @@ def _dictionary(spark, sf_dir):
 
 @query(f"WITH {_WORDS}, {_DICT} SELECT * FROM hit")
 def dictionary_match(spark, sf_dir):
+    return automaton.match_texts(_documents(spark, sf_dir), _dictionary(spark, sf_dir)).select("doc_id", "page_number", "word_idx", "n", "item_id", "part")
+
+
+@query(f"WITH {_WORDS}, {_DICT} SELECT * FROM hit")
+def joined_dictionary_match(spark, sf_dir):
+    """The same by the join that holds for any number of entries."""
     return match.match_dictionary(_words(spark, sf_dir), _dictionary(spark, sf_dir)).select("doc_id", "page_number", "word_idx", "n", "item_id", "part")
 
 
+@query(f"""WITH {_WORDS}, {_DICT}, v AS (SELECT doc_id, page_number, unnest(range(word_idx, word_idx + n)) AS word_idx, word_idx AS first FROM hit), m AS (SELECT doc_id, page_number, word_idx, min(first) AS first FROM v GROUP BY ALL),
+p AS (SELECT w.*, CASE WHEN m.first IS NULL THEN text WHEN m.first = w.word_idx THEN '[ENTITY]' END AS piece FROM words w LEFT JOIN m ON w.doc_id = m.doc_id AND w.page_number = m.page_number AND w.word_idx = m.word_idx),
+h AS (SELECT doc_id, page_number, count(*) AS n FROM hit GROUP BY ALL)
+SELECT doc_id, page_number, md5(string_agg(piece, ' ' ORDER BY word_idx)) AS masked_md5, coalesce(max(h.n), 0) AS occurrences FROM p LEFT JOIN h USING (doc_id, page_number) GROUP BY ALL""")
+def masked_pages(spark, sf_dir):
+    """Matched, masked and looked through again in one pass of the texts."""
+    d = _dictionary(spark, sf_dir).withColumn("replacement", F.lit("[ENTITY]"))
+    return automaton.mask_texts(_documents(spark, sf_dir), d).select("doc_id", "page_number", F.md5(F.col("masked_text").cast("binary")).alias("masked_md5"), "occurrences")
+
+
 @query(f"""WITH {_WORDS} SELECT doc_id, page_number, round(min((word_idx % 10) / 10.0), 6) AS x, round(min(floor(word_idx / 10) / 10.0), 6) AS y,
   round(max((word_idx % 10) / 10.0 + 0.09) - min((word_idx % 10) / 10.0), 6) AS w, round(max(floor(word_idx / 10) / 10.0 + 0.05) - min(floor(word_idx / 10) / 10.0), 6) AS h FROM words GROUP BY ALL""")
 def box_union(spark, sf_dir):
@@ -256,9 +272,14 @@ def _masked(spark, sf_dir):
     return d, spans, mask.masked_documents(d, spans.withColumn("replacement", F.concat(F.lit("["), F.upper("entity_type"), F.lit("]"))))
 
 
+def _masked_in_place(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    return mask.masked_in_place(d, detect.spans_in(F.col("text"), CHECKED), lambda s: F.concat(F.lit("["), F.upper(s["entity_type"]), F.lit("]")))
+
+
 @query(f"WITH {_MASKED} SELECT doc_id, md5(masked_text) AS masked_md5 FROM documents_text")
 def mask_documents(spark, sf_dir):
-    return _masked(spark, sf_dir)[2].select("doc_id", F.md5(F.col("masked_text").cast("binary")).alias("masked_md5"))
+    return _masked_in_place(spark, sf_dir).select("doc_id", F.md5(F.col("masked_text").cast("binary")).alias("masked_md5"))
 
 
 _CHECK = f"{_SPANS}, {_MASKED}, c AS (SELECT s.*, NOT contains(lower(masked_text), lower(original_text)) AS masked FROM spans s JOIN documents_text USING (doc_id))"
@@ -270,7 +291,7 @@ v AS (SELECT *, CASE WHEN occurrences_total = 0 THEN 'No entities found' WHEN sc
 
 @query(f"WITH {_SCORE} SELECT * FROM v")
 def verification_score(spark, sf_dir):
-    return jobs.verify_documents(*_masked(spark, sf_dir))
+    return verify.score_in_place(_masked_in_place(spark, sf_dir))
 
 
 @query(f"WITH {_SCORE} SELECT verdict, count(*) AS n_docs, CAST(sum(occurrences_total) AS BIGINT) AS occurrences FROM v GROUP BY 1")

@@ -60,11 +60,16 @@ def drop_settled(*frames: DataFrame) -> None:
 SMALL_ROWS, SMALL_BYTES = 500_000, 64 << 20
 
 
-def if_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
-    """The frame, to be broadcast if its rows and bytes, which are counted, allow it."""
+def is_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
+    """Do its rows and bytes, which are counted, allow a broadcast?"""
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(16))
     got = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
-    return F.broadcast(df) if got.n <= rows and got.b <= size else df
+    return got.n <= rows and got.b <= size
+
+
+def if_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """The frame, to be broadcast if it is small."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
