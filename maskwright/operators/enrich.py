@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.permutation import distinct_fake
 from ..functions.pseudonyms import fake_value, value_key
 from ..functions.text import consistency_key, label_suffix, lookup, type_stem
+from ..session import settled
 
 # Names of strategies as configured, and what they mean.
 STRATEGIES = {"Black Out": "redact", "redact": "redact", "Fake Data": "fake_name", "fake_name": "fake_name", "Entity Label": "entity_label", "entity_label": "entity_label"}
@@ -55,6 +57,34 @@ def with_fakes(entities: DataFrame, salt: str, *, corpus_wide: bool = False, giv
     return e.withColumn("fake", fake_value(salt, F.col("_value_key"), F.col("_type"), F.col("_text"), given)).drop("_type", "_text", "_value_key")
 
 
+def with_distinct_fakes(entities: DataFrame, salt: str, *, scope: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A fake value for each entity that no other text of its scope and type has; texts that agree without case and outer space share one.
+
+    A text's number is its rank by first sight inside the scope; the number is drawn
+    through a keyed permutation, so that order doesn't show. An empty scope is the
+    whole table: its texts are ranked by ranges of the order, not in one task.
+    """
+    order = [F.col(c) for c in (("page_number", "ent_idx") if "page_number" in entities.columns else ("ent_idx",))]
+    e = entities.withColumn("_key", consistency_key(F.col("original_text"))).withColumn("_type", F.lower("entity_type"))
+    seen = e.groupBy(*scope, "_type", "_key").agg(F.min(F.struct(*order)).alias("_first"), F.min_by("original_text", F.struct(*order, "original_text")).alias("_text"), F.min("entity_type").alias("_of"))
+    if scope:
+        seen = seen.withColumn("_n", (F.row_number().over(Window.partitionBy(*scope, "_type").orderBy("_first", "_key")) - 1).cast("long"))
+        where = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in scope])
+    else:
+        ranged = settled(seen.repartitionByRange("_type", "_key").sortWithinPartitions("_type", "_key").withColumn("_part", F.spark_partition_id()), "distinct")
+        sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
+        before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        inside = F.row_number().over(Window.partitionBy("_part").orderBy("_type", "_key")) - 1
+        seen = ranged.join(F.broadcast(before.drop("_size")), "_part").withColumn("_n", (F.col("_before") + inside).cast("long")).drop("_part", "_before")
+        where = F.lit("*")
+    made = seen.withColumn("fake", distinct_fake(salt, where, F.col("_of"), F.col("_text"), F.col("_n"))).drop("_first", "_text", "_of", "_n")
+    same = F.lit(True)
+    left, right = e.alias("e"), made.alias("m")
+    for c in (*scope, "_type", "_key"):
+        same = same & F.col(f"e.{c}").eqNullSafe(F.col(f"m.{c}"))
+    return left.join(right, same).select("e.*", "m.fake").drop("_key", "_type")
+
+
 def with_replacements(entities: DataFrame) -> DataFrame:
     """replacement_text by strategy from `fake` and `label`: a label, a fake value, or nothing to black out."""
     kind = strategy_of(F.col("strategy"))

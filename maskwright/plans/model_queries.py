@@ -1,13 +1,14 @@
-"""Registered queries over detectors that are taught, with SQL for what must hold of their results."""
+"""Registered queries over taught detectors and collision-free replacements, with SQL for what must hold of their results."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import tagger
+from ..functions.permutation import permuted_digits
+from ..operators import enrich, tagger
 from ..session import settled
 from .planted import held_out, with_people
-from .queries import _documents, query
+from .queries import _ENTITIES, _SPANS, SALT, _documents, _entities, _spans, query
 
 _HELD = "(CAST(('0x' || substr(md5('people|' || doc_id || '|split'), 1, 8)) AS BIGINT) % 3) = 0"
 
@@ -23,3 +24,32 @@ def people_found(spark, sf_dir):
     both = docs.select("doc_id", F.inline("planted")).select(*keys, F.lit(1).alias("p")).join(tagger.tag_documents(docs, model).select(*keys, F.lit(1).alias("t")), keys, "full")
     n = both.groupBy("entity_type", held_out().alias("held_out")).agg(F.count("p").alias("planted"), F.count("t").alias("tagged"), F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("agree"))
     return n.select("entity_type", "held_out", "planted", (20 * F.col("agree") >= 9 * (F.col("planted") + F.col("tagged"))).alias("found"))
+
+
+def _rounds(name: str) -> str:
+    """SQL of the permutation of sixteen digits, half against half."""
+    h = lambda step, half: f"CAST('0x' || substr(md5('{SALT}|' || doc_id || '|0|16|{step}|' || {half}), 1, 15) AS BIGINT) % 100000000"
+    sql, at = "", name
+    for i in range(4):
+        sql += f", l{i} AS (SELECT doc_id, original_text, (l + {h(2 * i, 'r')}) % 100000000 AS l, r FROM {at}), r{i} AS (SELECT doc_id, original_text, l, (r + {h(2 * i + 1, 'l')}) % 100000000 AS r FROM l{i})"
+        at = f"r{i}"
+    return f"{sql} SELECT doc_id, original_text, lpad(CAST(l AS VARCHAR), 8, '0') || lpad(CAST(r AS VARCHAR), 8, '0') AS fake FROM {at}"
+
+
+@query(f"""WITH {_SPANS}, h AS (SELECT DISTINCT doc_id, original_text, CAST(substr(original_text, 1, 8) AS BIGINT) AS l, CAST(substr(original_text, 9) AS BIGINT) AS r FROM spans WHERE entity_type = 'Credit Card'){_rounds("h")}""")
+def permuted_cards(spark, sf_dir):
+    """Card numbers through the keyed permutation of their document."""
+    cards = _spans(spark, sf_dir).where("entity_type = 'Credit Card'").select("doc_id", "original_text").distinct()
+    return cards.withColumn("fake", permuted_digits(SALT, F.col("doc_id"), F.col("original_text")))
+
+
+_COUNTED = "SELECT '{0}' AS scope, entity_type, count(*) AS originals, count(*) AS replacements FROM (SELECT DISTINCT {1}entity_type, lower(trim(original_text)) AS k FROM entities) GROUP BY 2"
+
+
+@query(f"WITH {_ENTITIES} {_COUNTED.format('document', 'doc_id, ')} UNION ALL {_COUNTED.format('corpus', '')}")
+def replacements_of_originals(spark, sf_dir):
+    """Distinct originals and distinct replacements of each kind, inside documents and over all of them: as many of one as of the other."""
+    e = settled(_entities(spark, sf_dir), "entities")
+    key = F.lower(F.trim("original_text"))
+    counts = lambda df, scope, by: df.select(*by, "entity_type", key.alias("k"), "fake").groupBy("entity_type").agg(F.count_distinct(*by, "k").alias("originals"), F.count_distinct(*by, "fake").alias("replacements")).select(F.lit(scope).alias("scope"), "entity_type", "originals", "replacements")
+    return counts(enrich.with_distinct_fakes(e, SALT), "document", ["doc_id"]).unionByName(counts(enrich.with_distinct_fakes(e, SALT, scope=()), "corpus", []))
