@@ -153,6 +153,15 @@ def windows(hashes: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np
     return mix(w[at] + np.uint64(k)), at
 
 
+def long_windows(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive tokens, whatever their rows, by one prefix sum."""
+    n = len(hashes)
+    power, inverse = _tables(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * power[:n], out=sums[1:])
+    return mix((sums[k:] - sums[: n - k + 1]) * inverse[: n - k + 1])
+
+
 def per_row(row: np.ndarray, rows: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Count, or sum of weights, for each row."""
     out = np.bincount(row, weights, rows)

@@ -351,6 +351,23 @@ def test_passages_whose_parts_others_quote(spark):
         assert got[i] >= at if i % 4 < 2 else not got[i]
 
 
+@pytest.mark.parametrize("quoters", [0, 4, 10, 30])
+def test_exact_passages_whatever_others_quote(spark, quoters):
+    import random
+
+    rng = random.Random(quoters)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passages = []
+    for _ in range(30):
+        p = [word() for _ in range(52)]
+        passages += [p, p, *(p[k : k + 48] for k in (rng.randrange(5) for _ in range(quoters)))]
+    rows, places = _planted(rng, passages)
+    got = _repeats(spark, rows)
+    for i, at in enumerate(places):
+        if i % (quoters + 2) < 2:
+            assert got[i] >= at
+
+
 def test_stretches():
     import random
 
