@@ -1,4 +1,4 @@
-"""Registered queries over taught detectors and collision-free replacements, with SQL for what must hold of their results."""
+"""Registered queries over taught detectors, collision-free replacements and table functions, with SQL for what must hold of their results."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.permutation import permuted_digits
 from ..operators import enrich, tagger
 from ..session import settled
+from . import table_functions
 from .planted import held_out, with_people
-from .queries import _ENTITIES, _SPANS, SALT, _documents, _entities, _spans, query
+from .queries import _ENTITIES, _MASKED, _SPANS, SALT, _documents, _entities, _spans, query
 
 _HELD = "(CAST(('0x' || substr(md5('people|' || doc_id || '|split'), 1, 8)) AS BIGINT) % 3) = 0"
 
@@ -53,3 +54,21 @@ def replacements_of_originals(spark, sf_dir):
     key = F.lower(F.trim("original_text"))
     counts = lambda df, scope, by: df.select(*by, "entity_type", key.alias("k"), "fake").groupBy("entity_type").agg(F.count_distinct(*by, "k").alias("originals"), F.count_distinct(*by, "fake").alias("replacements")).select(F.lit(scope).alias("scope"), "entity_type", "originals", "replacements")
     return counts(enrich.with_distinct_fakes(e, SALT), "document", ["doc_id"]).unionByName(counts(enrich.with_distinct_fakes(e, SALT, scope=()), "corpus", []))
+
+
+@query(f"WITH {_SPANS} SELECT * FROM spans")
+def sql_extracted(spark, sf_dir):
+    """extract_entities as SQL calls it."""
+    table_functions.register(spark)
+    return spark.sql("SELECT doc_id, entity_type, original_text, start, length FROM extract_entities(TABLE({docs}))", docs=_documents(spark, sf_dir))
+
+
+@query(f"WITH {_MASKED}, {_SPANS}, n AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY 1) SELECT doc_id, md5(masked_text) AS masked_md5, CAST(coalesce(n, 0) AS INT) AS n_spans, CAST(NULL AS VARCHAR) AS error FROM documents_text LEFT JOIN n USING (doc_id)")
+def sql_masked(spark, sf_dir):
+    """extract_entities and mask_spans in one statement."""
+    table_functions.register(spark)
+    return spark.sql(
+        """WITH spans AS (SELECT d.doc_id, d.text, e.start, e.length, concat('[', upper(e.entity_type), ']') AS replacement FROM {docs} d LEFT JOIN extract_entities(TABLE({docs})) e ON d.doc_id = e.doc_id)
+        SELECT doc_id, md5(masked_text) AS masked_md5, n_spans, error FROM mask_spans(TABLE(SELECT * FROM spans) PARTITION BY doc_id)""",
+        docs=_documents(spark, sf_dir),
+    )
