@@ -33,16 +33,21 @@ def _ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(target))
 
 
-def settled(df: DataFrame, name: str = "step") -> DataFrame:
-    """Written to the shared folder of the session and read back, so that steps don't pile up in the plan and survive lost executors."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of the session; in a temporary one where none is configured and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="maskwright-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/maskwright/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/maskwright/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str = "step") -> DataFrame:
+    """Written to the shared folder of the session and read back, so that steps don't pile up in the plan and survive lost executors."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,9 +10,11 @@ state. Events behind the watermark are late for good and are dropped by Spark.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -109,8 +111,10 @@ def session_lifecycle(events: DataFrame, limit_seconds: int = 1000, expiry_hours
 
     change: `state` for a new state, `timeout` for processing that took too long,
     `expired` for a session without events for `expiry_hours`, which is forgotten.
-    The session's state store becomes RocksDB, which timers need.
+    The session's state store becomes RocksDB, which timers need. The processor
+    travels by value, as the process that prepares it may not know this package.
     """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     e = events.selectExpr("session_id", "status", "error_message", "at", "unix_micros(at) AS us").withWatermark("at", delay)
     processor = Lifecycle(limit_seconds * 1000, int(expiry_hours * 3_600_000))
