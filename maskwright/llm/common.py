@@ -2,43 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = UPPER.lower()
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one where none is configured and all runs on this machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="maskwright-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
+from ..session import drop_settled, if_small, settled
 
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write the frame to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/maskwright/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ascii_lower", "components", "crc_bucket", "drop_settled", "free_name", "if_small", "join_by_key", "settle", "with_fields"]
 
+#: Written to the shared folder and read back: cuts lineage, survives lost executors.
+settle = settled
 
-def drop_settled(*frames: DataFrame) -> None:
-    """Delete what settle wrote for these frames; nothing may read them any more."""
-    for df in frames:
-        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
-        for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = hadoop.Path(at)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER = UPPER.lower()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -62,17 +38,6 @@ def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType(schema.fields + T._parse_datatype_string(ddl).fields)
 
 
-#: What is broadcast has no more rows and bytes than that.
-SMALL_ROWS, SMALL_BYTES = 500_000, 64 << 20
-
-
-def if_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
-    """The frame, to be broadcast if its rows and bytes, which are counted, allow it; best a settled one."""
-    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(16))
-    got = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
-    return F.broadcast(df) if got.n <= rows and got.b <= size else df
-
-
 #: A key is hot if it holds one in HOT_KEYS rows; no more keys than that can.
 HOT_KEYS = 2000
 
