@@ -80,25 +80,3 @@ def test_names_keep_title_suffix_and_count(spark):
     df = spark.createDataFrame([("Mr John Smith-Jones Jr",), ("ANNA",)], "o string")
     a, b = (r[0] for r in df.select(pseudonyms.structured_name("s", F.lit("k"), F.col("o"), F.lit("unknown"))).collect())
     assert re.fullmatch(r"Mr [A-Z][a-z]+ [A-Z][a-z]+-[A-Z][a-z]+ Jr", a) and b.isupper()
-
-
-@pytest.mark.parametrize(
-    "original, year, shape",
-    [
-        ("3rd of March, 1984", 1984, r"\d{1,2}(st|nd|rd|th) of [A-Z][a-z]+, 1984"),
-        ("Mon 3/4/84 10:00", 1984, r"(Mon|Tue|Wed|Thu|Fri|Sat|Sun) \d{1,2}/\d{1,2}/84 10:00"),
-        ("Monday, 3 April 2017 at noon", 2017, r"\d{2}/\d{2}/2017"),
-        ("Friday 21st June 2019 9:30 am", 2019, r"[A-Z][a-z]+day \d{1,2}(st|nd|rd|th) [A-Z][a-z]+ 2019 9:30 am"),
-        ("03.04.1999", 1999, r"\d{2}\.\d{2}\.1999"),
-        ("12/25/2001 08:15", 2001, r"\d{2}/\d{2}/2001 08:15"),
-        ("2nd Feb 07", 2007, r"\d{1,2}(st|nd|rd|th) [A-Z][a-z]{2} 07"),
-    ],
-)
-def test_loosely_written_dates(spark, original, year, shape):
-    import re
-
-    from maskwright.functions import pseudonyms
-
-    o = F.lit(original)
-    got = spark.range(1).select(pseudonyms.year_of(o), pseudonyms.like_date(pseudonyms.date_in_year("s", F.lit("k"), o), o)).first()
-    assert got[0] == year and re.fullmatch(shape, got[1]), got
