@@ -12,11 +12,16 @@ matrix product each and are normalised; a word without an embedding is scored by
 its group's add-0.1 unigram model, with one unseen word each. So the probabilities
 of a context sum to one.
 
-Training is in numpy, inside Spark tasks, over every training token: a task walks
-its texts in batches, each against `NOISE` words drawn from the unigrams, and Spark
-averages the tasks' parameters row by row, weighted by how often a task met the
-row. First the embeddings (`ROUNDS` times), then, with these fixed, the class
-vectors. All words are counted by a Spark aggregation whose size follows the corpus.
+Training is in numpy, inside Spark tasks, over every training token. Texts are dealt
+by a hash of id and words to shards of about `SHARD` tokens, and stand in a shard in
+the order of that hash; so what is learned depends on the rows alone, never on how
+they were split into tasks. A task walks a shard in batches, each against `NOISE`
+words drawn from the unigrams, and Spark averages the shards' parameters row by row,
+weighted by how often a shard met the row, in two levels, so no group gets a row from
+each shard. The shards come in `ROUNDS` parts, each of which begins with the
+parameters and step sizes that the parts before have reached. First the embeddings,
+then, with these fixed, the class vectors. All words are counted by a Spark
+aggregation whose size follows the corpus.
 
 Scoring reads the texts once. The `COMMON` most frequent words at most, with
 counts, are broadcast; the others of a document leave it as a list and meet their
@@ -30,6 +35,7 @@ and text columns are read. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -44,7 +50,9 @@ from .common import crc_bucket, drop_settled, join_by_key, settle
 from .shared import flat
 
 VOCAB, MEMBERS, SUFFIX = 16_384, 128, 64
-DIM, NOISE, BATCH, ROUNDS, RATE = 32, 32, 1024, 1, 0.05
+DIM, NOISE, BATCH, ROUNDS, RATE = 32, 32, 1024, 4, 0.05
+#: Training tokens of a shard; beyond SHARDS shards they grow instead, as each sends its parameters once.
+SHARD, SHARDS = 2_000_000, 32_768
 #: Tokens scored at once.
 LOT = 4096
 COMMON = 1_000_000
@@ -183,6 +191,8 @@ class LogBilinear:
         self.share = (tokens + ALPHA) / (tokens + ALPHA).sum()
         self.p = {"r": f(len(tokens) + 1, DIM), "c": np.concatenate([np.eye(DIM, dtype=np.float32)] * 2) + f(2 * DIM, DIM) / 10, "q": f(len(tokens), DIM + 1)}
         self.p["q"][:, -1] = np.log(self.share)
+        #: Squared gradients so far, a row's mean; they set its step size.
+        self.square: dict[str, np.ndarray] = {}
         self.class_of = np.zeros(len(tokens), np.int64)
         self.members: list[np.ndarray] = []
 
@@ -241,19 +251,19 @@ class LogBilinear:
 
 
 class Trainer:
-    """Noise-contrastive steps of one task, on its own copy of the parameters."""
+    """Noise-contrastive steps of one shard, on its own copy of the parameters."""
 
-    def __init__(self, model: LogBilinear, classes: bool):
+    def __init__(self, model: LogBilinear, classes: bool, shard: int):
         self.model, self.classes = model, classes
         self.names = ("k",) if classes else ("r", "c", "q")
         model.p = {name: x.copy() if name in self.names else x for name, x in model.p.items()}
-        self.square = {name: np.full(len(model.p[name]), 1e-6, np.float32) for name in self.names}
+        self.square = {name: model.square[name].copy() if name in model.square else np.full(len(model.p[name]), 1e-6, np.float32) for name in self.names}
         self.met = {name: np.zeros(len(model.p[name])) for name in self.names}
         share = model.class_share if classes else model.share
         self.log_noise = np.log(NOISE * share).astype(np.float32)
         self.up_to = np.cumsum(share)
         self.turned = model.turned() if classes else None
-        self.rng = np.random.default_rng(7)
+        self.rng = np.random.default_rng((7, shard))
 
     def _move(self, name: str, at: np.ndarray, grad: np.ndarray, times: np.ndarray) -> None:
         """Adagrad with one step size a row."""
@@ -290,70 +300,102 @@ class Trainer:
 
 
 def _units(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The units of each text."""
+    """The id and the units of each text."""
     for batch in batches:
-        for b in K.blocks(batch.column(0)):
+        for b in K.blocks(batch.column(1)):
             h, suffix, row = _text_tokens(b)
             offsets = np.r_[0, np.cumsum(K.per_row(row, b.rows))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(held.value.units_of(h, suffix).astype(np.int32)))], names=["units"])
+            units = pa.ListArray.from_arrays(pa.array(offsets), pa.array(held.value.units_of(h, suffix).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.rows), units], names=["id", "units"])
 
 
 def _train(held, classes: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a task's texts make of the parameters: rows of each matrix times how often they were met."""
-    units, model = held.value
-    # The broadcast object is the worker's own and of several tasks: only a copy changes.
-    own = LogBilinear.__new__(LogBilinear)
-    own.__dict__ = dict(model.__dict__)
-    trainer = Trainer(own, classes)
+    """What each shard makes of the parameters: rows of each matrix and their squares, times how often they were met."""
+    start, model = held.value
+    trainer, at_shard = None, -1
     rest = [np.zeros(0, np.int64)] * 3
+
+    def learned() -> Iterator[pa.RecordBatch]:
+        if len(rest[0]):
+            trainer.step(*rest)
+        for name in trainer.names:
+            x, met = np.c_[trainer.model.p[name], trainer.square[name]], trainer.met[name]
+            for i in range(0, len(x), ROWS):
+                w = met[i : i + ROWS].astype(np.float32)
+                if w.any():
+                    yield _packed([name], [i], [at_shard], [w], [x[i : i + ROWS] * w[:, None]])
+
     for batch in batches:
-        unit, row = flat(batch.column(0))
-        rest = [np.concatenate(x) for x in zip(rest, (unit, *contexts(unit, row, units)))]
-        at = 0
-        while len(rest[0]) - at >= BATCH:
-            trainer.step(*(x[at : at + BATCH] for x in rest))
-            at += BATCH
-        rest = [x[at:] for x in rest]
-    if len(rest[0]):
-        trainer.step(*rest)
-    for name in trainer.names:
-        x, met = own.p[name], trainer.met[name]
-        for i in range(0, len(x), ROWS):
-            w = met[i : i + ROWS].astype(np.float32)
-            if w.any():
-                yield _packed([name], [i], [w], [x[i : i + ROWS] * w[:, None]])
-
-
-def _packed(names: list[str], starts: list[int], weights: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
+        shards = batch.column(0).to_numpy()
+        for i in np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(shards) else ():
+            # Rows stand by shard: a new one begins with the parameters that were sent.
+            k = int(np.searchsorted(shards[i:], shards[i], "right"))
+            if shards[i] != at_shard:
+                if trainer is not None:
+                    yield from learned()
+                # The broadcast object is the worker's own and of several shards: only a copy changes.
+                own = LogBilinear.__new__(LogBilinear)
+                own.__dict__ = dict(model.__dict__)
+                at_shard = int(shards[i])
+                trainer, rest = Trainer(own, classes, at_shard), [np.zeros(0, np.int64)] * 3
+            unit, row = flat(batch.column(1).slice(i, k))
+            rest = [np.concatenate(x) for x in zip(rest, (unit, *contexts(unit, row, start)))]
+            at = 0
+            while len(rest[0]) - at >= BATCH:
+                trainer.step(*(x[at : at + BATCH] for x in rest))
+                at += BATCH
+            rest = [x[at:] for x in rest]
+    if trainer is not None:
+        yield from learned()
+
+
+def _packed(names: list[str], starts: list[int], shards: list[int], weights: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
     lists = lambda xs: pa.array([x.ravel() for x in xs], pa.list_(pa.float32()))
-    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(starts, pa.int64()), lists(weights), lists(values)], names=["name", "start", "weight", "value"])
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(starts, pa.int64()), pa.array(shards, pa.int64()), lists(weights), lists(values)], names=["name", "start", "shard", "weight", "value"])
 
 
-PARAMETERS = "name string, start long, weight array<float>, value array<float>"
+PARAMETERS = "name string, start long, shard long, weight array<float>, value array<float>"
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the rows that tasks send, as they stream by: one set of parameters is held at most."""
-    total: dict[tuple[str, int], list[np.ndarray]] = {}
+    """Sums of the rows that stand together by name, start and group, as they stream by: one sum is held."""
+    key, total, shard = None, [], 0
     for batch in batches:
         for i in range(batch.num_rows):
-            key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-            new = [batch.column(c)[i].values.to_numpy().astype(np.float64) for c in (2, 3)]
-            total[key] = [a + b for a, b in zip(total[key], new)] if key in total else new
-    for (name, start), (w, v) in total.items():
-        yield _packed([name], [start], [w.astype(np.float32)], [v.astype(np.float32)])
+            row = tuple(batch.column(c)[i].as_py() for c in (0, 1, 5))
+            new = [batch.column(c)[i].values.to_numpy().astype(np.float64) for c in (3, 4)]
+            if row == key:
+                total = [a + b for a, b in zip(total, new)]
+                continue
+            if key is not None:
+                yield _packed([key[0]], [key[1]], [shard], *[[x.astype(np.float32)] for x in total])
+            key, total, shard = row, new, batch.column(2)[i].as_py()
+    if key is not None:
+        yield _packed([key[0]], [key[1]], [shard], *[[x.astype(np.float32)] for x in total])
+
+
+def _sum_up(sent: DataFrame, groups: int) -> DataFrame:
+    """One row of sums for each block of parameters and each of the groups of shards."""
+    keyed = sent.withColumn("part", F.pmod("shard", F.lit(groups)))
+    return keyed.repartition("name", "start", "part").sortWithinPartitions("name", "start", "part", "shard").mapInArrow(_added, PARAMETERS)
 
 
-def train_round(texts: DataFrame, units: int, model: LogBilinear, classes: bool) -> None:
-    """One walk over all texts, as lists of units; the model takes the tasks' average."""
+def train_round(texts: DataFrame, units: int, model: LogBilinear, classes: bool, shards: int) -> None:
+    """One walk over texts (shard, place, units); the model takes the average of their shards, `shards` at most."""
     held = texts.sparkSession.sparkContext.broadcast((units, model))
-    sent = texts.mapInArrow(lambda it: _train(held, classes, it), PARAMETERS)
-    got = sent.repartition("name", "start").mapInArrow(_added, PARAMETERS).toArrow()
+    # Twice as many partitions, so that few of them get several shards.
+    dealt = texts.repartition(2 * shards, "shard").sortWithinPartitions("shard", "place").select("shard", "units")
+    sent = dealt.mapInArrow(lambda it: _train(held, classes, it), PARAMETERS)
+    groups = math.isqrt(shards)
+    # The sums of a group keep the number of one of its shards, which deals them no further.
+    got = _sum_up(_sum_up(sent, groups) if groups > 1 else sent, 1).toArrow()
     for i in range(got.num_rows):
-        name, start, w, value = (got.column(c)[i] for c in range(4))
-        w, x = w.values.to_numpy(), model.p[name.as_py()]
+        name, start, _, w, value = (got.column(c)[i] for c in range(5))
+        name, w = name.as_py(), w.values.to_numpy()
         at = np.flatnonzero(w)
-        x[start.as_py() + at] = value.values.to_numpy().reshape(len(w), -1)[at] / w[at, None]
+        mean = value.values.to_numpy().reshape(len(w), -1)[at] / w[at, None]
+        square = model.square.setdefault(name, np.full(len(model.p[name]), 1e-6, np.float32))
+        model.p[name][start.as_py() + at], square[start.as_py() + at] = mean[:, :-1], mean[:, -1]
     held.destroy()
 
 
@@ -399,24 +441,31 @@ def _score(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             serial += b.rows
 
 
-def train(learn: DataFrame, vocab: DataFrame, *, size: int = VOCAB, rounds: int = ROUNDS) -> tuple[Vocabulary, LogBilinear]:
-    """Vocabulary and model of all texts of `learn`, from the counts (word, n, suffix) of its words."""
+def train(learn: DataFrame, vocab: DataFrame, *, size: int = VOCAB, rounds: int = ROUNDS, shard: int = SHARD) -> tuple[Vocabulary, LogBilinear]:
+    """Vocabulary and model of all texts of `learn` (id, text), from the counts (word, n, suffix) of its words."""
     top = vocab.orderBy(F.desc("n"), "word").limit(size).select("word", "n", "suffix").toArrow()
     word, n, suffix = (c.to_numpy() for c in top.columns)
     # Groups hold the words that have no embedding of their own.
     group_n, group_v = -np.bincount(suffix, n, SUFFIX), -np.bincount(suffix, minlength=SUFFIX).astype(float)
+    total = 0
     for r in vocab.groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         group_n[r.suffix] += r.n
         group_v[r.suffix] += r.v
+        total += r.n
     vocabulary = Vocabulary(word.view(np.uint64), n, group_n, group_v)
     model = LogBilinear(vocabulary.tokens)
+    shards = min(max(1, -(-total // shard)), SHARDS)
     held = learn.sparkSession.sparkContext.broadcast(vocabulary)
-    texts = settle(learn.mapInArrow(lambda it: _units(held, it), "units array<int>"), "units")
-    for _ in range(rounds if len(n) else 0):
-        train_round(texts, vocabulary.units, model, classes=False)
+    texts = learn.mapInArrow(lambda it: _units(held, it), f"id {learn.schema['id'].dataType.simpleString()}, units array<int>")
+    place = F.xxhash64(F.col("id").cast("string"), "units")
+    texts = settle(texts.select(F.pmod(place, F.lit(shards)).alias("shard"), place.alias("place"), "units"), "units")
+    rounds = min(rounds, shards)
+    for i in range(rounds if total else 0):
+        low, high = shards * i // rounds, shards * (i + 1) // rounds
+        train_round(texts.where((F.col("shard") >= low) & (F.col("shard") < high)), vocabulary.units, model, False, high - low)
     model.learn_classes(vocabulary.size)
-    if len(n):
-        train_round(texts, vocabulary.units, model, classes=True)
+    if total:
+        train_round(texts, vocabulary.units, model, True, shards)
     drop_settled(texts)
     held.destroy()
     return vocabulary, model
@@ -426,8 +475,8 @@ def train_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     held = crc_bucket(F.col("doc_id"), FOLDS) == HELD_OUT if held_out is None else held_out
-    learn = rows.where(~held).select("text")
-    vocab = settle(learn.mapInArrow(_count_words, "word long, n long, suffix long").groupBy("word").agg(F.sum("n").alias("n"), F.first("suffix").alias("suffix")), "vocab")
+    learn = rows.where(~held).select(F.col("doc_id").alias("id"), "text")
+    vocab = settle(learn.select("text").mapInArrow(_count_words, "word long, n long, suffix long").groupBy("word").agg(F.sum("n").alias("n"), F.first("suffix").alias("suffix")), "vocab")
     total = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     vocabulary, model = train(learn, vocab, size=size)
     # The lowest count whose words, with all above, are few enough; counts in steps of a tenth, and none if the first step has too many.

@@ -71,8 +71,8 @@ def test_language_without_letters(spark):
 
 def _learned(spark, table, size):
     """What the scorer learns from a table: vocabulary, model, and counts of all words."""
-    rows = table.select("text").coalesce(1)
-    vocab = rows.mapInArrow(language_model._count_words, "word long, n long, suffix long").groupBy("word").agg(F.sum("n").alias("n"), F.min("suffix").alias("suffix")).cache()
+    rows = table.select(F.col("doc_id").alias("id"), "text").coalesce(1)
+    vocab = rows.select("text").mapInArrow(language_model._count_words, "word long, n long, suffix long").groupBy("word").agg(F.sum("n").alias("n"), F.min("suffix").alias("suffix")).cache()
     return language_model.train(rows, vocab, size=size)
 
 
@@ -91,6 +91,17 @@ def test_model_counts_and_gain(docs, texts, common):
     assert sum(r.score for r in new) > sum(r.base_score for r in new)
 
 
+def test_model_is_the_same_for_any_number_of_tasks(spark, docs):
+    import numpy as np
+
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    vocab = rows.select("text").mapInArrow(language_model._count_words, "word long, n long, suffix long").groupBy("word").agg(F.sum("n").alias("n"), F.min("suffix").alias("suffix")).cache()
+    _, first = language_model.train(rows.coalesce(1), vocab, size=300, shard=4000)
+    _, other = language_model.train(rows.repartition(23, "id"), vocab, size=300, shard=4000)
+    for name, x in first.p.items():
+        assert np.array_equal(x, other.p[name]), name
+
+
 def test_words_of_equal_count_are_all_known(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(500))) for i in range(100)]
     out = language_model.train_and_score(spark.createDataFrame(rows, "doc_id long, text string"), common=50, size=40).collect()
