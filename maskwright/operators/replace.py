@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import intersects
 from ..functions.text import match_form, strip, tokens
+from ..session import settled
 from .enrich import strategy_of
 
 SEPARATORS = ("/", "-", r"\.", r"\s+")
@@ -87,18 +88,77 @@ def rewrite_field(value: Column, original: Column, replacement: Column, strategy
     )
 
 
+#: Exponents of the cells that rectangles are put in; smaller and larger ones take the last.
+LEVELS = (-20, 40)
+GRAM = 3
+
+
+def _level(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The smallest exponent of two that gives cells no narrower than the rectangle."""
+    side = F.greatest(x1 - x0, y1 - y0)
+    return F.least(F.greatest(F.when(side > 0, F.ceil(F.log2(side))), F.lit(LEVELS[0])), F.lit(LEVELS[1])).cast("int")
+
+
+def _cell(v: Column, level: Column) -> Column:
+    return F.floor(v / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _in_cells(r: DataFrame, levels: list[int]) -> DataFrame:
+    """Each rectangle in the cells it covers, four at most, of its own level and the larger ones."""
+    r = r.where((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))).withColumn("level", _level(*map(F.col, ("x0", "y0", "x1", "y1"))))
+    r = r.withColumn("grid", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda g: g >= F.col("level"))))
+    for v in "xy":
+        r = r.withColumn(f"cell_{v}", F.explode(F.sequence(_cell(F.col(f"{v}0"), F.col("grid")), _cell(F.col(f"{v}1"), F.col("grid")))))
+    return r
+
+
+def touching_boxes(boxes: DataFrame, others: DataFrame, page: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
+    """Pairs (b, o) of rectangles x0, y0, x1, y1 of one page that intersect, as structs of all their columns.
+
+    Rectangles meet in the cells of a grid: two of them at the level of the larger
+    one, in the cell of the corner where their intersection begins and in no other, so a pair
+    comes once and a crowded page costs what its neighbours are, not all its pairs.
+    Rectangles with a null or with an end before its beginning touch nothing.
+    """
+    level = _level(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("level")
+    # LEVELS bounds the rows.
+    levels = sorted(r.level for r in boxes.select(level).union(others.select(level)).where("level is not null").distinct().collect())
+    sides = []
+    for name, df in (("b", boxes), ("o", others)):
+        packed = df.select(*page, "x0", "y0", "x1", "y1", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+        sides.append(_in_cells(packed, levels).alias(f"side_{name}"))
+    of = lambda side, c: F.col(f"side_{side}.{c}")
+    key = [of("b", c) == of("o", c) for c in (*page, "grid", "cell_x", "cell_y")]
+    first = [of("b", f"cell_{v}") == _cell(F.greatest(of("b", f"{v}0"), of("o", f"{v}0")), of("b", "grid")) for v in "xy"]
+    meets = intersects(*[of(s, c) for s in "bo" for c in ("x0", "y0", "x1", "y1")])
+    out = sides[0].join(sides[1], [*key, of("b", "grid") == F.greatest(of("b", "level"), of("o", "level")), *first, meets])
+    return out.select("b", "o")
+
+
+def _held_in(inner: DataFrame, outer: DataFrame, page: tuple[str, ...]) -> DataFrame:
+    """Pairs (inner, outer) of a page of which one text `form` holds the other: by the inner one's first characters."""
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("form") - n + 1, F.lit(1))), lambda i: F.substring(F.col("form"), i, n))))
+    i = inner.withColumn("head", F.substring("form", 1, GRAM)).alias("i")
+    o = outer.withColumn("head", F.explode(F.array_distinct(grams))).alias("u")
+    same = [F.col(f"i.{c}") == F.col(f"u.{c}") for c in (*page, "head")]
+    return i.join(o, [*same, F.contains(F.col("u.form"), F.col("i.form"))])
+
+
 def fields_for_boxes(boxes: DataFrame, fields: DataFrame) -> DataFrame:
     """Form fields an occurrence's rectangle touches; where it touches none, fields whose value equals, holds or is part of it.
 
     boxes: doc_id, page_number, occ_id, original, x0, y0, x1, y1; fields: doc_id,
     page_number, field_name, field_value, x0, y0, x1, y1.
     """
-    b, f = boxes.alias("b"), fields.alias("f")
-    page = (F.col("b.doc_id") == F.col("f.doc_id")) & (F.col("b.page_number") == F.col("f.page_number"))
-    at = lambda a: [F.col(f"{a}.{c}") for c in ("x0", "y0", "x1", "y1")]
-    columns = ["b.doc_id", "b.page_number", "b.occ_id", "f.field_name", "f.field_value"]
-    touching = b.join(f, page & intersects(*at("b"), *at("f"))).select(*columns, F.lit("box").alias("found_by"))
-    rest = boxes.join(touching.select("doc_id", "page_number", "occ_id").distinct(), ["doc_id", "page_number", "occ_id"], "left_anti").alias("b")
-    o, v = match_form(F.col("b.original")), match_form(F.col("f.field_value"))
-    alike = (v != "") & (o != "") & (F.contains(v, o) | F.contains(o, v))
-    return touching.unionByName(rest.join(f, page & alike).select(*columns, F.lit("value").alias("found_by")))
+    page = ("doc_id", "page_number")
+    columns = ["doc_id", "page_number", "occ_id", "field_name", "field_value"]
+    found = touching_boxes(boxes, fields)
+    touching = found.select(*[F.col(f"{'o' if c.startswith('field') else 'b'}.{c}").alias(c) for c in columns], F.lit("box").alias("found_by"))
+    touching = settled(touching, "touching")
+    rest = boxes.join(touching.select(*page, "occ_id").distinct(), [*page, "occ_id"], "left_anti")
+    b = rest.select(*page, "occ_id", match_form(F.col("original")).alias("form")).where("form <> ''")
+    f = fields.select(*page, "field_name", "field_value", match_form(F.col("field_value")).alias("form")).where("form <> ''")
+    holding = _held_in(b, f, page).select(*[F.col(f"{'u' if c.startswith('field') else 'i'}.{c}") for c in columns])
+    # Equal texts hold each other and are among the first ones.
+    part = _held_in(f, b, page).where("i.form <> u.form").select(*[F.col(f"{'i' if c.startswith('field') else 'u'}.{c}") for c in columns])
+    return touching.unionByName(holding.unionByName(part).select(*columns, F.lit("value").alias("found_by")))

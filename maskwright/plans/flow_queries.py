@@ -377,6 +377,17 @@ def form_fields_of_boxes(spark, sf_dir):
     return replace.fields_for_boxes(*_form(spark, sf_dir))
 
 
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity AS DOUBLE) AS x0, CAST(l_extendedprice AS DOUBLE) / 1000 AS y0, CAST(l_quantity AS DOUBLE) + 0.31 + 40 * CAST(l_tax AS DOUBLE) AS x1, CAST(l_extendedprice AS DOUBLE) / 1000 + 0.17 + 90 * CAST(l_discount AS DOUBLE) AS y1 FROM lineitem)
+SELECT b.l_orderkey, b.l_linenumber, count(*) AS n, min(o.l_orderkey) AS lowest FROM r b JOIN r o ON b.l_suppkey = o.l_suppkey AND greatest(b.x0, o.x0) < least(b.x1, o.x1) AND greatest(b.y0, o.y0) < least(b.y1, o.y1) GROUP BY ALL""")
+def touching_rectangles(spark, sf_dir):
+    """How many rectangles of the same page each one touches: order lines by quantity and price, a supplier's on one page."""
+    x0, y0 = F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double") / 1000
+    sides = [x0.alias("x0"), y0.alias("y0"), (x0 + 0.31 + 40 * F.col("l_tax").cast("double")).alias("x1"), (y0 + 0.17 + 90 * F.col("l_discount").cast("double")).alias("y1")]
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", *sides)
+    pairs = replace.touching_boxes(r, r, ("l_suppkey",))
+    return pairs.groupBy("b.l_orderkey", "b.l_linenumber").agg(F.count("*").alias("n"), F.min("o.l_orderkey").alias("lowest"))
+
+
 @query(f"""WITH {_WORDS}, g AS (SELECT doc_id, page_number, word_idx, text AS v, CASE word_idx % 4 WHEN 0 THEN text ELSE upper(text) END AS o, word_idx % 5 AS k FROM words WHERE regexp_matches(text, '^[A-Za-z]+$'))
 SELECT doc_id, page_number, word_idx, CASE WHEN k = 0 THEN '[MASKED]' WHEN k = 1 THEN 'part' ELSE 'x$1\\' END || CASE WHEN k > 1 THEN '!' ELSE '' END AS new_value FROM g""")
 def rewritten_fields(spark, sf_dir):

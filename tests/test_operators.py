@@ -209,3 +209,47 @@ def test_long_dictionary_entries(spark):
     assert {len(r.boxes) for r in only.collect()} == {13, 30}
     e = spark.createDataFrame([(0, "a", texts[0]), (1, "b", texts[0])], "doc_id long, entity_id string, original_text string")
     assert {r.entity_id: len(r.matches) for r in match.entity_boxes(w, e).collect()} == {"a": 1, "b": 0}
+
+
+def _rectangles(spark, seed, n):
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        x, y, w, h = rng.uniform(-1, 1), rng.uniform(-1, 1), rng.choice((0, 0.01, 0.1, 2)) * rng.random(), rng.choice((0.01, 0.1, 3)) * rng.random()
+        rows.append((1, i % 2 or None, i, rng.choice(("Ann", "an", "Joanna", "", "x y", "y z", None)), x, y, x + w, y + h if i % 17 else y - h))
+    # Grid lines, equal rectangles, and far away ones.
+    rows += [(1, 1, n + k, "Ann", float(k % 3), 0.0, float(k % 3 + 1), 1.0) for k in range(6)] + [(1, 1, n + 6, "far", 1e9, 1e9, 3e9, 1e9 + 1), (1, 1, n + 7, None, None, 0.0, 1.0, 1.0)]
+    return spark.createDataFrame(rows, "doc_id long, page_number int, occ_id long, original string, x0 double, y0 double, x1 double, y1 double")
+
+
+def test_touching_boxes_equal_all_pairs(spark):
+    b, o = _rectangles(spark, 1, 150), _rectangles(spark, 2, 170)
+    got = sorted((r.b.occ_id, r.o.occ_id) for r in replace.touching_boxes(b, o).collect())
+    meet = lambda p, q: p.page_number == q.page_number == 1 and None not in (p.x0, q.x0) and max(p.x0, q.x0) < min(p.x1, q.x1) and max(p.y0, q.y0) < min(p.y1, q.y1)
+    want = sorted((p.occ_id, q.occ_id) for p in b.collect() for q in o.collect() if meet(p, q))
+    assert len(want) > 300 and got == want
+    assert replace.touching_boxes(b.limit(0), o).count() == 0
+
+
+def test_fields_for_boxes_equal_all_pairs(spark):
+    b = _rectangles(spark, 3, 60)
+    f = _rectangles(spark, 4, 50).selectExpr("doc_id", "page_number", "concat('f', occ_id) field_name", "original field_value", "x0", "y0", "x1", "y1").where("x1 < 0.5")
+    got = sorted((r.occ_id, r.field_name, r.found_by) for r in replace.fields_for_boxes(b, f).collect())
+    want = []
+    fields = f.collect()
+    for p in b.collect():
+        near = [q for q in fields if p.page_number == q.page_number == 1]
+        hit = [q for q in near if p.x0 is not None and max(p.x0, q.x0) < min(p.x1, q.x1) and max(p.y0, q.y0) < min(p.y1, q.y1)]
+        want += [(p.occ_id, q.field_name, "box") for q in hit]
+        if not hit and p.original:
+            t = p.original.lower()
+            want += [(p.occ_id, q.field_name, "value") for q in near if q.field_value and (t in q.field_value.lower() or q.field_value.lower() in t)]
+    assert {w for *_, w in want} == {"box", "value"} and got == sorted(want)
+
+
+def test_crowded_page_makes_no_all_pairs(spark):
+    b = spark.range(10_000).selectExpr("1L doc_id", "1 page_number", "id occ_id", "(id % 100) * 1.0D x0", "floor(id / 100) * 1.0D y0", "(id % 100) + 0.9D x1", "floor(id / 100) + 0.9D y1")
+    out = replace.touching_boxes(b, b)
+    assert out.count() == 10_000 and out.where("b.occ_id <> o.occ_id").count() == 0

@@ -10,7 +10,7 @@ from maskwright.plans import registry
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: Queries that learn from the table and need more of it.
 LARGER = {"people_found": "/root/testdata/sf0.01"}
-TABLES = ("events", "documents", "benchmark", "orders", "nation", "part", "pages")
+TABLES = ("events", "documents", "benchmark", "orders", "nation", "part", "pages", "lineitem")
 
 
 def duck(sf):
