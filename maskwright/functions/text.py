@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ MIME_TYPES = {
 }
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it, inside other lambdas too."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def lookup(values: dict, key: Column, default=None) -> Column:
     """The value of a literal map, or the default."""
     m = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])

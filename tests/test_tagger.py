@@ -76,3 +76,13 @@ def test_edges(spark):
     assert T.tag_documents(df.limit(0), model).collect() == []
     empty = T.train(df.limit(0), spans)
     assert empty.spans("Name: Ada Byron") == []
+
+
+def test_planting_cuts_each_text_once(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "One line\nand Another")], "doc_id long, text string")
+    made = with_people(docs)
+    for df in (made, made.select("doc_id", "planted"), made.selectExpr("doc_id", "inline(planted)")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("[^A-Za-z]+") == 1
+    for r in made.collect():
+        assert [p.entity_type for p in r.planted] == list(T.KINDS)
+        assert all(r.text[p.start : p.start + p.length] == p.original_text for p in r.planted)
