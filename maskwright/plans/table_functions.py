@@ -4,8 +4,9 @@
     SELECT * FROM mask_spans(TABLE(spans) PARTITION BY doc_id ORDER BY start)
 
 The first takes whole batches of texts (doc_id, text); the second gets one document's
-rows (doc_id, text, start, length, replacement) together. A text on which the work
-fails is a row with the error and costs no other text.
+rows (doc_id, text, start, length, replacement) together, its text on one of them at
+least: a text beside each of its spans would be sent as often as it has spans. A text
+on which the work fails is a row with the error and costs no other text.
 
 Defined results: a null text has no spans and stays null; spans are masked from left
 to right, longer ones first, and one that begins inside an earlier one stretches it;
@@ -75,7 +76,10 @@ class MaskSpans:
 
     def eval(self, spans: pa.RecordBatch) -> Iterator[pa.Table]:
         if spans.num_rows:
-            self.key, self.text = spans.column("doc_id")[0].as_py(), spans.column("text")[0].as_py()
+            self.key = spans.column("doc_id")[0].as_py()
+            texts = spans.column("text").drop_null() if self.text is None else ()
+            if len(texts):
+                self.text = texts[0].as_py()
             self.spans += [s for s in zip(*(spans.column(c).to_pylist() for c in ("start", "length", "replacement"))) if s[0] is not None]
         yield from ()
 

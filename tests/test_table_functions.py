@@ -26,6 +26,12 @@ def test_an_error_costs_its_text_only(spark, sql):
     assert got == {1: ("Xef", None), 3: ("none", None), 4: (None, None), 5: ("aéb", None)}
 
 
+def test_a_text_stands_beside_one_of_its_spans(spark, sql):
+    spans = spark.createDataFrame([(1, None, 0, 3, "X"), (1, "abcdef", None, None, None), (1, None, 4, 1, "Y"), (2, "none", None, None, None), (3, None, None, None, None)], "doc_id long, text string, start int, length int, replacement string")
+    got = {r.doc_id: (r.masked_text, r.n_spans) for r in sql("SELECT * FROM mask_spans(TABLE({s}) PARTITION BY doc_id)", s=spans).collect()}
+    assert got == {1: ("XdYf", 2), 2: ("none", 0), 3: (None, 0)}
+
+
 def test_a_failing_text_is_a_row(monkeypatch):
     import pyarrow as pa
 
