@@ -97,7 +97,7 @@ def without_fence(c: Column) -> Column:
 def mirror_case(original: Column, generated: Column) -> Column:
     upper = (original == F.upper(original)) & (original != F.lower(original))
     lower = (original == F.lower(original)) & (original != F.upper(original))
-    capital = F.concat(F.upper(F.substring(generated, 1, 1)), F.lower(F.substring(generated, 2, 1 << 20)))
+    capital = once(generated, lambda g: F.concat(F.upper(F.substring(g, 1, 1)), F.lower(F.substring(g, 2, 1 << 20))))
     return F.when(upper, F.upper(generated)).when(lower, F.lower(generated)).otherwise(capital)
 
 

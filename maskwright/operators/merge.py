@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import contained_share
-from ..functions.text import contains_run, tokens
+from ..functions.text import contains_run, once, tokens
 from ..session import settled
 from .detect import TITLES
 
@@ -79,8 +79,10 @@ def _folded_roots(entities: DataFrame, max_entities: int) -> DataFrame:
     kind = "array<struct<ent_idx:int,words:array<string>,root:int>>"
 
     def step(done, e):
-        roots = F.filter(done, lambda r: (r["root"] == r["ent_idx"]) & is_variant(r["words"], e["words"]))
-        root = F.when(F.size(roots) > 0, F.get(roots, 0)["ent_idx"]).otherwise(e["ent_idx"].cast("int"))
+        # A variant's last word is one of its root's, which is seen sooner than the rest.
+        last = F.get(e["words"], F.size(e["words"]) - 1)
+        roots = once(last, lambda w: F.filter(done, lambda r: (r["root"] == r["ent_idx"]) & F.array_contains(r["words"], w) & is_variant(r["words"], e["words"])))
+        root = F.coalesce(F.get(roots, 0)["ent_idx"], e["ent_idx"].cast("int"))
         return F.concat(done, F.array(F.struct(e["ent_idx"].cast("int").alias("ent_idx"), e["words"].alias("words"), root.alias("root"))))
 
     folded = groups.select("doc_id", "entity_type", F.inline(F.aggregate("all", F.array().cast(kind), step)))
