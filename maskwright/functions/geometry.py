@@ -29,22 +29,31 @@ def union(boxes: Column) -> Column:
 def merge_lines(boxes: Column, threshold: float = SAME_LINE) -> Column:
     """One box a line: in (y, x) order, a box further down than the threshold from its line's first box starts a new one."""
     order = F.transform(F.array_sort(F.transform(F.filter(boxes, valid), lambda b: F.struct(b[1].alias("y"), b[0].alias("x"), b.alias("b")))), lambda s: s["b"])
-    none = F.array().cast("array<struct<y:double,b:array<array<double>>>>")
+    # A line is the y of its first box and its own sides; its boxes are not kept.
+    line = "struct<y:double,x0:double,y0:double,x1:double,y1:double>"
+    none = F.struct(F.array().cast(f"array<{line}>").alias("done"), F.lit(None).cast(line).alias("line"))
+    side = lambda b: (b[0], b[1], b[0] + b[2], b[1] + b[3])
+    struct = lambda y, sides: F.struct(y.alias("y"), *[v.alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), sides)])
+    ended = lambda acc: F.when(acc["line"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["line"])))
 
-    def step(lines, b):
-        last = F.element_at(lines, -1)
-        same = (F.size(lines) > 0) & (F.abs(b[1] - F.when(F.size(lines) > 0, F.get(lines, F.size(lines) - 1)["y"])) <= threshold)
-        grown = F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(F.struct(last["y"].alias("y"), F.concat(last["b"], F.array(b)).alias("b"))))
-        return F.when(same, grown).otherwise(F.concat(lines, F.array(F.struct(b[1].alias("y"), F.array(b).alias("b")))))
+    def step(acc, b):
+        own, (x0, y0, x1, y1) = acc["line"], side(b)
+        grown = struct(own["y"], (F.least(own["x0"], x0), F.least(own["y0"], y0), F.greatest(own["x1"], x1), F.greatest(own["y1"], y1)))
+        same = own.isNotNull() & (F.abs(b[1] - own["y"]) <= threshold)
+        return F.when(same, F.struct(acc["done"].alias("done"), grown.alias("line"))).otherwise(F.struct(ended(acc).alias("done"), struct(b[1], side(b)).alias("line")))
 
-    return F.transform(F.aggregate(order, none, step), lambda line: union(line["b"]))
+    lines = F.aggregate(order, none, step, ended)
+    return F.transform(lines, lambda n: F.array(n["x0"], n["y0"], n["x1"] - n["x0"], n["y1"] - n["y0"]))
 
 
 def from_polygon(p: Column) -> Column:
     """Four corners as eight numbers; fewer give a zero box."""
     xs, ys = F.filter(p, lambda v, i: i % 2 == 0), F.filter(p, lambda v, i: i % 2 == 1)
     whole = F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
-    return F.when(F.size(F.coalesce(p, F.array().cast(BOX))) >= 8, whole).otherwise(F.array(*[F.lit(0.0)] * 4))
+    # Four corners need no lambdas.
+    x, y = ([F.get(p, i) for i in range(k, 8, 2)] for k in (0, 1))
+    four = F.array(F.least(*x), F.least(*y), F.greatest(*x) - F.least(*x), F.greatest(*y) - F.least(*y))
+    return F.when(F.size(p) == 8, four).when(F.size(F.coalesce(p, F.array().cast(BOX))) >= 8, whole).otherwise(F.array(*[F.lit(0.0)] * 4))
 
 
 def to_unit(b: Column, width: Column, height: Column) -> Column:

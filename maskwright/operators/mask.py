@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import font_size, text_origin, to_pixels
+from ..functions.text import once
 from .enrich import strategy_of
 
 
@@ -51,10 +52,18 @@ def masked_in_place(texts: DataFrame, spans: Column, replacement: Callable[[Colu
 def mask_words(words: DataFrame, hits: DataFrame) -> DataFrame:
     """(doc_id, page_number, masked_text): words that hits (doc_id, page_number, word_idx, n, replacement) cover become the replacement.
 
-    Of overlapping hits the one that starts first, then the longest, speaks; covered words never survive.
+    `words` are single words or pages of documents.paged_words. Of overlapping hits the one that starts first, then the longest, speaks; covered words never survive.
     """
     covered = hits.select("doc_id", "page_number", F.col("word_idx").alias("from"), "n", "replacement", F.explode(F.sequence(F.col("word_idx"), F.col("word_idx") + F.col("n") - 1)).alias("word_idx"))
     first = covered.groupBy("doc_id", "page_number", "word_idx").agg(F.min(F.struct(F.col("from"), (-F.col("n")).alias("size"), "replacement")).alias("hit"))
+    if "page_words" in words.columns:
+        # A page's hits come to it in one row; of its words only those covered are not its own.
+        by = first.groupBy("doc_id", "page_number").agg(F.map_from_entries(F.collect_list(F.struct("word_idx", "hit"))).alias("_hits"))
+        piece = lambda x: once(F.try_element_at("_hits", x["word_idx"]), lambda h: F.when(h.isNull(), x["text"]).when(h["from"] == x["word_idx"], h["replacement"]))
+        page = words.join(by, ["doc_id", "page_number"], "left")
+        pieces = F.when(F.col("_hits").isNull(), F.transform("page_words", lambda x: x["text"])).otherwise(F.transform("page_words", piece))
+        kept = F.filter(pieces, lambda x: x.isNotNull() & (x != ""))
+        return page.select("doc_id", "page_number", F.array_join(kept, " ").alias("masked_text"))
     w = words.join(first, ["doc_id", "page_number", "word_idx"], "left")
     piece = F.when(F.col("hit").isNull(), F.col("text")).when(F.col("hit.from") == F.col("word_idx"), F.col("hit.replacement"))
     page = w.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("word_idx", piece.alias("piece")))).alias("p"))
@@ -68,7 +77,8 @@ def redaction_plan(occurrences: DataFrame, pages: DataFrame) -> DataFrame:
     Pages outside the document and rectangles without area are left out. A
     document's rows stand together, in the order of its pages.
     """
-    o = occurrences.select("*", F.explode("bounding_boxes").alias("box")).join(pages, ["doc_id", "page_number"])
+    # The outer form asks for no filter that makes the boxes again.
+    o = occurrences.select("*", F.explode_outer("bounding_boxes").alias("box")).where("box is not null").join(pages, ["doc_id", "page_number"])
     o = o.withColumn("pixels", to_pixels(F.col("box"), F.col("width"), F.col("height")))
     o = o.where((F.col("pixels.x1") > F.col("pixels.x0")) & (F.col("pixels.y1") > F.col("pixels.y0")))
     fill = F.when(strategy_of(F.col("strategy")) == "redact", "black").otherwise("white")

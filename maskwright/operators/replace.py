@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import intersects
-from ..functions.text import match_form, strip, tokens
+from ..functions.text import match_form, once, strip, tokens
 from ..session import settled
 from .enrich import strategy_of
 
@@ -88,15 +88,15 @@ def rewrite_field(value: Column, original: Column, replacement: Column, strategy
     )
 
 
-#: Exponents of the cells that rectangles are put in; smaller and larger ones take the last.
-LEVELS = (-20, 40)
+#: Exponents of the cells that rectangles are put in, one in so many; smaller and larger ones take the last.
+LEVELS, EVERY = (-20, 40), 2
 GRAM = 3
 
 
 def _level(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """The smallest exponent of two that gives cells no narrower than the rectangle."""
+    """The smallest of the exponents of two that gives cells no narrower than the rectangle."""
     side = F.greatest(x1 - x0, y1 - y0)
-    return F.least(F.greatest(F.when(side > 0, F.ceil(F.log2(side))), F.lit(LEVELS[0])), F.lit(LEVELS[1])).cast("int")
+    return F.least(F.greatest(F.when(side > 0, F.ceil(F.log2(side) / EVERY) * EVERY), F.lit(LEVELS[0])), F.lit(LEVELS[1])).cast("int")
 
 
 def _cell(v: Column, level: Column) -> Column:
@@ -123,16 +123,19 @@ def touching_boxes(boxes: DataFrame, others: DataFrame, page: tuple[str, ...] =
     level = _level(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("level")
     # LEVELS bounds the rows.
     levels = sorted(r.level for r in boxes.select(level).union(others.select(level)).where("level is not null").distinct().collect())
-    sides = []
+    keyed = (*page, "x0", "y0", "x1", "y1")
+    sides, packed = [], []
     for name, df in (("b", boxes), ("o", others)):
-        packed = df.select(*page, "x0", "y0", "x1", "y1", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
-        sides.append(_in_cells(packed, levels).alias(f"side_{name}"))
+        # Rectangles that cover several cells are sent several times, so with no column twice.
+        rest = [c for c in df.columns if c not in keyed]
+        sides.append(_in_cells(df.select(*keyed, F.struct(*[F.col(f"`{c}`") for c in rest]).alias(name)) if rest else df.select(*keyed), levels).alias(f"side_{name}"))
+        packed.append(F.struct(*[(F.col(f"side_{name}.{c}") if c in keyed else F.col(f"{name}.`{c}`")).alias(c) for c in df.columns]).alias(name))
     of = lambda side, c: F.col(f"side_{side}.{c}")
     key = [of("b", c) == of("o", c) for c in (*page, "grid", "cell_x", "cell_y")]
     first = [of("b", f"cell_{v}") == _cell(F.greatest(of("b", f"{v}0"), of("o", f"{v}0")), of("b", "grid")) for v in "xy"]
     meets = intersects(*[of(s, c) for s in "bo" for c in ("x0", "y0", "x1", "y1")])
     out = sides[0].join(sides[1], [*key, of("b", "grid") == F.greatest(of("b", "level"), of("o", "level")), *first, meets])
-    return out.select("b", "o")
+    return out.select(*packed)
 
 
 def _held_in(inner: DataFrame, outer: DataFrame, page: tuple[str, ...]) -> DataFrame:
@@ -144,6 +147,29 @@ def _held_in(inner: DataFrame, outer: DataFrame, page: tuple[str, ...]) -> DataF
     return i.join(o, [*same, F.contains(F.col("u.form"), F.col("i.form"))])
 
 
+def fields_in_place(boxes: Column, fields: Column) -> Column:
+    """The rows (occ_id, field_name, field_value, found_by) of fields_for_boxes for one page, whose boxes and fields are arrays; no row moves.
+
+    All pairs of the page are looked at, so it is for pages of bounded size; crowded ones go through fields_for_boxes.
+    """
+    valid = lambda r: (r["x0"] <= r["x1"]) & (r["y0"] <= r["y1"])
+    row = lambda b, f, by: F.struct(b["occ_id"].alias("occ_id"), f["field_name"].alias("field_name"), f["field_value"].alias("field_value"), F.lit(by).alias("found_by"))
+    touch = lambda b, f: intersects(*[r[c] for r in (b, f) for c in ("x0", "y0", "x1", "y1")])
+    touching = once(F.filter(fields, valid), lambda fs: F.flatten(F.transform(F.filter(boxes, valid), lambda b: F.transform(F.filter(fs, lambda f: touch(b, f)), lambda f: row(b, f, "box")))))
+    box_form = lambda b: F.struct(b["occ_id"].alias("occ_id"), match_form(b["original"]).alias("form"))
+    field_form = lambda f: F.struct(f["field_name"].alias("field_name"), f["field_value"].alias("field_value"), match_form(f["field_value"]).alias("form"))
+    worded = lambda a: F.filter(a, lambda x: x["form"] != "")
+
+    def with_rest(found: Column) -> Column:
+        done = F.transform(found, lambda x: x["occ_id"])
+        rest = once(done, lambda d: F.filter(boxes, lambda b: ~F.coalesce(F.array_contains(d, b["occ_id"]), F.lit(False))))
+        held = lambda b, f: F.contains(f["form"], b["form"]) | F.contains(b["form"], f["form"])
+        by_value = lambda bs: once(worded(F.transform(fields, field_form)), lambda fs: F.flatten(F.transform(bs, lambda b: F.transform(F.filter(fs, lambda f: held(b, f)), lambda f: row(b, f, "value")))))
+        return once(worded(F.transform(rest, box_form)), lambda bs: F.when(F.size(bs) > 0, F.concat(found, by_value(bs))).otherwise(found))
+
+    return once(touching, with_rest)
+
+
 def fields_for_boxes(boxes: DataFrame, fields: DataFrame) -> DataFrame:
     """Form fields an occurrence's rectangle touches; where it touches none, fields whose value equals, holds or is part of it.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import merge_lines, rounded, valid
-from ..functions.text import strip, without_fence
+from ..functions.text import once, strip, without_fence
 
 PAGE_CHARACTERS = 3000
 ANY_BOX = "struct<x:double,y:double,width:double,height:double>"
@@ -71,12 +71,17 @@ def parse_envelopes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def page_contexts(pages: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, page_number, context): compact JSON of a page for a prompt: text, word count and words with rounded boxes."""
-    usable = words.where((F.coalesce(strip(F.col("text")), F.lit("")) != "") & F.col("bbox").isNotNull())
-    box = rounded(F.array("bbox.x", "bbox.y", "bbox.width", "bbox.height"))
-    w = usable.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("word_idx", F.struct(F.col("text").alias("t"), box.alias("b")).alias("w")))).alias("w"))
-    p = pages.join(w, ["doc_id", "page_number"], "left")
-    listed = F.coalesce(F.transform("w", lambda x: x["w"]), F.array().cast("array<struct<t:string,b:array<double>>>"))
-    return p.select("doc_id", "page_number", F.to_json(F.struct(F.substring("text", 1, PAGE_CHARACTERS).alias("text"), F.size(listed).alias("word_count"), listed.alias("words"))).alias("context"))
+    w = words.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("word_idx", "text", "bbox"))).alias("page_words"))
+    return pages.join(w, ["doc_id", "page_number"], "left").select("doc_id", "page_number", page_context(F.col("text"), F.col("page_words")).alias("context"))
+
+
+def page_context(text: Column, page_words: Column) -> Column:
+    """The context of a page of documents.paged_words and its text."""
+    usable = F.filter(page_words, lambda x: (F.coalesce(strip(x["text"]), F.lit("")) != "") & x["bbox"].isNotNull())
+    box = lambda b: rounded(F.array(b["x"], b["y"], b["width"], b["height"]))
+    listed = F.transform(usable, lambda x: F.struct(x["text"].alias("t"), box(x["bbox"]).alias("b")))
+    listed = F.coalesce(listed, F.array().cast("array<struct<t:string,b:array<double>>>"))
+    return once(listed, lambda w: F.to_json(F.struct(F.substring(text, 1, PAGE_CHARACTERS).alias("text"), F.size(w).alias("word_count"), w.alias("words"))))
 
 
 def field_list(field_defs: DataFrame) -> DataFrame:
