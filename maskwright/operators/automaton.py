@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import lots
 from ..functions.text import SPACE, match_form, tokens
 from ..session import is_small
 from ..sources.documents import WORDS_PER_PAGE
@@ -161,7 +162,7 @@ def match_texts(documents: DataFrame, dictionary: DataFrame, *, text_col: str =
         table, a = held.value
         columns = [table.column(c).combine_chunks() for c in ("n", "gram", *own)]
         sizes = table.column("n").to_numpy()
-        for b in batches:
+        for b in lots(batches, 1):
             for text, number, last, entry in _paged(a, _lists(b, 1), per_page):
                 first = last - sizes[entry] + 1
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array((number + 1).astype(np.int32)), pa.array(first.astype(np.int32)), *(c.take(pa.array(entry)) for c in columns)], names=["doc_id", "page_number", "word_idx", "n", "gram", *own])
@@ -199,7 +200,7 @@ def mask_texts(documents: DataFrame, dictionary: DataFrame, *, text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, a = held.value
         sizes, new = table.column("n").to_numpy(), table.column("replacement").to_pylist()
-        for b in batches:
+        for b in lots(batches, 1):
             hits: dict[tuple[int, int], list] = {}
             for text, number, last, entry in _paged(a, _lists(b, 1), per_page):
                 for t, p, e, x in zip(text.tolist(), number.tolist(), last.tolist(), entry.tolist()):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lookup, match_form, strip
+from ..functions.text import lookup, match_form, once, strip
 
 # Entity types and their patterns, which match the same text in Java and RE2.
 PATTERNS = {
@@ -25,22 +25,24 @@ TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "professor", "sir", "rev", "d
 
 def matches_at(text: Column, pattern: str) -> Column:
     """(original_text, start) of all matches, left to right; starts count characters from 0."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+    all_found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<original_text:string,start:int>>").alias("out"))
 
-    def step(acc, i):
-        value = F.get(found, i)
-        start = acc["at"] + F.length(F.get(between, i))
-        return F.struct((start + F.length(value)).alias("at"), F.concat(acc["out"], F.array(F.struct(value.alias("original_text"), start.alias("start")))).alias("out"))
+    def step(acc, m):
+        start = acc["at"] + F.length(m["before"])
+        return F.struct((start + F.length(m["value"])).alias("at"), F.concat(acc["out"], F.array(F.struct(m["value"].alias("original_text"), start.alias("start")))).alias("out"))
 
-    steps = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, none, step, lambda a: a["out"])
+    def placed(found):
+        pairs = F.zip_with(F.split(text, pattern, -1), found, lambda b, v: F.struct(b.alias("before"), v.alias("value")))
+        return F.aggregate(F.slice(pairs, 1, F.size(found)), none, step, lambda a: a["out"])
+
+    return once(all_found, lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.array().cast("array<struct<original_text:string,start:int>>")))
 
 
 def detect(texts: DataFrame, *, keys=("doc_id",), text_col: str = "text", patterns: dict[str, str] = PATTERNS) -> DataFrame:
     """A row for each match: keys, entity_type, original_text, start, length. Texts without any give none."""
-    return texts.select(*keys, F.inline(spans_in(F.col(text_col), patterns)))
+    # The outer form: before the other one Spark puts a filter that looks through all texts again.
+    return texts.select(*keys, F.inline_outer(spans_in(F.col(text_col), patterns))).where("entity_type is not null")
 
 
 def spans_in(text: Column, patterns: dict[str, str] = PATTERNS) -> Column:

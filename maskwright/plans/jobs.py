@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import lots
 from ..operators import detect, enrich, mask, match, merge, replace, review, tagger, verify
+from ..session import settled
 from ..sources import responses, sinks
-from ..sources.documents import words as document_words
+from ..sources.documents import paged_words
 
 #: What a plug-in extractor returns for each document.
 EXTRACTED = "doc_id long, entity_type string, original_text string, start int, length int, error string"
@@ -22,7 +24,7 @@ def by_pattern(documents: DataFrame, **_) -> DataFrame:
 
 def by_dictionary(documents: DataFrame, *, dictionary: DataFrame, **_) -> DataFrame:
     """Dictionary texts (entity_type, entity_text) as spans of words: start and length count words."""
-    hits = match.match_dictionary(document_words(documents), dictionary)
+    hits = match.match_dictionary(paged_words(documents), dictionary)
     return hits.select("doc_id", "page_number", "entity_type", F.col("gram").alias("original_text"), F.col("word_idx").alias("start"), F.col("n").alias("length"))
 
 
@@ -48,18 +50,21 @@ def extract_entities(documents: DataFrame, extractor: str = "pattern", **how) ->
 def extract_with(documents: DataFrame, find: Callable[[str], list[tuple[str, str, int, int]]]) -> DataFrame:
     """Spans by a user's Python function of one text; a text on which it fails becomes a row with the error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+    names = ["doc_id", "entity_type", "original_text", "start", "length", "error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in lots(batches, 1):
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
                     rows += [(doc_id, *x, None) for x in find(text or "")]
                 except Exception as e:  # noqa: BLE001
                     rows.append((doc_id, None, None, None, None, str(e)[:500]))
-            out = pd.DataFrame(rows, columns=["doc_id", "entity_type", "original_text", "start", "length", "error"])
-            yield out.astype({"start": "Int32", "length": "Int32"})
+            columns = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return documents.select("doc_id", "text").mapInPandas(run, EXTRACTED)
+    return documents.select("doc_id", "text").mapInArrow(run, EXTRACTED)
 
 
 def mask_documents(documents: DataFrame, spans: DataFrame, entities: DataFrame) -> DataFrame:
@@ -96,7 +101,9 @@ def deidentify(documents: DataFrame, *, salt: str, strategies: dict[str, str] |
     spans = detect.detect(documents, patterns=patterns)
     if found is not None:
         spans = spans.unionByName(detect.credible(found.select(*spans.columns)))
-    entities = merged_replacements(detect.entities_from_spans(spans, strategies), salt)
+    # Entities, masking and verification each read them.
+    spans = settled(spans, "spans")
+    entities = settled(merged_replacements(settled(detect.entities_from_spans(spans, strategies), "entities"), salt), "replacements")
     masked = mask_documents(documents, spans, entities)
     return entities, masked, verify_documents(documents, spans, masked)
 

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import pseudonyms
 from ..operators import detect, enrich, mask, report
-from ..session import scratch, table
+from ..session import scratch, settled, table
 from ..sources import documents as docs_source
 from ..sources import files, sinks
 from ..streaming import jobs as streams
 from ..streaming import lifecycle
 from . import jobs
 from .planted import with_people
-from .queries import _DICT, _ENTITIES, _MASKED, _SPANS, _WORDS, NOW, SALT, _approvals, _dictionary, _documents, _edits, _entities, _events, _identified, _masked_in_place, _now, _spans, _words, query
+from .queries import _DICT, _ENTITIES, _MASKED, _SPANS, _WORDS, NOW, SALT, STRATEGY, _approvals, _dictionary, _documents, _edits, _entities, _events, _identified, _masked_in_place, _now, _paged, _spans, _words, query
 
 # Sinks.
 
@@ -21,7 +21,8 @@ from .queries import _DICT, _ENTITIES, _MASKED, _SPANS, _WORDS, NOW, SALT, _appr
 @query(f"WITH {_ENTITIES} SELECT doc_id, ent_idx, entity_type, 'awaiting_review' AS status, d AS run_date FROM entities, (SELECT unnest(['2024-06-01', '2024-06-02']) AS d)")
 def written_entities(spark, sf_dir):
     """Two runs, one of them written twice."""
-    e, path = _entities(spark, sf_dir), scratch(spark, "entities")
+    # Found once, written three times.
+    e, path = settled(_entities(spark, sf_dir), "found"), scratch(spark, "entities")
     for day in ("2024-06-01", "2024-06-02", "2024-06-01"):
         sinks.write_entities(e, path, day, _now())
     return spark.read.parquet(path).select("doc_id", "ent_idx", "entity_type", "status", F.col("run_date").cast("string").alias("run_date"))
@@ -33,8 +34,9 @@ UNION ALL SELECT 'ocr_pages', count(*), 'doc_id,page_number,text' FROM (SELECT D
 def written_intermediates(spark, sf_dir):
     """Tables for debugging; pages go without their images."""
     path = scratch(spark, "debug")
-    sinks.write_intermediates(_spans(spark, sf_dir), _entities(spark, sf_dir), path)
-    sinks.write_ocr_pages(docs_source.pages(_words(spark, sf_dir)).withColumn("image_base64", F.lit("x")), f"{path}/ocr_pages", enabled=True)
+    spans = settled(_spans(spark, sf_dir), "found")
+    sinks.write_intermediates(spans, detect.entities_from_spans(spans, STRATEGY), path)
+    sinks.write_ocr_pages(docs_source.pages(_paged(spark, sf_dir)).withColumn("image_base64", F.lit("x")), f"{path}/ocr_pages", enabled=True)
     out = None
     for name in ("entities_raw", "entities_pre_merge", "ocr_pages"):
         t = spark.read.parquet(f"{path}/{name}")
@@ -90,7 +92,8 @@ FROM documents, (SELECT unnest(['Full Name', 'Physical Address', 'Date of Birth'
 def template_coverage(spark, sf_dir):
     """Strategies of the built-in template for the people planted in all documents."""
     t = files.templates(spark)
-    people = with_people(_documents(spark, sf_dir)).select("doc_id", F.inline("planted"))
+    # Every document has planted people; the outer form asks for no filter that would plant them again.
+    people = with_people(_documents(spark, sf_dir)).select("doc_id", F.inline_outer("planted"))
     n = enrich.with_strategies(people, t).groupBy("entity_type", "strategy").agg(F.count("*").alias("entities"))
     return n.crossJoin(F.broadcast(files.template_summary(t))).select("key", "template_name", "field_count", "entity_type", "strategy", "entities")
 
@@ -196,7 +199,7 @@ def streamed_entities(spark, sf_dir):
     """Documents that arrive as files, each looked through once."""
     d = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"), "text")
     out = scratch(spark, "streamed")
-    q = streams.process_files(spark, _as_files(d, spark, "arrivals"), detect.detect, out, scratch(spark, "offsets"))
+    q = streams.process_files(spark, _as_files(d, spark, "arrivals", max(4, d.rdd.getNumPartitions())), detect.detect, out, scratch(spark, "offsets"))
     q.awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
 

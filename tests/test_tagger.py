@@ -79,9 +79,9 @@ def test_edges(spark):
 
 
 def test_planting_cuts_each_text_once(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "One line\nand Another")], "doc_id long, text string")
+    docs = spark.range(4).selectExpr("id AS doc_id", "if(id = 0, null, concat('One line\\nand Another ', id)) AS text")
     made = with_people(docs)
-    for df in (made, made.select("doc_id", "planted"), made.selectExpr("doc_id", "inline(planted)")):
+    for df in (made, made.select("doc_id", "planted"), made.selectExpr("doc_id", "inline_outer(planted)")):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("[^A-Za-z]+") == 1
     for r in made.collect():
         assert [p.entity_type for p in r.planted] == list(T.KINDS)
