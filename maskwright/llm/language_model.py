@@ -55,6 +55,10 @@ DIM, NOISE, BATCH, ROUNDS, RATE = 32, 32, 1024, 4, 0.05
 SHARD, SHARDS = 2_000_000, 32_768
 #: Tokens scored at once.
 LOT = 4096
+#: Bytes of text scored at once: the more, the more of its contexts are the same.
+SCORED = 1 << 20
+#: First bits of a word's hash that say where it stands in the vocabulary.
+HEAD = 18
 COMMON = 1_000_000
 FOLDS, HELD_OUT = 10, 0
 ALPHA = 0.1
@@ -126,10 +130,22 @@ class Vocabulary:
         #: Tokens of each unit, and of a group's unigram model with its unseen word.
         self.tokens = np.r_[self.n, group_n].astype(np.float64)
         self.log_group = np.log10(group_n + ALPHA * (group_v + 1))
+        #: Where the words that begin with some HEAD bits stand, and the most that have the same ones.
+        self.first = np.searchsorted(self.word >> np.uint64(64 - HEAD), np.arange((1 << HEAD) + 1, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.first).max())
 
     def units_of(self, h: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-        at = _find(self.word, h)
-        return np.where(at >= 0, at, self.size + suffix)
+        out = self.size + suffix
+        at, here = self.first[(h >> np.uint64(64 - HEAD)).astype(np.int64)], np.arange(len(h))
+        for step in range(self.most):
+            # Words are in order, so one that is passed is not there.
+            there = np.minimum(at + step, self.size - 1)
+            word = self.word[there]
+            same = word == h[here]
+            out[here[same]] = there[same]
+            left = np.flatnonzero((word < h[here]) & (at + step < self.size))
+            at, here = at[left], here[left]
+        return out
 
 
 def contexts(unit: np.ndarray, row: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,45 +157,58 @@ def contexts(unit: np.ndarray, row: np.ndarray, start: int) -> tuple[np.ndarray,
 
 
 class _Groups(NamedTuple):
-    """Distinct indexes, how many of each, the order that puts equal ones together, where each begins in it, and each one's index."""
+    """Distinct indexes, how many of each, the order that puts equal ones together, where each begins in it, and where a new one does."""
 
     units: np.ndarray
     times: np.ndarray
     order: np.ndarray
     cuts: np.ndarray
-    inverse: np.ndarray
+    new: np.ndarray
+
+    def inverse(self) -> np.ndarray:
+        """The place of each index among the distinct ones."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(self.new) - 1
+        return out
+
+    def sums(self, g: np.ndarray) -> np.ndarray:
+        """The sums of the rows of g that belong to each distinct index. Most have one row, which needs no sum."""
+        out = g.take(self.order[self.cuts], 0)
+        several = self.times > 1
+        n = self.times[several]
+        if len(n):
+            out[several] = np.add.reduceat(g.take(self.order[np.repeat(several, self.times)], 0), np.cumsum(n) - n, 0)
+        return out
 
 
 def _grouped(at: np.ndarray) -> _Groups:
     order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")
     ranked = at[order]
-    cuts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    times = np.diff(np.r_[cuts, len(at)])
-    inverse = np.empty(len(at), np.int64)
-    inverse[order] = np.repeat(np.arange(len(cuts)), times)
-    return _Groups(ranked[cuts], times, order, cuts, inverse)
-
-
-def _sums(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct indexes, the sums of the rows of g that belong to each, and how many."""
-    by = _grouped(at)
-    return by.units, np.add.reduceat(g[by.order], by.cuts, 0), by.times
+    new = np.ones(len(at), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    cuts = np.flatnonzero(new)
+    times = np.empty(len(cuts), np.int64)
+    np.subtract(cuts[1:], cuts[:-1], out=times[:-1])
+    times[-1:] = len(at) - cuts[-1:]
+    return _Groups(ranked[cuts], times, order, cuts, new)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place of x."""
-    np.clip(x, -30, 30, out=x)
+    np.maximum(x, -30, out=x)
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural log of the share of column `at` of each row of scores."""
-    s -= s.max(1, keepdims=True)
-    own = s[np.arange(len(s)), at]
-    return own - np.log(np.exp(s, out=s).sum(1))
+def _log_softmax(s: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural log of the share of column `at` of the given rows of scores, which it may change."""
+    # Scores of moderate size neither overflow nor vanish.
+    if s.size and max(s.max(), -s.min()) > 40:
+        s -= s.max(1, keepdims=True)
+    own = s[row, at]
+    return own - np.log(np.exp(s, out=s).sum(1))[row]
 
 
 class LogBilinear:
@@ -193,7 +222,8 @@ class LogBilinear:
         self.p["q"][:, -1] = np.log(self.share)
         #: Squared gradients so far, a row's mean; they set its step size.
         self.square: dict[str, np.ndarray] = {}
-        self.class_of = np.zeros(len(tokens), np.int64)
+        #: Class of each unit, and its place among the members.
+        self.class_of, self.place_of = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
         self.members: list[np.ndarray] = []
 
     def turned(self) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +234,7 @@ class LogBilinear:
     def predicted(first: np.ndarray, second: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The vector that each context predicts from turned embeddings, and 1 for the bias."""
         out = np.empty((len(one), DIM + 1), np.float32)
-        np.add(first[one], second[two], out=out[:, :DIM])
+        np.add(first.take(one, 0), second.take(two, 0), out=out[:, :DIM])
         out[:, DIM] = 1
         return out
 
@@ -224,6 +254,7 @@ class LogBilinear:
         self.members += [np.array([u]) for u in range(words, len(self.share))]
         for c, m in enumerate(self.members):
             self.class_of[m] = c
+            self.place_of[m] = np.arange(len(m))
         self.class_share = np.bincount(self.class_of, self.share, len(self.members))
         k = np.stack([np.average(self.p["q"][m], axis=0, weights=self.share[m]) for m in self.members]).astype(np.float32)
         k[:, -1] = np.log(self.class_share)
@@ -231,22 +262,32 @@ class LogBilinear:
 
     def log10(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray, turned: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """log10 p(unit | the units one and two before), for each token."""
+        # A context's classes are looked at once for all its tokens, and its words of a class once for all tokens of that class.
+        context, place = np.unique(one.astype(np.int64) * (len(self.share) + 1) + two, return_inverse=True)
+        h = self.predicted(*(turned or self.turned()), *np.divmod(context, len(self.share) + 1))
         cls = self.class_of[unit]
-        # Tokens of a class stand together, so that its words' products are one slice.
-        order = np.argsort(cls.astype(np.uint16), kind="stable")
-        cls = cls[order]
-        h = self.predicted(*(turned or self.turned()), one[order], two[order])
-        found = np.empty(len(unit))
+        out = np.empty(len(unit))
         k = np.ascontiguousarray(self.p["k"].T)
-        for at in range(0, len(unit), LOT):
-            found[at : at + LOT] = _log_softmax(h[at : at + LOT] @ k, cls[at : at + LOT])
+        order = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[order], np.arange(0, len(context) + LOT, LOT))
+        for at, i, j in zip(range(0, len(context), LOT), cuts, cuts[1:]):
+            own = order[i:j]
+            out[own] = _log_softmax(h[at : at + LOT] @ k, place[own] - at, cls[own])
+        # Tokens of a class stand together, so that its words' products are one slice.
+        order = order[np.argsort(cls[order].astype(np.uint16), kind="stable")]
+        cls, place = cls[order], place[order]
         cuts = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]) if len(cls) else []
         for i, j in zip(cuts, [*cuts[1:], len(cls)]):
             m = self.members[cls[i]]
             if len(m) > 1:
-                found[i:j] += _log_softmax(h[i:j] @ self.p["q"][m].T, np.searchsorted(m, unit[order[i:j]]))
-        out = np.empty(len(unit))
-        out[order] = found
+                new = np.ones(j - i, bool)
+                np.not_equal(place[i + 1 : j], place[i : j - 1], out=new[1:])
+                q, row, column = self.p["q"][m].T, np.cumsum(new) - 1, self.place_of[unit[order[i:j]]]
+                first = np.flatnonzero(new)
+                for at in range(0, len(first), LOT):
+                    to = np.searchsorted(row, at + LOT)
+                    start = first[at]
+                    out[order[i + start : i + to]] += _log_softmax(h[place[i + first[at : at + LOT]]] @ q, row[start:to] - at, column[start:to])
         return out / np.log(10)
 
 
@@ -267,8 +308,12 @@ class Trainer:
 
     def _move(self, name: str, at: np.ndarray, grad: np.ndarray, times: np.ndarray) -> None:
         """Adagrad with one step size a row."""
-        self.square[name][at] += (grad * grad).mean(1)
-        self.model.p[name][at] += RATE * grad / np.sqrt(self.square[name][at])[:, None]
+        square = self.square[name].take(at)
+        square += np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+        self.square[name][at] = square
+        grad *= (np.float32(RATE) / np.sqrt(square))[:, None]
+        grad += self.model.p[name].take(at, 0)
+        self.model.p[name][at] = grad
         self.met[name][at] += times
 
     def step(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
@@ -281,17 +326,18 @@ class Trainer:
         else:
             # Each distinct context unit is turned once.
             places = [(at, _grouped(at), p["c"][i : i + DIM]) for i, at in ((0, one), (DIM, two))]
-            rows = [p["r"][g.units] for _, g, _ in places]
-            h = self.model.predicted(*(r @ c for r, (_, _, c) in zip(rows, places)), *(g.inverse for _, g, _ in places))
-        own, other = q[target], q[noise]
+            rows = [p["r"].take(g.units, 0) for _, g, _ in places]
+            h = self.model.predicted(*(r @ c for r, (_, _, c) in zip(rows, places)), *(g.inverse() for _, g, _ in places))
+        own, other = q.take(target, 0), q.take(noise, 0)
         real = 1 - _sigmoid(np.einsum("ij,ij->i", h, own) - self.log_noise[target])
         false = -_sigmoid(h @ other.T - self.log_noise[noise])
         if not self.classes:
             own *= real[:, None]
             dh = np.ascontiguousarray((own + false @ other)[:, :DIM])
-        self._move("k" if self.classes else "q", *_sums(np.r_[target, noise], np.concatenate([real[:, None] * h, false.T @ h])))
+        by = _grouped(np.concatenate([target, noise]))
+        self._move("k" if self.classes else "q", by.units, by.sums(np.concatenate([real[:, None] * h, false.T @ h])), by.times)
         if not self.classes:
-            sums = [np.add.reduceat(dh[g.order], g.cuts, 0) for _, g, _ in places]
+            sums = [g.sums(dh) for _, g, _ in places]
             grads = [(g.units, s @ c.T, g.times) for s, (_, g, c) in zip(sums, places)]
             turned = np.concatenate([r.T @ s for r, s in zip(rows, sums)])
             for g in grads:
@@ -409,20 +455,28 @@ def _score(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document; words that aren't common are listed, and counted as unseen."""
     scorer = held.value
     v, log_n, unseen = scorer.vocabulary, np.log10(scorer.n + ALPHA), np.log10(ALPHA)
+    log_own = np.log10(v.n + ALPHA)
     serial, turned = TaskContext.get().partitionId() << 40, scorer.model.turned()
     for batch in batches:
-        for b in K.blocks(batch.column(1)):
+        for b in K.blocks(batch.column(1), SCORED):
             h, suffix, row = _text_tokens(b)
             unit = v.units_of(h, suffix)
             model = scorer.model.log10(unit, *contexts(unit, row, v.units), turned)
-            key, inverse = np.unique(h, return_inverse=True)
+            # Words with embeddings are common; only the others are looked for.
+            grouped = np.flatnonzero(unit >= v.size)
+            key, inverse = np.unique(h[grouped], return_inverse=True)
             at = _find(scorer.word, key)
-            part = np.where(at >= 0, log_n[at] if len(log_n) else unseen, unseen)[inverse]
-            grouped = unit >= v.size
+            other = np.where(at >= 0, log_n[at] if len(log_n) else unseen, unseen)[inverse]
+            part = np.empty(len(h))
+            part[grouped] = other
+            own = np.flatnonzero(unit < v.size)
+            part[own] = log_own[unit[own]]
             # Of a group's word: its own count, less the group's total.
-            inside = np.where(grouped, part - v.log_group[np.where(grouped, unit - v.size, 0)], 0.0)
-            common = (at >= 0)[inverse]
-            rare, times = np.unique(row[~common] * len(key) + inverse[~common], return_counts=True)
+            inside = np.zeros(len(h))
+            inside[grouped] = other - v.log_group[unit[grouped] - v.size]
+            common = np.ones(len(h), bool)
+            common[grouped] = (at >= 0)[inverse]
+            rare, times = np.unique(row[~common] * len(key) + inverse[at[inverse] < 0], return_counts=True)
             r, w = rare // max(1, len(key)), key[rare % max(1, len(key))] if len(rare) else np.zeros(0, np.uint64)
             offsets = pa.array(np.r_[0, np.cumsum(K.per_row(r, b.rows))].astype(np.int32))
             yield pa.RecordBatch.from_arrays(

@@ -121,6 +121,38 @@ def test_model_is_normalised_over_words(spark, docs):
         assert math.isclose(p.sum(), 1, abs_tol=1e-4)
 
 
+def test_contexts_are_scored_once(spark, docs, monkeypatch):
+    import numpy as np
+
+    vocabulary, model = _learned(spark, docs, 300)
+    rows, softmax = [], language_model._log_softmax
+    monkeypatch.setattr(language_model, "_log_softmax", lambda s, *at: rows.append(len(s)) or softmax(s, *at))
+    unit, one, two = np.random.default_rng(1).integers(0, vocabulary.units, (3, 10_000))
+    one, two = one % 7, two % 3
+    for lot in (5, 4096):
+        monkeypatch.setattr(language_model, "LOT", lot)
+        rows.clear()
+        got = model.log10(unit, one, two)
+        # 21 contexts: each once for the classes, and once for the words of a class.
+        assert sum(rows) <= 21 * (1 + len(model.members))
+        for i in range(0, 10_000, 997):
+            assert np.allclose(model.log10(unit[i : i + 1], one[i : i + 1], two[i : i + 1]), got[i], atol=1e-5)
+
+
+def test_units_are_found_by_their_first_bits(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    word = rng.choice(1 << 12, 200, replace=False).astype(np.uint64) << np.uint64(52) | rng.integers(0, 4, 200).astype(np.uint64)
+    asked = np.concatenate([word, word ^ np.uint64(8), np.array([0, (1 << 64) - 1], np.uint64)])
+    for head in (2, 18):
+        monkeypatch.setattr(language_model, "HEAD", head)
+        for n in (0, 1, 200):
+            v = language_model.Vocabulary(word[:n], np.ones(n, int), np.zeros(language_model.SUFFIX), np.zeros(language_model.SUFFIX))
+            place = {int(w): i for i, w in enumerate(v.word)}
+            assert v.units_of(asked, np.full(len(asked), 3)).tolist() == [place.get(int(w), n + 3) for w in asked]
+
+
 def test_model_scores_word_by_word(spark, docs, texts):
     import numpy as np
 
