@@ -191,6 +191,26 @@ def test_model_scores_word_by_word(spark, docs, texts):
         assert math.isclose(total, out[i], rel_tol=1e-4, abs_tol=1e-3)
 
 
+def test_short_chains_are_not_aligned(monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    a, b = ([rng.randrange(1000, 30_000) for _ in range(300)] for _ in range(2))
+    b[20:90] = a[40:110]
+    b[55] = 1
+    b[200:212] = a[200:212]
+    b[206] = 2
+    x, y = (np.array(w, np.int16) for w in (a, b))
+    looked, patience = [], substrings.patience
+    monkeypatch.setattr(substrings, "patience", lambda u, v: looked.append(len(u)) or patience(u, v))
+    assert substrings.passages(x, y) == [(40, 110, 20, 90)]
+    # The chain of a dozen words is too short for a repeat, so its gap is not aligned.
+    assert len(looked) == 1
+    assert sorted(substrings.passages(x, y, min_words=10)) == [(40, 110, 20, 90), (200, 212, 200, 212)]
+
+
 def test_quality_counts(docs, texts, spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     for r in quality.judge(docs, quality.train(docs, labels)).collect():
