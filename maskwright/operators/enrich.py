@@ -47,12 +47,14 @@ def with_labels(entities: DataFrame) -> DataFrame:
     return e.join(owner, ["doc_id", "_key"]).drop("_key")
 
 
-def with_fakes(entities: DataFrame, salt: str, *, corpus_wide: bool = False, given: dict[str, str] | None = None) -> DataFrame:
-    """A fake value for each entity; texts that agree without case and outer space share that of the type seen first."""
+def with_fakes(entities: DataFrame, salt: str, *, corpus_wide: bool = False, given: dict[str, str] | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """A fake value for each entity, or for the wanted ones by their columns; texts that agree without case and outer space share that of the type seen first."""
     order = ("page_number", "ent_idx") if "page_number" in entities.columns else ("ent_idx",)
     w = Window.partitionBy("doc_id", consistency_key(F.col("original_text"))).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     scope = F.lit("*") if corpus_wide else F.col("doc_id")
     e = entities.withColumn("_type", F.first("entity_type").over(w)).withColumn("_text", F.first("original_text").over(w))
+    if wanted is not None:
+        e = e.join(wanted, wanted.columns, "left_semi")
     e = e.withColumn("_value_key", value_key(scope, F.col("_text")))
     return e.withColumn("fake", fake_value(salt, F.col("_value_key"), F.col("_type"), F.col("_text"), given)).drop("_type", "_text", "_value_key")
 

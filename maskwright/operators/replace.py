@@ -23,22 +23,23 @@ def occurrence_replacement(entity_text: Column, replacement: Column, occurrence:
     All of it for the whole text; the same slice for a slice of its words; for a
     shared end, the occurrence's own beginning with that end replaced; else all.
     """
-    e, o, r = tokens(entity_text), tokens(occurrence), _words(replacement)
-    raw = _words(occurrence)
-    n, k = F.size(e), F.size(o)
-    slots = F.when((k > 0) & (n >= k), F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
-    at = F.get(F.filter(slots, lambda i: F.slice(e, i, k) == o), 0)
-    part = F.array_join(F.slice(r, F.coalesce(at, F.lit(1)), F.greatest(k, F.lit(0))), " ")
-    least = F.least(n, k)
-    ends = F.when(least > 0, F.sequence(least, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    tail = F.get(F.filter(ends, lambda m: F.slice(e, n - m + 1, m) == F.slice(o, k - m + 1, m)), 0)
-    mixed = F.array_join(F.concat(F.slice(raw, 1, F.greatest(k - tail, F.lit(0))), F.slice(r, F.greatest(F.size(r) - tail + 1, F.lit(1)), tail)), " ")
-    return (
-        F.when(match_form(entity_text) == match_form(occurrence), replacement)
-        .when(at.isNotNull() & (part != ""), part)
-        .when(tail.isNotNull() & (F.size(r) > 0), mixed)
-        .otherwise(replacement)
-    )
+
+    def of_words(w: Column) -> Column:
+        e, o, r = (w[c] for c in ("e", "o", "r"))
+        n, k = F.size(e), F.size(o)
+        slots = F.when((k > 0) & (n >= k), F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
+        at = F.get(F.filter(slots, lambda i: F.slice(e, i, k) == o), 0)
+        part = lambda at: F.when(at.isNotNull(), F.array_join(F.slice(r, at, F.greatest(k, F.lit(0))), " "))
+        least = F.least(n, k)
+        ends = F.when(least > 0, F.sequence(least, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        tail = F.get(F.filter(ends, lambda m: F.slice(e, n - m + 1, m) == F.slice(o, k - m + 1, m)), 0)
+        mixed = lambda t: F.array_join(F.concat(F.slice(_words(occurrence), 1, F.greatest(k - t, F.lit(0))), F.slice(r, F.greatest(F.size(r) - t + 1, F.lit(1)), t)), " ")
+        by_end = once(tail, lambda t: F.when(t.isNotNull() & (F.size(r) > 0), mixed(t)).otherwise(replacement))
+        return once(once(at, part), lambda p: F.when(p != "", p).otherwise(by_end))
+
+    # Texts are cut once each, and only where the occurrence is not the whole entity.
+    words = F.struct(tokens(entity_text).alias("e"), tokens(occurrence).alias("o"), _words(replacement).alias("r"))
+    return F.when(match_form(entity_text) == match_form(occurrence), replacement).otherwise(once(words, of_words))
 
 
 def entity_replacement(entities: DataFrame) -> DataFrame:

@@ -62,6 +62,21 @@ def test_partial_replacements(spark):
         assert r.got == r.want, r
 
 
+def test_partial_replacement_cuts_each_text_once(spark):
+    # Words of the entity, the occurrence and the replacement, and the occurrence's own spelling.
+    assert str(replace.occurrence_replacement(F.col("e"), F.col("r"), F.col("o"))).count("split(") == 4
+    none = spark.createDataFrame([(None, "Jane Doe", "John"), ("John Doe", None, "John"), ("John Doe", "Jane", None), ("", "", "")], "e string, r string, o string")
+    assert [r[0] for r in none.select(replace.occurrence_replacement(F.col("e"), F.col("r"), F.col("o"))).collect()] == ["Jane Doe", None, "Jane", ""]
+
+
+def test_fakes_of_wanted_entities(spark):
+    e = spark.createDataFrame([(1, "Full Name", 0, "Ann Lee"), (1, "Full Name", 1, "ANN LEE"), (1, "Full Name", 2, "Bo"), (2, "Full Name", 1, "Ann Lee")], "doc_id long, entity_type string, ent_idx int, original_text string")
+    every = {(r.doc_id, r.ent_idx): r.fake for r in enrich.with_fakes(e, "s").collect()}
+    got = {(r.doc_id, r.ent_idx): r.fake for r in enrich.with_fakes(e, "s", wanted=e.where("ent_idx = 1").select("doc_id", "ent_idx").limit(2)).collect()}
+    # The one asked for takes the spelling that was seen first, though that one isn't asked for.
+    assert got == {k: every[k] for k in ((1, 1), (2, 1))}
+
+
 def test_component_alignment(spark):
     def align(original, replacement, *fields):
         rows = [(1, "o", original, replacement, i, float(x), 0.0, v) for i, (x, v) in enumerate(fields)]
