@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import lots
 from ..session import drop_settled, settled
 
 #: Kinds of the built-in template that no pattern finds.
@@ -121,7 +122,7 @@ class Lines:
         """Score of each tag at each word, without transitions."""
         total = weights[self.pair][self.pair_of] if len(self.pair) else np.zeros((0, weights.shape[1]))
         for p in PLACES:
-            total = total + weights[self.by_word[p]].sum(1)[self.around[p]]
+            total += weights[self.by_word[p]].sum(1)[self.around[p]]
         return total
 
     def rows_at(self, at: np.ndarray) -> np.ndarray:
@@ -188,27 +189,32 @@ class Tagger:
 
     def spans_of(self, texts: list[str | None]) -> list[list[tuple[str, str, int, int]]]:
         """(kind, text, start, length) of each text."""
-        places, lines, owner = [], [], []
+        # Equal lines are tagged once; most have no span, so that their words' places aren't needed.
+        index: dict[str, int] = {}
+        owner = []
         for i, text in enumerate(texts):
             at = 0
             for line in (text or "").split("\n"):
-                spans = [(s + at, e + at) for s, e in words_of(line)]
-                if spans:
-                    places.append(spans)
-                    lines.append([text[s:e] for s, e in spans])
-                    owner.append(i)
+                if line:
+                    owner.append((i, at, index.setdefault(line, len(index))))
                 at += len(line) + 1
-        found: list[list] = [[] for _ in texts]
-        tagged, at = self.tag(lines).tolist(), 0
-        for i, spans in zip(owner, places):
+        lines = list(index)
+        words = [WORD.findall(line) for line in lines]
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        tagged = self.tag(words)
+        inside: dict[int, list[tuple[int, int, int]]] = {}
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(tagged), "right")).tolist():
+            spans, here = words_of(lines[k]), inside.setdefault(k, [])
             begin = end = kind = None
-            for (s, e), t in zip(spans + [(0, 0)], tagged[at : at + len(spans)] + [0]):
+            for (s, e), t in zip(spans + [(0, 0)], tagged[ends[k] - len(spans) : ends[k]].tolist() + [0]):
                 if begin is not None and (t == 0 or t % 2 == 1):
-                    found[i].append((self.kinds[kind], texts[i][begin:end], begin, end - begin))
+                    here.append((kind, begin, end))
                     begin = None
                 if t:
                     begin, kind, end = s if t % 2 == 1 else begin, (t - 1) // 2, e
-            at += len(spans)
+        found: list[list] = [[] for _ in texts]
+        for i, at, k in owner:
+            found[i] += [(self.kinds[kind], lines[k][s:e], at + s, e - s) for kind, s, e in inside.get(k, ())]
         return found
 
 
@@ -245,39 +251,62 @@ def _learnt(kinds: tuple, weights: np.ndarray, moves: np.ndarray, table: pa.Tabl
     return pa.table({"shard": table.column("shard").slice(0, 1).cast(pa.int32()), "mean": mean, "last": pack(weights, moves), "lines": pa.array([len(labels)], pa.int64())})
 
 
-def _taught(kinds: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with their tags, out of texts with spans."""
-    for b in batches:
-        out = []
+def _pieces(kinds: tuple, text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, str, tuple[int, ...]]]:
+    """Pieces of a text's lines (place, words, tags), from its spans (start, end, kind)."""
+    at = 0
+    for line in text.split("\n"):
+        here = [(s - at, e - at, k) for s, e, k in spans if s < at + len(line) and e > at]
+        at += len(line) + 1
+        words, cut = WORD.findall(line), 0
+        tagged = gold(words_of(line), here, kinds) if here else [0] * len(words)
+        while cut < len(words):
+            to = min(cut + PIECE, len(words))
+            while to < len(words) and tagged[to] and tagged[to] % 2 == 0:  # no piece begins inside a span
+                to += 1
+            piece = "\x00".join(words[cut:to])
+            yield zlib.crc32(piece.encode()), piece, tuple(tagged[cut:to])
+            cut = to
+
+
+def _least(kinds: tuple, few: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's distinct pieces with a span, and of those without, the `few` of least place and line: what is among the least of all is among them."""
+    held: tuple[set, set] = (set(), set())
+    last = [1 << 32, 1 << 32]
+    for b in lots(batches, 0):
         for text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            text, at = text or "", 0
             spans = [(s["start"], s["start"] + s["length"], s["entity_type"]) for s in spans or () if None not in s.values()]
-            for line in text.split("\n"):
-                places = words_of(line)
-                if places:
-                    here = [(s - at, e - at, k) for s, e, k in spans if s < at + len(line) and e > at]
-                    tagged, cut = gold(places, here, kinds), 0
-                    while cut < len(places):
-                        to = min(cut + PIECE, len(places))
-                        while to < len(places) and tagged[to] and tagged[to] % 2 == 0:  # no piece begins inside a span
-                            to += 1
-                        words = "\x00".join(line[s:e] for s, e in places[cut:to])
-                        out.append((words, tagged[cut:to], zlib.crc32(words.encode())))
-                        cut = to
-                at += len(line) + 1
-        columns = list(zip(*out)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.int64())], names=["line", "tags", "place"])
-
-
-def train(texts: DataFrame, spans: DataFrame, *, keys=("doc_id",), text_col: str = "text", kinds: tuple[str, ...] = KINDS, sample: int = SAMPLE, rounds: int = ROUNDS) -> Tagger:
-    """A tagger of `kinds` from texts and their spans (keys, entity_type, start, length); texts without spans teach what is none."""
-    by = spans.where(F.col("entity_type").isin(*kinds)).groupBy(*keys).agg(F.collect_list(F.struct("start", "length", "entity_type")).alias("_spans"))
-    joined = texts.join(by, list(keys), "left").select(F.col(text_col).alias("text"), "_spans")
-    pieces = joined.mapInArrow(lambda it: _taught(kinds, it), "line string, tags array<int>, place long").distinct()
+            for p in _pieces(kinds, text or "", spans):
+                some = any(p[2])
+                if p[0] <= last[some]:
+                    held[some].add(p)
+        for i, x in enumerate(held):
+            if len(x) > few + 10_000:
+                kept = sorted(x)[:few]
+                x.clear()
+                x.update(kept)
+                last[i] = kept[-1][0] if kept else -1
+    rows = [p for x in held for p in sorted(x)[:few]]
+    columns = list(zip(*rows)) or [()] * 3
+    yield pa.RecordBatch.from_arrays([pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int32())), pa.array(columns[0], pa.int64())], names=["line", "tags", "place"])
+
+
+def train(texts: DataFrame, spans: DataFrame | str, *, keys=("doc_id",), text_col: str = "text", kinds: tuple[str, ...] = KINDS, sample: int = SAMPLE, rounds: int = ROUNDS) -> Tagger:
+    """A tagger of `kinds` from texts and their spans (keys, entity_type, start, length); texts without spans teach what is none.
+
+    Spans may be the name of a column of texts that holds them as an array; then no text moves.
+    """
+    if isinstance(spans, str):
+        joined = texts.select(F.col(text_col).alias("text"), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), s["entity_type"].alias("entity_type"))).alias("_spans"))
+    else:
+        by = spans.where(F.col("entity_type").isin(*kinds)).groupBy(*keys).agg(F.collect_list(F.struct("start", "length", "entity_type")).alias("_spans"))
+        joined = texts.join(by, list(keys), "left").select(F.col(text_col).alias("text"), "_spans")
+    few = sample - sample // 2
+    pieces = settled(joined.mapInArrow(lambda it: _least(kinds, few, it), "line string, tags array<int>, place long").distinct(), "pieces")
     # Pieces with a span are rare in prose: half of the sample is theirs, as far as they go.
     some = F.exists("tags", lambda t: t > 0)
-    dealt = pieces.where(some).orderBy("place", "line").limit(sample // 2).unionByName(pieces.where(~some).orderBy("place", "line").limit(sample - sample // 2))
+    dealt = pieces.where(some).orderBy("place", "line").limit(sample // 2).unionByName(pieces.where(~some).orderBy("place", "line").limit(few))
     piece = settled(dealt, "taught")
+    drop_settled(pieces)
     shards = max(1, min(SHARDS, piece.count() // SHARE))
     # By ranges, a shard is a partition of its own; small partitions of a hash exchange would be put together again.
     dealt = piece.withColumn("shard", (F.col("place") % shards).cast("int")).repartitionByRange(shards, "shard")
@@ -312,7 +341,7 @@ def tag_documents(texts: DataFrame, model: Tagger, *, keys=("doc_id",), text_col
     held = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lots(batches, len(keys)):
             found = held.value.spans_of(b.column(len(keys)).to_pylist())
             rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             columns = list(zip(*(x for f in found for x in f))) or [()] * 4

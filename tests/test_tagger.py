@@ -45,6 +45,28 @@ def test_spans_to_tags():
     assert T.gold(places, [(5, 19, "Full Name"), (13, 19, "Full Name"), (21, 30, "Physical Address"), (0, 2, "Other")], T.KINDS) == [0, 1, 2, 0, 3, 4, 4]
 
 
+def test_pieces_are_cut_once_and_texts_stay(spark):
+    rows = [(i, f"Name: Ann{i % 7} Lee\nplain words of line {i % 90}\nsame line", [("Full Name", f"Ann{i % 7} Lee", 6, 8)] if i % 3 else None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, planted array<struct<entity_type:string,original_text:string,start:int,length:int>>")
+    batches = docs.select("text", "planted").toArrow().to_batches()
+    got = [r for b in T._least(T.KINDS, 20, iter(batches)) for r in b.to_pylist()]
+    # Of each kind the least only leave a task: 7 lines with a span; 20 of the 98 without.
+    assert len(got) == 27
+    every = sorted({p for _, text, s in rows for p in T._pieces(T.KINDS, text, [(6, 14, "Full Name")] if s else [])})
+    want = [p for p in every if any(p[2])] + [p for p in every if not any(p[2])][:20]
+    assert sorted((r["place"], r["line"], tuple(r["tags"])) for r in got) == sorted(want)
+    beside, joined = T.train(docs, "planted"), T.train(docs, docs.selectExpr("doc_id", "inline(planted)"))
+    assert (beside.weights == joined.weights).all() and (beside.moves == joined.moves).all()
+
+
+def test_equal_lines_are_tagged_once(monkeypatch):
+    model = T.Tagger(T.KINDS, np.zeros((T.ROWS, 7), np.float32), np.eye(8, 7).astype(np.float32))
+    seen = []
+    monkeypatch.setattr(T.Tagger, "tag", lambda self, lines: seen.extend(lines) or np.ones(sum(map(len, lines)), np.int64))
+    assert model.spans_of(["a b\n\na b", None, "", "a b\nc"]) == [[("Full Name", "a", 0, 1), ("Full Name", "b", 2, 1), ("Full Name", "a", 5, 1), ("Full Name", "b", 7, 1)], [], [], [("Full Name", "a", 0, 1), ("Full Name", "b", 2, 1), ("Full Name", "c", 4, 1)]]
+    assert seen == [["a", "b"], ["c"]]
+
+
 def test_taught_on_planted_people(spark):
     docs = with_people(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).cache()
     taught = docs.where(~held_out())
