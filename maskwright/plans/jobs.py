@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..batches import lots
-from ..operators import detect, enrich, mask, match, merge, replace, review, tagger, verify
+from ..operators import automaton, detect, enrich, mask, merge, replace, review, tagger, verify
 from ..session import settled
 from ..sources import responses, sinks
-from ..sources.documents import paged_words
 
 #: What a plug-in extractor returns for each document.
 EXTRACTED = "doc_id long, entity_type string, original_text string, start int, length int, error string"
@@ -24,7 +23,7 @@ def by_pattern(documents: DataFrame, **_) -> DataFrame:
 
 def by_dictionary(documents: DataFrame, *, dictionary: DataFrame, **_) -> DataFrame:
     """Dictionary texts (entity_type, entity_text) as spans of words: start and length count words."""
-    hits = match.match_dictionary(paged_words(documents), dictionary)
+    hits = automaton.match_texts(documents, dictionary)
     return hits.select("doc_id", "page_number", "entity_type", F.col("gram").alias("original_text"), F.col("word_idx").alias("start"), F.col("n").alias("length"))
 
 

@@ -268,3 +268,14 @@ def test_crowded_page_makes_no_all_pairs(spark):
     b = spark.range(10_000).selectExpr("1L doc_id", "1 page_number", "id occ_id", "(id % 100) * 1.0D x0", "floor(id / 100) * 1.0D y0", "(id % 100) + 0.9D x1", "floor(id / 100) + 0.9D y1")
     out = replace.touching_boxes(b, b)
     assert out.count() == 10_000 and out.where("b.occ_id <> o.occ_id").count() == 0
+
+
+def test_dictionary_extractor_moves_no_words(spark):
+    docs = spark.createDataFrame([(1, "the Quick fox saw the quick  fox " + "w " * 100 + "fox the"), (2, None), (3, "Fox")], "doc_id long, text string")
+    entries = spark.createDataFrame([("Animal", "fox"), ("Animal", "the quick"), ("None", " ")], "entity_type string, entity_text string")
+    found = jobs.extract_entities(docs, "dictionary", dictionary=entries)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Generate" not in plan
+    hits = match.match_dictionary(documents.words(docs), entries).selectExpr("doc_id", "page_number", "entity_type", "gram", "word_idx", "n")
+    assert found.columns == ["doc_id", "page_number", "entity_type", "original_text", "start", "length"]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, hits.collect())) != []
