@@ -431,6 +431,43 @@ def test_exact_passages_whatever_others_quote(spark, quoters):
             assert got[i] >= at
 
 
+@pytest.mark.parametrize("quoters", [3, 10, 30])
+def test_fuzzy_passages_whatever_others_quote(spark, quoters):
+    import random
+
+    rng = random.Random(100 + quoters)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passages = []
+    for _ in range(30):
+        p = [word() for _ in range(60)]
+        q = list(p)
+        for k in rng.sample(range(60), 6):
+            q[k] = word()
+        # Each key of the two is in texts that hold too little of the passage.
+        passages += [p, q, *(p[k : k + 44] for k in (rng.randrange(17) for _ in range(quoters)))]
+    rows, places = _planted(rng, passages)
+    got = _repeats(spark, rows)
+    found = [len(got[i] & at) >= 48 for i, at in enumerate(places) if i % (quoters + 2) < 2]
+    assert sum(found) >= 0.95 * len(found)
+
+
+def test_few_common_seeds_are_no_passage():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(19)
+    for _ in range(200):
+        a = [rng.randrange(30_000) for _ in range(90)]
+        b = a[10:80]
+        for k in rng.sample(range(70), rng.randrange(12, 22)):
+            b[k] = rng.randrange(30_000)
+        a, b = (np.array(x, np.int16) for x in (a, b))
+        every = substrings.common_runs(substrings.Seeds(a), substrings.Seeds(b))
+        want = [s for c in substrings.chains(every) for s in substrings.stretches(substrings.aligned(a.tolist(), b.tolist(), c), 50, 0.8)]
+        assert bool(substrings.passages(a, b)) == bool(want)
+
+
 def test_stretches():
     import random
 
