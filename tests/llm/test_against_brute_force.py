@@ -451,6 +451,33 @@ def test_fuzzy_passages_whatever_others_quote(spark, quoters):
     assert sum(found) >= 0.95 * len(found)
 
 
+def test_texts_of_one_short_quote_are_not_all_paired(spark, monkeypatch):
+    import random
+
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    quote = [word() for _ in range(45)]
+    passages = [quote] * 60
+    for _ in range(10):
+        # Two texts agree again behind a word, in too few seeds to count on a kept one.
+        more = [word() for _ in range(6)]
+        passages += [[*quote, word(), *more], [*quote, word(), *more]]
+    counts, settle = [], substrings.settle
+
+    def counted(df, name="step"):
+        out = settle(df, name)
+        if name == "others":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(substrings, "settle", counted)
+    rows, places = _planted(rng, passages)
+    got = _repeats(spark, rows)
+    assert all(not got[i] for i in range(60)) and all(got[i] >= places[i] for i in range(60, 80))
+    # All pairs of the quote's texts are 3160.
+    assert len(counts) == 1 and counts[0] < 80
+
+
 def test_few_common_seeds_are_no_passage():
     import random
 
