@@ -6,12 +6,17 @@ by Viterbi over all lines of an Arrow batch together. Features belong to distinc
 words, so each distinct word of a batch is looked at once and its scores are
 gathered for all its places.
 
-Training is an averaged perceptron with iterative parameter mixing: pieces of lines
-are dealt by hash to one shard for each SHARE of them, SHARDS at most, whatever the
-cluster's number of tasks; in each round every shard makes PASSES passes, or STEPS
-steps if that is more, from the mixed weights on, and the driver averages as many
-arrays of a fixed size as there are shards. At most `sample` pieces of at most PIECE words teach
-(those of least hash); all lines are tagged.
+Training is an averaged perceptron with iterative parameter mixing. Lines are cut to
+pieces of at most PIECE words, and every distinct piece teaches. The weights to begin
+with come from rounds over the `first` pieces of least hash: dealt to one shard for
+each SHARE of them, SHARDS at most, each shard makes PASSES passes, or STEPS steps if
+that is more, from the mixed weights on, and the driver averages as many arrays of a
+fixed size as there are shards. Then all pieces teach, in shards of about WHOLE_SHARE
+that each read their pieces as a stream, once, from these weights on: WHOLE_BATCH pieces
+are tagged together, and those that come out wrong take steps; what a shard changes
+is summed by row of the weights, in whole numbers. So the weights depend on the pieces
+alone, whatever the cluster's number of tasks, and a task holds no more than one batch
+of pieces. All lines are tagged.
 
 Defined results: a null text has no spans; lines are split at line feeds and tagged
 whole, of whatever length; spans that cut a word take all of it; spans of other
@@ -36,7 +41,9 @@ from ..session import drop_settled, settled
 
 #: Kinds of the built-in template that no pattern finds.
 KINDS = ("Full Name", "Physical Address", "Date of Birth")
-SHARE, SHARDS, ROUNDS, PASSES, STEPS, SAMPLE, BATCH, PIECE = 1000, 8, 4, 3, 400, 20_000, 4, 48
+SHARE, SHARDS, ROUNDS, PASSES, STEPS, FIRST, BATCH, PIECE = 1000, 8, 4, 3, 400, 20_000, 4, 48
+#: Pieces of a shard, and those tagged together, when all teach; what a shard changes counts in parts of 1 / UNIT.
+WHOLE_SHARE, WHOLE_BATCH, UNIT = 20_000, 128, 1 << 16
 #: Rows of hashed features.
 ROWS = 1 << 16
 #: Words that are tagged together.
@@ -218,37 +225,97 @@ class Tagger:
         return found
 
 
+class _Learner:
+    """Weights that take steps, and their mean over all steps."""
+
+    def __init__(self, kinds: tuple, weights: np.ndarray, moves: np.ndarray):
+        self.weights, self.moves = weights.astype(np.float64), moves.astype(np.float64)
+        # What a step adds counts in the mean as often as steps follow it.
+        self.late_w, self.late_m = np.zeros_like(self.weights), np.zeros_like(self.moves)
+        self.ok, self.step, self.lines = allowed(kinds), 0, 0
+
+    def tag(self, x: Lines) -> np.ndarray:
+        return viterbi(x.scores(self.weights), x.sizes, self.moves + self.ok)
+
+    def learn(self, x: Lines, want: np.ndarray) -> None:
+        got = self.tag(x)
+        wrong = np.flatnonzero(want != got)
+        if len(wrong):
+            rows, start = x.rows_at(wrong), len(self.moves) - 1
+            first = (np.cumsum(x.sizes) - x.sizes)[x.sizes > 0]
+            for path, sign in ((want, 1.0), (got, -1.0)):
+                np.add.at(self.weights, (rows, path[wrong]), sign)
+                np.add.at(self.late_w, (rows, path[wrong]), sign * self.step)
+                before = np.r_[start, path[:-1]]
+                before[first] = start
+                np.add.at(self.moves, (before, path), sign)
+                np.add.at(self.late_m, (before, path), sign * self.step)
+        self.step += 1
+
+    def learn_wrong(self, lines: list[str], labels: list[list[int]]) -> None:
+        """Steps of the pieces that these weights tag wrong; the others have nothing to teach, but count in the mean."""
+        x, want = _batch(lines, labels)
+        wrong = np.unique(np.searchsorted(np.cumsum(x.sizes), np.flatnonzero(self.tag(x) != want), "right")).tolist()
+        behind = self.step + -(-len(lines) // BATCH)
+        for at in range(0, len(wrong), BATCH):
+            self.learn(*_batch([lines[i] for i in wrong[at : at + BATCH]], [labels[i] for i in wrong[at : at + BATCH]]))
+        self.step = behind
+        self.lines += len(lines)
+
+    def mean(self) -> tuple[np.ndarray, np.ndarray]:
+        steps = max(self.step, 1)
+        return self.weights - self.late_w / steps, self.moves - self.late_m / steps
+
+
+def _batch(lines: list[str], labels: list[list[int]]) -> tuple[Lines, np.ndarray]:
+    return Lines([t.split("\x00") for t in lines]), np.array([t for x in labels for t in x], np.int64)
+
+
 def _learnt(kinds: tuple, weights: np.ndarray, moves: np.ndarray, table: pa.Table) -> pa.Table:
     """Passes of a shard over its pieces: the weights behind the last step, and the mean over all steps."""
-    table = table.sort_by([("place", "ascending"), ("line", "ascending")])
-    labels = table.column("tags").to_pylist()
-    batches = []
-    for at in range(0, len(labels), BATCH):
-        lines = [t.split("\x00") for t in table.column("line").slice(at, BATCH).to_pylist()]
-        batches.append((Lines(lines), np.array([t for x in labels[at : at + BATCH] for t in x], np.int64)))
-    weights, moves = weights.astype(np.float64), moves.astype(np.float64)
-    # What a step adds counts in the mean as often as steps follow it.
-    late_w, late_m, passes = np.zeros_like(weights), np.zeros_like(moves), max(PASSES, -(-STEPS // max(len(batches), 1)))
-    ok, start = allowed(kinds), len(moves) - 1
-    step, steps = 0, passes * len(batches)
-    for _ in range(passes):
+    _, lines, labels = zip(*sorted(zip(*(table.column(c).to_pylist() for c in ("place", "line", "tags")))))
+    batches = [_batch(lines[at : at + BATCH], labels[at : at + BATCH]) for at in range(0, len(labels), BATCH)]
+    own = _Learner(kinds, weights, moves)
+    for _ in range(max(PASSES, -(-STEPS // max(len(batches), 1)))):
         for x, want in batches:
-            got = viterbi(x.scores(weights), x.sizes, moves + ok)
-            wrong = np.flatnonzero(want != got)
-            if len(wrong):
-                rows = x.rows_at(wrong)
-                first = (np.cumsum(x.sizes) - x.sizes)[x.sizes > 0]
-                for path, sign in ((want, 1.0), (got, -1.0)):
-                    np.add.at(weights, (rows, path[wrong]), sign)
-                    np.add.at(late_w, (rows, path[wrong]), sign * step)
-                    before = np.r_[start, path[:-1]]
-                    before[first] = start
-                    np.add.at(moves, (before, path), sign)
-                    np.add.at(late_m, (before, path), sign * step)
-            step += 1
+            own.learn(x, want)
     pack = lambda *x: pa.array([b"".join(a.astype(np.float32).tobytes() for a in x)], pa.binary())
-    mean = pack(weights - late_w / max(steps, 1), moves - late_m / max(steps, 1))
-    return pa.table({"shard": table.column("shard").slice(0, 1).cast(pa.int32()), "mean": mean, "last": pack(weights, moves), "lines": pa.array([len(labels)], pa.int64())})
+    return pa.table({"shard": table.column("shard").slice(0, 1).cast(pa.int32()), "mean": pack(*own.mean()), "last": pack(own.weights, own.moves), "lines": pa.array([len(labels)], pa.int64())})
+
+
+CHANGE = "row int, tag int, change long"
+
+
+def _changes(kinds: tuple, held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each shard's pieces (line, tags, shard), which follow each other, change in the mean over their steps, times their number and UNIT: the moves stand behind the weights."""
+    weights, moves = held.value
+    begin = np.concatenate([weights, moves]).astype(np.float64)
+    own, shard, lines, labels = None, None, [], []
+
+    def step():
+        own.learn_wrong(lines, labels)
+        lines.clear()
+        labels.clear()
+
+    def done():
+        if lines:
+            step()
+        change = np.rint((np.concatenate(own.mean()) - begin) * (own.lines * UNIT)).astype(np.int64)
+        row, tag = np.nonzero(change)
+        return pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(tag.astype(np.int32)), pa.array(change[row, tag])], names=["row", "tag", "change"])
+
+    for b in batches:
+        for line, tagged, of in zip(*(c.to_pylist() for c in b.columns)):
+            if of != shard:
+                if own:
+                    yield done()
+                own, shard = _Learner(kinds, weights, moves), of
+            lines.append(line)
+            labels.append(tagged)
+            if len(lines) == WHOLE_BATCH:
+                step()
+    if own:
+        yield done()
 
 
 def _pieces(kinds: tuple, text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, str, tuple[int, ...]]]:
@@ -268,10 +335,15 @@ def _pieces(kinds: tuple, text: str, spans: list[tuple[int, int, str]]) -> Itera
             cut = to
 
 
-def _least(kinds: tuple, few: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's distinct pieces with a span, and of those without, the `few` of least place and line: what is among the least of all is among them."""
+def _least(kinds: tuple, few: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's pieces, repeated ones once as far as it has met them lately; with `few`, of the distinct ones with a span, and of those without, so many of least place and line: what is among the least of all is among them."""
     held: tuple[set, set] = (set(), set())
     last = [1 << 32, 1 << 32]
+
+    def rows(of: list) -> pa.RecordBatch:
+        columns = list(zip(*of)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int32())), pa.array(columns[0], pa.int64())], names=["line", "tags", "place"])
+
     for b in lots(batches, 0):
         for text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             spans = [(s["start"], s["start"] + s["length"], s["entity_type"]) for s in spans or () if None not in s.values()]
@@ -280,33 +352,55 @@ def _least(kinds: tuple, few: int, batches: Iterator[pa.RecordBatch]) -> Iterato
                 if p[0] <= last[some]:
                     held[some].add(p)
         for i, x in enumerate(held):
-            if len(x) > few + 10_000:
+            if few is None:
+                if len(x) > 10_000:
+                    yield rows(list(x))
+                    x.clear()
+            elif len(x) > few + 10_000:
                 kept = sorted(x)[:few]
                 x.clear()
                 x.update(kept)
                 last[i] = kept[-1][0] if kept else -1
-    rows = [p for x in held for p in sorted(x)[:few]]
-    columns = list(zip(*rows)) or [()] * 3
-    yield pa.RecordBatch.from_arrays([pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int32())), pa.array(columns[0], pa.int64())], names=["line", "tags", "place"])
+    yield rows([p for x in held for p in sorted(x)[:few]])
 
 
-def train(texts: DataFrame, spans: DataFrame | str, *, keys=("doc_id",), text_col: str = "text", kinds: tuple[str, ...] = KINDS, sample: int = SAMPLE, rounds: int = ROUNDS) -> Tagger:
-    """A tagger of `kinds` from texts and their spans (keys, entity_type, start, length); texts without spans teach what is none.
+def train(texts: DataFrame, spans: DataFrame | str, *, keys=("doc_id",), text_col: str = "text", kinds: tuple[str, ...] = KINDS, first: int = FIRST, rounds: int = ROUNDS) -> Tagger:
+    """A tagger of `kinds` from all texts and their spans (keys, entity_type, start, length); texts without spans teach what is none.
 
-    Spans may be the name of a column of texts that holds them as an array; then no text moves.
+    Spans may be the name of a column of texts that holds them as an array; then no text moves but in pieces.
     """
     if isinstance(spans, str):
         joined = texts.select(F.col(text_col).alias("text"), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), s["entity_type"].alias("entity_type"))).alias("_spans"))
     else:
         by = spans.where(F.col("entity_type").isin(*kinds)).groupBy(*keys).agg(F.collect_list(F.struct("start", "length", "entity_type")).alias("_spans"))
         joined = texts.join(by, list(keys), "left").select(F.col(text_col).alias("text"), "_spans")
-    few = sample - sample // 2
-    pieces = settled(joined.mapInArrow(lambda it: _least(kinds, few, it), "line string, tags array<int>, place long").distinct(), "pieces")
-    # Pieces with a span are rare in prose: half of the sample is theirs, as far as they go.
+    pieces = settled(joined.mapInArrow(lambda it: _least(kinds, None, it), "line string, tags array<int>, place long").distinct(), "pieces")
+    try:
+        count = pieces.count()
+        weights, moves = _begun(pieces, kinds, first, rounds)
+        if not count:
+            return Tagger(kinds, weights, moves)
+        held = texts.sparkSession.sparkContext.broadcast((weights, moves))
+        # By ranges of the shard: those of a partition follow each other, and a piece of a shard is in no other partition.
+        shards = max(1, count // WHOLE_SHARE)
+        dealt = pieces.withColumn("shard", (F.col("place") % shards).cast("int")).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "place", "line", "tags")
+        changes = dealt.select("line", "tags", "shard").mapInArrow(lambda it: _changes(kinds, held, it), CHANGE)
+        got = changes.groupBy("row", "tag").agg(F.sum("change").alias("change")).toArrow()
+        mean = np.concatenate([weights, moves]).astype(np.float64)
+        mean[got.column("row").to_numpy(), got.column("tag").to_numpy()] += got.column("change").to_numpy() / (count * UNIT)
+        held.unpersist()
+        return Tagger(kinds, *np.split(mean.astype(np.float32), [len(weights)]))
+    finally:
+        drop_settled(pieces)
+
+
+def _begun(pieces: DataFrame, kinds: tuple[str, ...], first: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weights and moves that all pieces (line, tags, place) begin with: of rounds over the `first` ones."""
+    few = first - first // 2
+    # Pieces with a span are rare in prose: half of the first ones are theirs, as far as they go.
     some = F.exists("tags", lambda t: t > 0)
-    dealt = pieces.where(some).orderBy("place", "line").limit(sample // 2).unionByName(pieces.where(~some).orderBy("place", "line").limit(few))
+    dealt = pieces.where(some).orderBy("place", "line", "tags").limit(first // 2).unionByName(pieces.where(~some).orderBy("place", "line").limit(few))
     piece = settled(dealt, "taught")
-    drop_settled(pieces)
     shards = max(1, min(SHARDS, piece.count() // SHARE))
     # By ranges, a shard is a partition of its own; small partitions of a hash exchange would be put together again.
     dealt = piece.withColumn("shard", (F.col("place") % shards).cast("int")).repartitionByRange(shards, "shard")
@@ -315,7 +409,7 @@ def train(texts: DataFrame, spans: DataFrame | str, *, keys=("doc_id",), text_co
     sums, total = [np.zeros(weights.shape), np.zeros(moves.shape)], 0
     try:
         for turn in range(rounds):
-            held = texts.sparkSession.sparkContext.broadcast((weights, moves))
+            held = pieces.sparkSession.sparkContext.broadcast((weights, moves))
 
             def learn(t: pa.Table) -> pa.Table:
                 return _learnt(kinds, *held.value, t)  # noqa: B023
@@ -333,7 +427,7 @@ def train(texts: DataFrame, spans: DataFrame | str, *, keys=("doc_id",), text_co
             held.unpersist()
     finally:
         drop_settled(piece)
-    return Tagger(kinds, *(x.astype(np.float32) / max(total, 1) for x in sums))
+    return tuple((x / max(total, 1)).astype(np.float32) for x in sums)
 
 
 def tag_documents(texts: DataFrame, model: Tagger, *, keys=("doc_id",), text_col: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
 """Viterbi against all sequences, spans through words and back, a tagger taught and measured, and its edges."""
 
 import itertools
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from maskwright.operators import tagger as T
@@ -59,6 +61,28 @@ def test_pieces_are_cut_once_and_texts_stay(spark):
     assert (beside.weights == joined.weights).all() and (beside.moves == joined.moves).all()
 
 
+def test_every_piece_teaches(spark):
+    # One in ten lines has a span, each behind a word of its own; the first pieces hold few of these words.
+    cues = [f"cue{chr(97 + i)}{chr(98 + i)}" for i in range(12)]
+    rows = [(i, f"{cues[i // 10 % 12]} Ann Lee said {i}" if i % 10 == 0 else f"other words Ann Lee said {i}", [("Full Name", 6, 7)] if i % 10 == 0 else None) for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, planted array<struct<entity_type:string,start:int,length:int>>")
+    model = T.train(docs, "planted", first=4)
+    want = [[("Full Name", "Ann Lee", s[0][1], 7)] if s else [] for _, _, s in rows]
+    assert model.spans_of([text for _, text, _ in rows]) == want
+    begun = T.Tagger(T.KINDS, *T._begun(docs.limit(0).selectExpr("text AS line", "array(0) AS tags", "doc_id AS place"), T.KINDS, 4, 1))
+    assert begun.spans_of([rows[0][1]]) == [[]]
+
+
+@pytest.mark.parametrize("batch", [1, 5])
+def test_changes_of_shards_in_any_batches(batch):
+    table = pa.table({"line": [f"Name: Ann{i}".replace(" ", "\x00") for i in range(90)], "tags": pa.array([[0, 1]] * 90, pa.list_(pa.int32())), "shard": pa.array([i // 40 for i in range(90)], pa.int32())})
+    held = types.SimpleNamespace(value=(np.zeros((T.ROWS, 7), np.float32), np.zeros((8, 7), np.float32)))
+    got = list(T._changes(T.KINDS, held, iter(table.to_batches(batch))))
+    assert len(got) == 3
+    alone = [list(T._changes(T.KINDS, held, iter(table.slice(at, 40).to_batches()))) for at in (0, 40, 80)]
+    assert got == [b for x in alone for b in x]
+
+
 def test_equal_lines_are_tagged_once(monkeypatch):
     model = T.Tagger(T.KINDS, np.zeros((T.ROWS, 7), np.float32), np.eye(8, 7).astype(np.float32))
     seen = []
