@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import from_polygon
-from ..functions.text import extension, once
+from ..functions.text import extension
 from ..operators.validate import SCANNABLE
 
 FIELD = "struct<name:string,description:string,strategy:string>"
@@ -62,10 +62,12 @@ def ocr_words(results: DataFrame) -> DataFrame:
     """Words (doc_id, page_number, word_idx, text, confidence, box) of OCR results (doc_id, analyzeResult), boxes relative to the page."""
     # The outer forms: before the others Spark puts filters that read all results again.
     p = results.select("doc_id", F.posexplode_outer("analyzeResult.pages").alias("i", "p")).where("i is not null")
-    w = p.select("doc_id", F.coalesce("p.pageNumber", F.col("i") + 1).alias("page_number"), "p.width", "p.height", F.posexplode_outer("p.words").alias("word_idx", "w")).where("word_idx is not null")
-    box = from_polygon(F.col("w.polygon"))
-    size = [F.nullif(F.col(c), F.lit(0.0)) for c in ("width", "height", "width", "height")]
-    return w.select("doc_id", "page_number", "word_idx", F.col("w.content").alias("text"), F.coalesce("w.confidence", F.lit(0.0)).alias("confidence"), once(box, lambda b: F.array(*[F.get(b, i) / s for i, s in enumerate(size)])).alias("box"))
+    # Fields one by one: a page struct would be copied whole beside each of its words.
+    p = p.select("doc_id", F.coalesce("p.pageNumber", F.col("i") + 1).alias("page_number"), "p.width", "p.height", "p.words")
+    w = p.select("doc_id", "page_number", "width", "height", F.posexplode_outer("words").alias("word_idx", "w")).where("word_idx is not null")
+    w = w.select("doc_id", "page_number", "word_idx", F.col("w.content").alias("text"), F.coalesce("w.confidence", F.lit(0.0)).alias("confidence"), "width", "height", from_polygon(F.col("w.polygon")).alias("b"))
+    box = F.array(*[F.get("b", i) / F.nullif(F.col(c), F.lit(0.0)) for i, c in enumerate(("width", "height", "width", "height"))])
+    return w.select("doc_id", "page_number", "word_idx", "text", "confidence", box.alias("box"))
 
 
 def read_ocr(spark: SparkSession, path: str) -> DataFrame:

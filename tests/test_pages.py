@@ -68,3 +68,21 @@ def test_lots_keep_all_rows_in_bounded_slices():
     b = pa.RecordBatch.from_pydict({"i": list(range(5)), "t": ["x" * (3 << 20), None, "a", "b" * (2 << 20), "c"]})
     cut = list(lots([b, b.slice(0, 0)], 1))
     assert [x.num_rows for x in cut] == [1, 2, 1, 1] and [i for x in cut for i in x.column(0).to_pylist()] == list(range(5))
+
+
+def test_words_of_results_do_not_carry_their_pages(spark):
+    from maskwright.sources import files
+
+    page = '{"pageNumber": 3, "width": 10.0, "height": 20.0, "words": [{"content": "a", "confidence": 0.5, "polygon": [1, 2, 3, 2, 3, 6, 1, 6]}, {"content": "b", "polygon": [1, 2, 3, 2, 3, 6, 1, 6, 5, 8]}, {"content": "c", "polygon": [1, 2]}]}'
+    blank = '{"words": [{"content": "d", "polygon": [1, 2, 3, 2, 3, 6, 1, 6]}]}'
+    results = spark.createDataFrame([(1, f'{{"analyzeResult": {{"pages": [{page}, {blank}, {{"words": []}}]}}}}'), (2, '{"analyzeResult": {}}')], "doc_id long, value string")
+    words = files.ocr_words(results.selectExpr("doc_id", f"from_json(value, '{files.OCR}').analyzeResult AS analyzeResult"))
+    assert sorted(map(tuple, words.collect())) == [
+        (1, 2, 0, "d", 0.0, [None] * 4),
+        (1, 3, 0, "a", 0.5, [0.1, 0.1, 0.2, 0.2]),
+        (1, 3, 1, "b", 0.0, [0.1, 0.1, 0.4, 0.3]),
+        (1, 3, 2, "c", 0.0, [0.0] * 4),
+    ]
+    # What goes through the explosion of the words is copied for each of them.
+    generates = [line for line in words._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate posexplode" in line]
+    assert len(generates) == 2 and sum("posexplode(words#" in line for line in generates) == 1
