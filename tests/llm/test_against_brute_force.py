@@ -614,3 +614,23 @@ def test_findings_agree_with_plain_alignment(docs, texts, spark):
         for n, t in templates:
             if f" {' '.join(t)} " in joined:
                 assert r.findings
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_long_keys_are_paired_in_squares(spark, monkeypatch, few):
+    from itertools import combinations
+
+    monkeypatch.setattr(substrings, "MANY", 4)
+    # Of a key of 23 texts two are closed, two agree between, and one has its seed elsewhere.
+    closed, away, between = {3, 9}, {n: 20 for n in range(23)} | {5: 60}, {n: n for n in range(23)} | {7: 8}
+    rows = [(1, n, [(away[n], between[n])], between[n], between[n], n not in closed) for n in range(23)]
+    got = sorted(map(tuple, substrings._turning_pairs(spark.createDataFrame(rows, substrings.ENTRY), few).collect()))
+    assert got == sorted((x, y) for x, y in combinations(range(23), 2) if not {x, y} <= closed and 5 not in (x, y) and (x, y) != (7, 8))
+
+
+def test_slices_hold_so_many_values():
+    import pyarrow as pa
+
+    batch = pa.record_batch({"node": list(range(5)), "seeds": pa.array([[1] * 3, [], [1] * 9, None, [1]], pa.list_(pa.int64()))})
+    got = list(substrings._slices([batch], 1, 4))
+    assert [b.column(0).to_pylist() for b in got] == [[0, 1], [2], [3, 4]]
