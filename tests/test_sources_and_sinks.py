@@ -1,6 +1,7 @@
 """Folders and files in, tables out, and the small functions that no query needs."""
 
 import json
+import time
 from datetime import datetime
 
 import pytest
@@ -193,3 +194,18 @@ def test_first_arrivals_of_a_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("arrivals").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.filename for r in spark.table("arrivals").collect()) == ["a", "b", "c"]
+
+
+def test_shuffles_of_a_step_go_with_it(spark):
+    from maskwright.session import settled
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {blocks.apply(i).getName() for i in range(blocks.size()) if blocks.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffles()
+    assert len(settled(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count().repartition(3)).collect()) == 7
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
